@@ -85,6 +85,45 @@ def q_raw_chunk_ids(spark, sf_dir):
             .select("repo_name", "chunk_id", "file_path", "start_line"))
 
 
+DEFS_SQL = f"""
+WITH {S.selected_cte()}, {S.lines_cte()}, {S.definitions_cte()}"""
+
+CHUNKS_SQL = f"""{DEFS_SQL},
+lc AS ({LINE_CHUNKS_SQL.replace("WITH ", "SELECT * FROM (WITH ", 1)})),
+with_defs AS (SELECT DISTINCT repo_name, file_path FROM defs),
+chosen AS (SELECT * FROM defs UNION ALL
+           SELECT repo_name, file_path, language, chunk_type, name, start_line, end_line, text FROM lc
+           WHERE NOT EXISTS (SELECT 1 FROM with_defs w WHERE w.repo_name = lc.repo_name AND w.file_path = lc.file_path)),
+chunks AS (SELECT *, CAST(row_number() OVER (PARTITION BY repo_name
+             ORDER BY file_path, CASE WHEN chunk_type = 'raw' THEN start_line END, end_line DESC, start_line, name) - 1 AS BIGINT) AS chunk_id FROM chosen)"""
+
+
+@register("definition_chunks", DEFS_SQL + """
+SELECT repo_name, file_path, language, chunk_type, name, start_line, end_line, text FROM defs""")
+def q_definition_chunks(spark, sf_dir):
+    """Every definition chunk of every selected file."""
+    from ..operators.definitions import definition_chunks
+    return definition_chunks(selected(spark, sf_dir))
+
+
+@register("chunks", CHUNKS_SQL + """
+SELECT repo_name, chunk_id, file_path, chunk_type, name, start_line, end_line, language, text FROM chunks""")
+def q_chunks(spark, sf_dir):
+    """Definition chunks, else 50-line chunks, with dense ids per repository."""
+    return chunk.chunk_files(selected(spark, sf_dir))
+
+
+@register("chunk_counts", CHUNKS_SQL + """
+SELECT repo_name, language, count(DISTINCT file_path) AS files, count(*) AS chunks,
+       CAST(sum(length(text)) AS BIGINT) AS chars FROM chunks GROUP BY ALL""")
+def q_chunk_counts(spark, sf_dir):
+    """G12 flagship: files and chunks per repository and language."""
+    return (chunk.chunk_files(selected(spark, sf_dir))
+            .groupBy("repo_name", "language")
+            .agg(F.countDistinct("file_path").alias("files"), F.count(F.lit(1)).alias("chunks"),
+                 F.sum(F.length("text")).cast("bigint").alias("chars")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
