@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
-from .ordinals import group_offsets
+from .ordinals import group_ordinals, spread
+from ..session import ensure_checkpoint_dir
 from . import definitions
 
 MIN_CHARS = 50
@@ -68,8 +69,8 @@ def truncate_text(text: Column, max_chars: int = MAX_CHARS) -> Column:
 def line_chunks(files: DataFrame, lines_per_chunk: int = LINES_PER_CHUNK,
                 min_chars: int = MIN_CHARS) -> DataFrame:
     """C6 on every file: ``repo_name, file_path, language`` + chunk fields (no ids)."""
-    arr = line_chunk_array(split_lines("content"), lines_per_chunk, min_chars)
-    return (files.filter(~P.is_blank("content"))
+    arr = let(split_lines("content"), lambda lines: line_chunk_array(lines, lines_per_chunk, min_chars))
+    return (spread(files).filter(~P.is_blank("content"))
             .select("repo_name", F.col("rel_path").alias("file_path"), "language",
                     F.explode(arr).alias("c"))
             .select("repo_name", "file_path", "language", "c.*"))
@@ -84,24 +85,35 @@ def _ordered(chunks: Column) -> Column:
                         .when(a["name"] < b["name"], -1).when(a["name"] > b["name"], 1).otherwise(0))
 
 
-def file_chunk_arrays(files: DataFrame, min_chars: int = MIN_CHARS, max_chars: int = MAX_CHARS,
-                      lines_per_chunk: int = LINES_PER_CHUNK, definitions_enabled: bool = True) -> DataFrame:
-    """C1-C7 per file: ``repo_name, file_path, language, chunks array<CHUNK_STRUCT>``.
+def let(value: Column, body) -> Column:
+    """Bind ``value`` once to a lambda variable and evaluate ``body`` on it.
 
-    Definition chunks when the file has at least one that survives ``min_chars``,
-    otherwise the 50-line fallback (C7) — decided inside one projection.
+    Catalyst may inline a projected column into every place it is used; a one-element
+    ``transform`` evaluates the shared value exactly once per row.
     """
-    lines = split_lines("content")
-    raw = line_chunk_array(F.col("_lines"), lines_per_chunk, min_chars)
-    if definitions_enabled:
-        defs = definitions.definition_array(F.col("_lines"), F.col("language"), min_chars, max_chars)
-        chosen = F.when(F.size(F.col("_defs")) > 0, _ordered(F.col("_defs"))).otherwise(raw)
-    else:
-        defs, chosen = F.array().cast(f"array<{CHUNK_STRUCT}>"), raw
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def chunk_array(content: Column, language: Column, min_chars: int = MIN_CHARS, max_chars: int = MAX_CHARS,
+                lines_per_chunk: int = LINES_PER_CHUNK, definitions_enabled: bool = True) -> Column:
+    """C1-C7 for one file: definition chunks in emission order when at least one survives
+    ``min_chars``, otherwise the 50-line fallback (C7)."""
+    def per_lines(lines):
+        raw = line_chunk_array(lines, lines_per_chunk, min_chars)
+        if not definitions_enabled:
+            return raw
+        defs = definitions.definition_array(lines, language, min_chars, max_chars)
+        return let(defs, lambda d: F.when(F.size(d) > 0, _ordered(d)).otherwise(raw))
+    return let(split_lines(content), per_lines)
+
+
+def file_chunk_arrays(files: DataFrame, min_chars: int = MIN_CHARS, max_chars: int = MAX_CHARS,
+                      lines_per_chunk: int = LINES_PER_CHUNK, definitions_enabled: bool = True) -> DataFrame:
+    """C1-C7 per file: ``repo_name, file_path, language, chunks array<CHUNK_STRUCT>``."""
+    arr = chunk_array(F.col("content"), F.col("language"), min_chars, max_chars, lines_per_chunk,
+                      definitions_enabled)
     return (files.filter(~P.is_blank("content"))
-            .select("repo_name", F.col("rel_path").alias("file_path"), "language", lines.alias("_lines"))
-            .withColumn("_defs", defs)
-            .select("repo_name", "file_path", "language", chosen.alias("chunks")))
+            .select("repo_name", F.col("rel_path").alias("file_path"), "language", arr.alias("chunks")))
 
 
 def chunk_files(files: DataFrame, min_chars: int = MIN_CHARS, max_chars: int = MAX_CHARS,
@@ -111,12 +123,18 @@ def chunk_files(files: DataFrame, min_chars: int = MIN_CHARS, max_chars: int = M
     Ids follow file order (code-point ``rel_path``) then in-file emission order, like
     the reference's ``range(len(chunks))`` over its flat list.
     """
-    per_file = file_chunk_arrays(files, min_chars, max_chars, lines_per_chunk, definitions_enabled)
-    per_file = per_file.filter(F.size("chunks") > 0)
-    bases = group_offsets(per_file.select("repo_name", "file_path", F.size("chunks").alias("n")),
-                          ["repo_name"], ["file_path"], "n")
-    return (per_file.join(bases.select("repo_name", "file_path", "base"), ["repo_name", "file_path"])
-            .select("repo_name", "file_path", "language", "base", F.posexplode("chunks").alias("pos", "c"))
-            .select("repo_name", (F.col("base") + F.col("pos")).cast("bigint").alias("chunk_id"),
-                    "file_path", "c.chunk_type", "c.name", "c.start_line", "c.end_line", "language",
-                    "c.text"))
+    arr = chunk_array(F.col("content"), F.col("language"), min_chars, max_chars, lines_per_chunk,
+                      definitions_enabled)
+    # The generator wraps the expression directly: exploding a projected array column
+    # instead is several times slower for these nested values.
+    rows = (spread(files).filter(~P.is_blank("content"))
+            .select("repo_name", F.col("rel_path").alias("file_path"), "language",
+                    F.posexplode(arr).alias("pos", "c")))
+    # Numbering reads the rows twice (local positions and per-partition offsets);
+    # a reliable checkpoint in the shared checkpoint folder keeps the chunking from
+    # running twice and survives executor loss.
+    ensure_checkpoint_dir(files.sparkSession)
+    rows = rows.checkpoint(eager=True)
+    ranked = group_ordinals(rows, ["repo_name"], ["file_path", "pos"], out="chunk_id")
+    return ranked.select("repo_name", "chunk_id", "file_path", "c.chunk_type", "c.name", "c.start_line",
+                         "c.end_line", "language", "c.text")

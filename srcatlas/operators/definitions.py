@@ -157,8 +157,9 @@ def definition_array(lines: Column, language: Column, min_chars: int, max_chars:
 
 def definition_chunks(files: DataFrame, min_chars: int = 50, max_chars: int = 3000) -> DataFrame:
     """C1-C5 only (no fallback, no ids): one row per surviving definition."""
-    from .chunk import split_lines
-    arr = definition_array(split_lines("content"), F.col("language"), min_chars, max_chars)
-    return (files.select("repo_name", F.col("rel_path").alias("file_path"), "language",
+    from .chunk import let, split_lines
+    from .ordinals import spread
+    arr = let(split_lines("content"), lambda ls: definition_array(ls, F.col("language"), min_chars, max_chars))
+    return (spread(files).select("repo_name", F.col("rel_path").alias("file_path"), "language",
                          F.explode(arr).alias("c"))
             .select("repo_name", "file_path", "language", "c.*"))

@@ -1,12 +1,14 @@
 """Dense per-group ordinals without putting a whole group into one task.
 
 ``row_number() over (partition by repo order by ...)`` sends every row of a repository
-to one task; one repository may hold a third of the corpus.  Here the rows are
-range-partitioned on ``(group, order)`` (Spark samples the key distribution, so a
-hot group is spread over many partitions), each partition computes a local running
-sum per group, and a tiny table of per-(partition, group) totals (at most
-``partitions + groups`` rows, each group's rows bounded by the partition count)
-supplies the offsets of the earlier partitions.
+to one task, and one repository may hold a third of the corpus.  Instead the rows
+are range-partitioned on ``(group, order)`` with an explicit partition count (Spark
+samples the key distribution, so a hot group is spread over many partitions, and
+AQE never coalesces an explicit-count repartition), sorted inside each partition,
+and numbered by ``monotonically_increasing_id`` in that order.  A small table of
+per-(partition, group) first ids and counts — at most ``partitions + groups`` rows,
+each group's rows bounded by the partition count — supplies the offsets of earlier
+partitions.  One shuffle of the rows, one of the small table.
 """
 
 from __future__ import annotations
@@ -15,16 +17,48 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin an under-partitioned input (e.g. one large row group) over the cores.
+
+    At cluster scale inputs already have thousands of splits and this is a no-op;
+    it only adds a shuffle when the input has fewer partitions than cores.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
+def group_ordinals(df: DataFrame, group: list[str], order: list[str], out: str = "ordinal",
+                   partitions: int | None = None) -> DataFrame:
+    """Add ``out`` = 0-based position of the row inside its group in ``order``.
+
+    Equal to ``row_number() over (partition by group order by order) - 1``;
+    ``order`` must be unique within a group.
+    """
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(c) for c in group + order]
+    ranged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+              .withColumn("_pid", F.spark_partition_id())
+              .withColumn("_mono", F.monotonically_increasing_id()))
+    firsts = ranged.groupBy("_pid", *group).agg(F.min("_mono").alias("_first"),
+                                                F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = firsts.select("_pid", *group, "_first",
+                            F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"))
+    return (ranged.join(offsets, ["_pid", *group])
+            .withColumn(out, (F.col("_off") + F.col("_mono") - F.col("_first")).cast("bigint"))
+            .drop("_pid", "_mono", "_first", "_off"))
+
+
 def group_offsets(df: DataFrame, group: list[str], order: list[str], weight: str,
                   out: str = "base", partitions: int | None = None) -> DataFrame:
     """Add ``out`` = sum of ``weight`` over earlier rows of the same group in ``order``.
 
-    With ``weight`` = 1 this is ``row_number() - 1``; with a per-file chunk count it
-    is the id of the file's first chunk.  ``order`` must be unique within a group.
+    Same skew-safe scheme as :func:`group_ordinals`, for weighted positions (e.g. the
+    first chunk id of each file from per-file chunk counts).
     """
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.repartitionByRange(n, *[F.col(c) for c in group + order])
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(c) for c in group + order]
+    ranged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
               .withColumn("_pid", F.spark_partition_id()))
     before = Window.partitionBy("_pid", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     local = ranged.withColumn("_local", F.coalesce(F.sum(weight).over(before), F.lit(0)))
