@@ -124,6 +124,74 @@ def q_chunk_counts(spark, sf_dir):
                  F.sum(F.length("text")).cast("bigint").alias("chars")))
 
 
+# --------------------------------------------------------------------------- vectors
+def embedding_index(spark, sf_dir):
+    """Index rows from ``embeddings``: repository = label, chunk id = vec_id."""
+    from ..sources.corpus import table
+    return table(spark, sf_dir, "embeddings").select(
+        F.concat(F.lit("repo"), F.col("label").cast("string")).alias("repo_name"),
+        F.col("vec_id").alias("chunk_id"), "embedding")
+
+
+VEC_SQL = """
+WITH v AS (SELECT vec_id, concat('repo', CAST(label AS VARCHAR)) AS repo_name,
+                  CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+p AS (SELECT q.vec_id AS query_id, i.repo_name, i.vec_id AS chunk_id,
+             list_dot_product(i.e, q.e) / (sqrt(list_dot_product(i.e, i.e)) * sqrt(list_dot_product(q.e, q.e))) AS raw
+      FROM v q JOIN v i ON q.repo_name = i.repo_name)
+SELECT query_id, repo_name, CAST(rank AS INTEGER) AS rank, chunk_id, round(raw, 4) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, chunk_id) AS rank FROM p)
+WHERE rank <= 5"""
+
+
+@register("vector_search", VEC_SQL)
+def q_vector_search(spark, sf_dir):
+    """Every vector searches the top 5 of its own repository (label)."""
+    from ..operators import vectors
+    idx = embedding_index(spark, sf_dir)
+    qs = idx.select(F.col("chunk_id").alias("query_id"), "repo_name", "embedding")
+    return vectors.search(idx, qs, top_k=5).select("query_id", "repo_name", "rank", "chunk_id", "score")
+
+
+@register("vector_search_approx")
+def q_vector_search_approx(spark, sf_dir):
+    """V3: LSH candidates re-ranked exactly (approximate: rows-only check)."""
+    from ..operators import vectors
+    idx = embedding_index(spark, sf_dir)
+    qs = idx.select(F.col("chunk_id").alias("query_id"), "repo_name", "embedding")
+    return (vectors.search_approx(idx, qs, top_k=5, bucket_length=2.0, num_tables=3, threshold=1.5)
+            .select("query_id", "repo_name", "rank", "chunk_id", "score"))
+
+
+@register("sample_chunks", CHUNKS_SQL + """
+SELECT repo_name, chunk_id, file_path, chunk_type, name, start_line, end_line, language, text, 1.0 AS score
+FROM chunks WHERE chunk_id < 15""")
+def q_sample_chunks(spark, sf_dir):
+    """The review sample, first 15 chunks by id per repository."""
+    from ..operators import vectors
+    return vectors.sample_chunks(chunk.chunk_files(selected(spark, sf_dir)), limit=15)
+
+
+def requested_repos(spark, sf_dir):
+    """Repositories asked about: derived from ``documents`` (repo5, repo6 have no files)."""
+    from ..sources.corpus import table
+    return (table(spark, sf_dir, "documents")
+            .select(F.concat(F.lit("repo"), (F.col("doc_id") % 7).cast("string")).alias("repo_name")).distinct())
+
+
+REQ_SQL = "req AS (SELECT DISTINCT concat('repo', CAST(doc_id % 7 AS VARCHAR)) AS repo_name FROM documents)"
+
+
+@register("index_status", CHUNKS_SQL + f""", {REQ_SQL},
+cnt AS (SELECT repo_name, count(*) AS n FROM chunks GROUP BY ALL)
+SELECT req.repo_name, coalesce(n, 0) > 0 AS indexed, CAST(coalesce(n, 0) AS BIGINT) AS chunks
+FROM req LEFT JOIN cnt USING (repo_name)""")
+def q_index_status(spark, sf_dir):
+    """Indexed flag and chunk count per requested repository."""
+    from ..operators import vectors
+    return vectors.index_status(chunk.chunk_files(selected(spark, sf_dir)), requested_repos(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
