@@ -192,6 +192,141 @@ def q_index_status(spark, sf_dir):
     return vectors.index_status(chunk.chunk_files(selected(spark, sf_dir)), requested_repos(spark, sf_dir))
 
 
+# --------------------------------------------------------------------------- graph
+GRAPH_SQL = f"""
+WITH {S.selected_cte()}, {S.graph_cte()}"""
+
+
+def graph_parts(spark, sf_dir):
+    """(files, imports, resolved, nodes, edges) of the code corpus."""
+    from ..operators import graph, imports
+    files = selected(spark, sf_dir)
+    imps = imports.extract_imports(files)
+    res = imports.resolve_imports(imps, files)
+    return files, imps, res, graph.graph_nodes(files), graph.graph_edges(res, imps)
+
+
+@register("imports", GRAPH_SQL + """
+SELECT repo_name, src, language, import_path, import_ord FROM imports""")
+def q_imports(spark, sf_dir):
+    """I1 + I2: every import statement target in discovery order."""
+    from ..operators import imports
+    return imports.extract_imports(selected(spark, sf_dir))
+
+
+@register("import_counts", GRAPH_SQL + """
+SELECT repo_name, src, count(*) AS n_imports FROM imports GROUP BY ALL""")
+def q_import_counts(spark, sf_dir):
+    """Imports per file."""
+    from ..operators import imports
+    return imports.import_counts(imports.extract_imports(selected(spark, sf_dir)))
+
+
+@register("resolved_imports", GRAPH_SQL + """
+SELECT repo_name, src, import_path, dst FROM resolved""")
+def q_resolved_imports(spark, sf_dir):
+    """J1 + J2: unaligned suffix join (Python) and candidate join (JS/TS)."""
+    return graph_parts(spark, sf_dir)[2]
+
+
+@register("unresolved_imports", GRAPH_SQL + """
+SELECT i.repo_name, i.src, i.language, i.import_path, i.import_ord,
+       CASE WHEN i.language = 'python' THEN 'module' WHEN starts_with(i.import_path, '.') THEN 'relative'
+            WHEN starts_with(i.import_path, '@/') THEN 'alias' ELSE 'package' END AS kind
+FROM imports i WHERE NOT EXISTS (SELECT 1 FROM resolved r WHERE r.repo_name = i.repo_name AND r.src = i.src
+                                 AND r.import_path = i.import_path)""")
+def q_unresolved_imports(spark, sf_dir):
+    """Import occurrences without a target file."""
+    from ..operators import imports
+    _, imps, res, _, _ = graph_parts(spark, sf_dir)
+    return imports.unresolved_imports(imps, res)
+
+
+@register("graph_edges", GRAPH_SQL + """
+SELECT repo_name, src, dst, weight FROM edges""")
+def q_graph_edges(spark, sf_dir):
+    """Distinct edges without self-edges, weight 1."""
+    return graph_parts(spark, sf_dir)[4].select("repo_name", "src", "dst", "weight")
+
+
+@register("degrees", GRAPH_SQL + """
+SELECT repo_name, node, language, in_degree, out_degree FROM deg""")
+def q_degrees(spark, sf_dir):
+    """J5 + G2 + G3: every file with in- and out-degree."""
+    from ..operators import graph
+    _, _, _, nodes, edges = graph_parts(spark, sf_dir)
+    return graph.degrees(nodes, edges).select("repo_name", "node", "language", "in_degree", "out_degree")
+
+
+@register("graph_size", GRAPH_SQL + """
+SELECT n.repo_name, n.nodes, coalesce(e.edges, 0) AS edges
+FROM (SELECT repo_name, count(*) AS nodes FROM nodes GROUP BY ALL) n
+LEFT JOIN (SELECT repo_name, count(*) AS edges FROM edges GROUP BY ALL) e USING (repo_name)""")
+def q_graph_size(spark, sf_dir):
+    """G1: node and edge counts."""
+    from ..operators import graph
+    _, _, _, nodes, edges = graph_parts(spark, sf_dir)
+    return graph.graph_size(nodes, edges)
+
+
+def _top_sql(n, filt, order, cols):
+    return GRAPH_SQL + f"""
+SELECT {cols} FROM (SELECT *, CAST(row_number() OVER (PARTITION BY repo_name ORDER BY {order}) AS INTEGER) AS rank
+                    FROM deg {filt}) WHERE rank <= {n}"""
+
+
+@register("most_depended_on", _top_sql(5, "WHERE in_degree > 0", "in_degree DESC, node",
+                                       "repo_name, rank, node AS file, in_degree AS imported_by"))
+def q_most_depended_on(spark, sf_dir):
+    """K1: top 5 files by in-degree (> 0)."""
+    from ..operators import graph
+    _, _, _, nodes, edges = graph_parts(spark, sf_dir)
+    return graph.most_depended_on(graph.degrees(nodes, edges), 5, True)
+
+
+@register("top_in_degree", _top_sql(10, "", "in_degree DESC, node",
+                                    "repo_name, rank, node AS file, in_degree AS imported_by"))
+def q_top_in_degree(spark, sf_dir):
+    """K2: top 10 files by in-degree (zeros allowed)."""
+    from ..operators import graph
+    _, _, _, nodes, edges = graph_parts(spark, sf_dir)
+    return graph.most_depended_on(graph.degrees(nodes, edges), 10, False)
+
+
+@register("top_out_degree", _top_sql(10, "", "out_degree DESC, node",
+                                     "repo_name, rank, node AS file, out_degree AS imports"))
+def q_top_out_degree(spark, sf_dir):
+    """K3: top 10 files by out-degree."""
+    from ..operators import graph
+    _, _, _, nodes, edges = graph_parts(spark, sf_dir)
+    return graph.top_out_degree(graph.degrees(nodes, edges), 10)
+
+
+@register("entry_points", _top_sql(10, "WHERE in_degree = 0", "node", "repo_name, rank, node"))
+def q_entry_points(spark, sf_dir):
+    """First 10 files nobody imports."""
+    from ..operators import graph
+    _, _, _, nodes, edges = graph_parts(spark, sf_dir)
+    return graph.entry_points(graph.degrees(nodes, edges), 10)
+
+
+TOP_EDGES_SQL = GRAPH_SQL + """,
+te AS (SELECT e.repo_name, e.src, e.dst, e.first_ord, d1.in_degree AS dst_in, d2.out_degree AS src_out
+       FROM edges e JOIN deg d1 ON d1.repo_name = e.repo_name AND d1.node = e.dst
+       JOIN deg d2 ON d2.repo_name = e.repo_name AND d2.node = e.src)
+SELECT repo_name, rank, src, dst, dst_in, src_out FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY repo_name ORDER BY dst_in DESC, src_out DESC, src, first_ord) AS INTEGER) AS rank
+  FROM te) WHERE rank <= 50"""
+
+
+@register("top_edges", TOP_EDGES_SQL)
+def q_top_edges(spark, sf_dir):
+    """K4: top 50 edges by (in-degree of target, out-degree of source)."""
+    from ..operators import graph
+    _, _, _, nodes, edges = graph_parts(spark, sf_dir)
+    return graph.top_edges(edges, graph.degrees(nodes, edges), 50)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

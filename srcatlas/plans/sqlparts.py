@@ -156,3 +156,73 @@ dtext AS (SELECT repo_name, rel_path AS file_path, language, kind AS chunk_type,
 defs AS (SELECT repo_name, file_path, language, chunk_type, name, start_line, end_line,
            CASE WHEN length(text) > 3000 THEN concat(substr(text, 1, 3000), chr(10), '... [truncated]') ELSE text END AS text
          FROM dtext WHERE length(text) >= 50)"""
+
+
+RE2_PY_IMPORT = "(?m)^[ \\t]*import[ \\t]+([^\\n#;]+)|^[ \\t]*from[ \\t]+\\.*([\\w.]*)[ \\t]+import\\b"
+RE2_JS_IMPORT = ("(?m)^[ \\t]*import[ \\t]+(?:type[ \\t]+)?(?:[^'\";]*?[ \\t\\n]from[ \\t]*)?['\"]([^'\"\\n]+)['\"]"
+                 "|(?:^|[^\\w$.])require[ \\t]*\\([ \\t]*['\"]([^'\"\\n]+)['\"][ \\t]*\\)")
+
+
+def graph_cte() -> str:
+    """CTEs over ``sel``: imports, resolved, edges, nodes, deg (naive formulations)."""
+    return f"""
+pst AS (SELECT repo_name, rel_path AS src, language,
+          regexp_extract_all(content, {_q(RE2_PY_IMPORT)}, 1) AS a, regexp_extract_all(content, {_q(RE2_PY_IMPORT)}, 2) AS b
+        FROM sel WHERE language = 'python'),
+pst1 AS (SELECT repo_name, src, language, a, b, unnest(range(1, len(a) + 1)) AS stmt FROM pst),
+pst2 AS (SELECT repo_name, src, language, stmt,
+           CASE WHEN a[stmt] <> '' THEN string_split(a[stmt], ',') ELSE [b[stmt]] END AS names FROM pst1),
+pst3 AS (SELECT repo_name, src, language, stmt, names, unnest(range(1, len(names) + 1)) AS k FROM pst2),
+pyimp AS (SELECT repo_name, src, language, import_path, CAST(-(stmt - 1) * 1000 + (k - 1) AS BIGINT) AS import_ord FROM (
+            SELECT *, trim(regexp_replace(names[k], '\\s+as\\s+.*$', '')) AS import_path FROM pst3)
+          WHERE regexp_full_match(import_path, '[\\w.]+') AND import_path <> '__future__'),
+jst AS (SELECT repo_name, rel_path AS src, language,
+          regexp_extract_all(content, {_q(RE2_JS_IMPORT)}, 1) AS a, regexp_extract_all(content, {_q(RE2_JS_IMPORT)}, 2) AS b
+        FROM sel WHERE language IN ('javascript', 'typescript')),
+jst1 AS (SELECT repo_name, src, language, a, b, unnest(range(1, len(a) + 1)) AS stmt FROM jst),
+jsimp AS (SELECT repo_name, src, language, CASE WHEN a[stmt] <> '' THEN a[stmt] ELSE b[stmt] END AS import_path,
+            CAST(-(stmt - 1) * 1000 AS BIGINT) AS import_ord FROM jst1),
+imports AS (SELECT * FROM pyimp UNION ALL SELECT * FROM jsimp),
+pycand AS (SELECT i.repo_name, i.src, i.import_path, f.rel_path AS path,
+             CASE WHEN ends_with(f.rel_path, replace(i.import_path, '.', '/') || '.py') THEN 0 ELSE 1 END AS is_pkg
+           FROM (SELECT DISTINCT repo_name, src, import_path FROM imports WHERE language = 'python') i
+           JOIN sel f ON f.repo_name = i.repo_name
+            AND (ends_with(f.rel_path, replace(i.import_path, '.', '/') || '.py')
+                 OR ends_with(f.rel_path, replace(i.import_path, '.', '/') || '/__init__.py'))),
+pyres AS (SELECT repo_name, src, import_path, path AS dst FROM (
+            SELECT *, row_number() OVER (PARTITION BY repo_name, src, import_path ORDER BY is_pkg,
+              CASE WHEN regexp_extract(path, '^(.*)/[^/]*$', 1) = regexp_extract(src, '^(.*)/[^/]*$', 1) THEN 0 ELSE 1 END,
+              length(path), path) AS r FROM pycand) WHERE r = 1),
+jsb0 AS (SELECT DISTINCT repo_name, src, import_path,
+           CASE WHEN starts_with(import_path, '@/') THEN 'frontend/src/' || substr(import_path, 3)
+                WHEN starts_with(import_path, '.') THEN
+                  CASE WHEN regexp_extract(src, '^(.*)/[^/]*$', 1) = '' THEN import_path
+                       ELSE regexp_extract(src, '^(.*)/[^/]*$', 1) || '/' || import_path END END AS raw
+         FROM imports WHERE language IN ('javascript', 'typescript')),
+jsb1 AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(raw, '/+', '/', 'g'), '(^|/)(\\./)+', '\\1', 'g'), '/\\.$', '') AS r1 FROM jsb0 WHERE raw IS NOT NULL),
+jsb2 AS (SELECT *, {_fold_dotdot('r1', 8)} AS base FROM jsb1),
+jscand AS (SELECT repo_name, src, import_path, c.pos AS pos, c.path AS path FROM jsb2,
+             unnest(list_transform(
+               (CASE WHEN ends_with(base, '.ts') OR ends_with(base, '.tsx') OR ends_with(base, '.js') OR ends_with(base, '.jsx')
+                       OR ends_with(base, '.css') THEN [base] ELSE [] END)
+               || [base || '.ts', base || '.tsx', base || '.js', base || '.jsx',
+                   base || '/index.ts', base || '/index.tsx', base || '/index.js', base || '/index.jsx'],
+               lambda x, i: {{'pos': i, 'path': x}})) AS t(c)),
+jsres AS (SELECT j.repo_name, j.src, j.import_path, arg_min(j.path, j.pos) AS dst FROM jscand j
+          JOIN sel f ON f.repo_name = j.repo_name AND f.rel_path = j.path GROUP BY ALL),
+resolved AS (SELECT * FROM pyres UNION ALL SELECT * FROM jsres),
+edges AS (SELECT r.repo_name, r.src, r.dst, min(i.import_ord) AS first_ord, 1 AS weight
+          FROM resolved r JOIN imports i ON i.repo_name = r.repo_name AND i.src = r.src AND i.import_path = r.import_path
+          WHERE r.src <> r.dst GROUP BY r.repo_name, r.src, r.dst),
+nodes AS (SELECT repo_name, rel_path AS node, language, size FROM sel),
+deg AS (SELECT n.repo_name, n.node, n.language,
+          (SELECT count(*) FROM edges e WHERE e.repo_name = n.repo_name AND e.dst = n.node) AS in_degree,
+          (SELECT count(*) FROM edges e WHERE e.repo_name = n.repo_name AND e.src = n.node) AS out_degree
+        FROM nodes n)"""
+
+
+def _fold_dotdot(col: str, times: int) -> str:
+    expr = col
+    for _ in range(times):
+        expr = f"regexp_replace({expr}, '(^|/)[^/.][^/]*/\\.\\.(/|$)', '\\1')"
+    return f"(CASE WHEN {expr} = '' THEN '.' ELSE regexp_replace({expr}, '/$', '') END)"
