@@ -31,7 +31,14 @@ def register(name: str, sql: str | None = None):
 
 
 def selected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return select.select_sources(code_corpus(spark, sf_dir))
+    """Selected source files of the derived corpus, written once to the checkpoint folder.
+
+    Every job reads this table from several branches (chunks, imports, nodes); the
+    reliable checkpoint plays the role of the persisted ``source_files`` table.
+    """
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+    return select.select_sources(code_corpus(spark, sf_dir)).checkpoint(eager=True)
 
 
 # --------------------------------------------------------------------------- selection
@@ -327,6 +334,186 @@ def q_top_edges(spark, sf_dir):
     return graph.top_edges(edges, graph.degrees(nodes, edges), 50)
 
 
+REACH_SQL = GRAPH_SQL + """,
+reach AS (SELECT * FROM (WITH RECURSIVE r(repo_name, a, b) AS (
+            SELECT repo_name, src, dst FROM edges
+            UNION SELECT r.repo_name, r.a, e.dst FROM r JOIN edges e ON e.repo_name = r.repo_name AND e.src = r.b)
+          SELECT * FROM r)),
+cyc_nodes AS (SELECT DISTINCT repo_name, a AS node FROM reach WHERE a = b)"""
+
+PATHS_SQL = REACH_SQL + """,
+ce AS (SELECT e.repo_name, e.src, e.dst FROM edges e
+       JOIN reach r1 ON r1.repo_name = e.repo_name AND r1.a = e.dst AND r1.b = e.src),
+paths AS (SELECT * FROM (WITH RECURSIVE p(repo_name, start, last, path, len) AS (
+            SELECT repo_name, src, dst, [src, dst], 2 FROM ce WHERE dst > src
+            UNION ALL SELECT p.repo_name, p.start, c.dst, list_append(p.path, c.dst), p.len + 1
+            FROM p JOIN ce c ON c.repo_name = p.repo_name AND c.src = p.last
+            WHERE c.dst > p.start AND NOT list_contains(p.path, c.dst) AND p.len < 8)
+          SELECT * FROM p)),
+cyc AS (SELECT p.repo_name, p.path, CAST(p.len AS INTEGER) AS length FROM paths p
+        JOIN ce c ON c.repo_name = p.repo_name AND c.src = p.last AND c.dst = p.start)"""
+
+
+def cycle_inputs(spark, sf_dir):
+    from ..operators import cycles
+    _, _, _, nodes, edges = graph_parts(spark, sf_dir)
+    edges = edges.checkpoint(eager=True)
+    return nodes, edges, cycles.strongly_connected(edges)
+
+
+@register("cycle_nodes", REACH_SQL + """
+SELECT repo_name, node FROM cyc_nodes""")
+def q_cycle_nodes(spark, sf_dir):
+    """Files on some import cycle (non-trivial strongly connected components)."""
+    return cycle_inputs(spark, sf_dir)[2].select("repo_name", "node")
+
+
+@register("cycles", PATHS_SQL + """
+SELECT repo_name, path, length FROM cyc""")
+def q_cycles(spark, sf_dir):
+    """Elementary cycles of length <= 8, each rooted at its smallest file."""
+    from ..operators import cycles
+    _, edges, scc = cycle_inputs(spark, sf_dir)
+    return cycles.cycles(edges, scc, max_len=8)
+
+
+@register("cycle_listing", PATHS_SQL + """
+SELECT repo_name, rank, cycle FROM (
+  SELECT repo_name, CAST(row_number() OVER (PARTITION BY repo_name ORDER BY length, array_to_string(path, chr(1))) AS INTEGER) AS rank,
+         array_to_string(path, ' → ') || ' → ' || path[1] AS cycle FROM cyc) WHERE rank <= 5""")
+def q_cycle_listing(spark, sf_dir):
+    """First 5 cycles per repository rendered ``a → b → a``."""
+    from ..operators import cycles
+    _, edges, scc = cycle_inputs(spark, sf_dir)
+    return cycles.show_cycles(cycles.cycles(edges, scc, max_len=8), 5)
+
+
+@register("graph_stats")
+def q_graph_stats(spark, sf_dir):
+    """Nodes, edges, cycles (<= 8, with completeness) and the top-5 most depended on."""
+    from ..plans import jobs
+    nodes, edges, scc = cycle_inputs(spark, sf_dir)
+    return jobs.graph_stats(nodes, edges, scc=scc)
+
+
+@register("architecture_context", TOP_EDGES_SQL.split("SELECT repo_name, rank, src, dst, dst_in, src_out FROM (")[0] + """,
+ep AS (SELECT repo_name, list(node ORDER BY rank) AS l FROM (
+         SELECT *, row_number() OVER (PARTITION BY repo_name ORDER BY node) AS rank FROM deg WHERE in_degree = 0)
+       WHERE rank <= 10 GROUP BY ALL),
+md AS (SELECT repo_name, list(node || ' (' || in_degree || ' imports)' ORDER BY rank) AS l FROM (
+         SELECT *, row_number() OVER (PARTITION BY repo_name ORDER BY in_degree DESC, node) AS rank FROM deg)
+       WHERE rank <= 10 GROUP BY ALL),
+lm AS (SELECT repo_name, list(node || ' (' || out_degree || ' outgoing deps)' ORDER BY rank) AS l FROM (
+         SELECT *, row_number() OVER (PARTITION BY repo_name ORDER BY out_degree DESC, node) AS rank FROM deg)
+       WHERE rank <= 10 GROUP BY ALL),
+dp AS (SELECT repo_name, list(src || ' -> ' || dst ORDER BY rank) AS l FROM (
+         SELECT *, row_number() OVER (PARTITION BY repo_name ORDER BY dst_in DESC, src_out DESC, src, first_ord) AS rank FROM te)
+       WHERE rank <= 50 GROUP BY ALL),
+sz AS (SELECT n.repo_name, n.c AS node_count, coalesce(e.c, 0) AS edge_count
+       FROM (SELECT repo_name, count(*) AS c FROM nodes GROUP BY ALL) n
+       LEFT JOIN (SELECT repo_name, count(*) AS c FROM edges GROUP BY ALL) e USING (repo_name))
+SELECT sz.repo_name, coalesce(ep.l, []) AS entry_points, coalesce(md.l, []) AS most_depended_on,
+       coalesce(lm.l, []) AS largest_modules, coalesce(dp.l, []) AS dependencies, node_count, edge_count
+FROM sz LEFT JOIN ep USING (repo_name) LEFT JOIN md USING (repo_name) LEFT JOIN lm USING (repo_name)
+LEFT JOIN dp USING (repo_name)""")
+def q_architecture_context(spark, sf_dir):
+    """The architecture context bundle with its display strings."""
+    from ..operators import graph
+    _, _, _, nodes, edges = graph_parts(spark, sf_dir)
+    return graph.architecture_context(nodes, edges)
+
+
+@register("graph_data", GRAPH_SQL + """,
+pn AS (SELECT repo_name, list(node ORDER BY node) AS nodes FROM nodes GROUP BY ALL),
+pe AS (SELECT repo_name, list({'src': src, 'dst': dst} ORDER BY src, first_ord, dst) AS edges FROM edges GROUP BY ALL)
+SELECT pn.repo_name, {'nodes': pn.nodes, 'edges': coalesce(pe.edges, [])} AS graph_data
+FROM pn LEFT JOIN pe USING (repo_name)""")
+def q_graph_data(spark, sf_dir):
+    """Node list + edge pair list per repository (attributes dropped)."""
+    from ..operators import graph
+    _, _, _, nodes, edges = graph_parts(spark, sf_dir)
+    return graph.pack_graph(nodes, edges)
+
+# --------------------------------------------------------------------------- ranking and prompts
+def _score_sql(path="rel_path"):
+    from ..operators.rank import KEYWORDS, NEGATIVE_NAMES, PRIORITY_NAMES
+    name = f"lower(regexp_extract({path}, '[^/]*$', 0))"
+    q = lambda xs: ", ".join("'" + x + "'" for x in xs)
+    kws = " + ".join(f"(CASE WHEN contains(lower({path}), '{k}') THEN 20 ELSE 0 END)" for k in KEYWORDS)
+    return (f"((CASE WHEN {name} IN ({q(PRIORITY_NAMES)}) THEN 100 ELSE 0 END) + {kws}"
+            f" + (CASE WHEN contains({name}, 'config') THEN 15 ELSE 0 END)"
+            f" + (CASE WHEN {name} IN ({q(NEGATIVE_NAMES)}) THEN -100 ELSE 0 END))")
+
+
+def _sql_str(text):
+    return "'" + text.replace("'", "''") + "'"
+
+
+@register("file_scores", f"""
+WITH {S.selected_cte()}
+SELECT repo_name, rel_path, CAST({_score_sql()} AS INTEGER) AS score FROM sel""")
+def q_file_scores(spark, sf_dir):
+    """F1: architectural relevance score of every selected file."""
+    from ..operators.rank import file_score
+    return selected(spark, sf_dir).select("repo_name", "rel_path", file_score("rel_path").cast("int").alias("score"))
+
+
+BEST_SQL = CHUNKS_SQL + """,
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo_name, file_path
+                                  ORDER BY length(text) DESC, chunk_id) AS r FROM chunks) WHERE r = 1),
+firsts AS (SELECT repo_name, file_path, min(chunk_id) AS first_id FROM chunks GROUP BY ALL)"""
+
+
+@register("best_chunk_per_file", BEST_SQL + """
+SELECT repo_name, file_path, chunk_id FROM best""")
+def q_best_chunk_per_file(spark, sf_dir):
+    """Longest chunk of each file (first on ties)."""
+    from ..operators import rank
+    return rank.best_chunk_per_file(chunk.chunk_files(selected(spark, sf_dir))).select("repo_name", "file_path", "chunk_id")
+
+
+ARCH_SQL = BEST_SQL + f""",
+arch AS (SELECT * FROM (SELECT b.repo_name, b.file_path, b.chunk_id, CAST({_score_sql("b.file_path")} AS INTEGER) AS score,
+                CAST(row_number() OVER (PARTITION BY b.repo_name ORDER BY {_score_sql("b.file_path")} DESC, f.first_id) AS INTEGER) AS rank
+         FROM best b JOIN firsts f USING (repo_name, file_path)) WHERE rank <= 12)"""
+
+
+@register("architecture_chunks", ARCH_SQL + """
+SELECT repo_name, rank, file_path, chunk_id, score FROM arch""")
+def q_architecture_chunks(spark, sf_dir):
+    """K5: best chunk of the 12 most relevant files per repository."""
+    from ..operators import rank
+    return (rank.select_architecture_chunks(chunk.chunk_files(selected(spark, sf_dir)), 12)
+            .select("repo_name", "rank", "file_path", "chunk_id", F.col("score").cast("int").alias("score")))
+
+
+@register("file_listing", ARCH_SQL + """
+SELECT repo_name, array_to_string(list_sort(list(DISTINCT file_path)), chr(10)) AS repo_structure FROM arch GROUP BY ALL""")
+def q_file_listing(spark, sf_dir):
+    """Sorted distinct files of the architecture chunks, newline-joined."""
+    from ..operators import rank
+    return rank.file_listing(rank.select_architecture_chunks(chunk.chunk_files(selected(spark, sf_dir)), 12))
+
+
+def _review_sql():
+    from ..operators.prompt import REVIEW_HEAD, REVIEW_TAIL
+    return CHUNKS_SQL + f""",
+blocks AS (SELECT repo_name, chunk_id, '--- File: ' || file_path || ' | ' || upper(substr(chunk_type, 1, 1))
+             || lower(substr(chunk_type, 2)) || ': ' || name || ' | Lines: ' || start_line || '-' || end_line
+             || ' ---' || chr(10) || text AS b FROM chunks WHERE chunk_id < 15)
+SELECT repo_name, 'review' AS task,
+       {_sql_str(REVIEW_HEAD)} || string_agg(b, chr(10) || chr(10) ORDER BY chunk_id) || {_sql_str(REVIEW_TAIL)} AS prompt,
+       CAST(0.1 AS DOUBLE) AS temperature FROM blocks GROUP BY ALL"""
+
+
+@register("review_prompts", _review_sql())
+def q_review_prompts(spark, sf_dir):
+    """T2 (+F2, F3, S6): the defect-review prompt of each repository."""
+    from ..operators import prompt, vectors
+    sample = vectors.sample_chunks(chunk.chunk_files(selected(spark, sf_dir)), 15)
+    return prompt.review_prompts(sample)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
