@@ -388,7 +388,18 @@ def q_cycle_listing(spark, sf_dir):
     return cycles.show_cycles(cycles.cycles(edges, scc, max_len=8), 5)
 
 
-@register("graph_stats")
+@register("graph_stats", PATHS_SQL + """,
+open_paths AS (SELECT DISTINCT p.repo_name FROM paths p JOIN ce c ON c.repo_name = p.repo_name AND c.src = p.last
+               WHERE p.len = 8 AND c.dst > p.start AND NOT list_contains(p.path, c.dst)),
+md AS (SELECT repo_name, list({'file': node, 'imported_by': in_degree} ORDER BY rank) AS l FROM (
+         SELECT *, row_number() OVER (PARTITION BY repo_name ORDER BY in_degree DESC, node) AS rank
+         FROM deg WHERE in_degree > 0) WHERE rank <= 5 GROUP BY ALL)
+SELECT n.repo_name, n.c AS nodes, coalesce(e.c, 0) AS edges, coalesce(k.c, 0) AS cycles,
+       o.repo_name IS NULL AS cycles_complete, coalesce(md.l, []) AS most_depended_on
+FROM (SELECT repo_name, count(*) AS c FROM nodes GROUP BY ALL) n
+LEFT JOIN (SELECT repo_name, count(*) AS c FROM edges GROUP BY ALL) e USING (repo_name)
+LEFT JOIN (SELECT repo_name, count(*) AS c FROM cyc GROUP BY ALL) k USING (repo_name)
+LEFT JOIN open_paths o USING (repo_name) LEFT JOIN md USING (repo_name)""")
 def q_graph_stats(spark, sf_dir):
     """Nodes, edges, cycles (<= 8, with completeness) and the top-5 most depended on."""
     from ..plans import jobs

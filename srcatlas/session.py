@@ -55,3 +55,37 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(path)
     return path
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``srcatlas`` importable in Python workers (for pandas-backed operators).
+
+    The package is zipped once per SparkContext into the shared checkpoint folder and
+    added with ``addPyFile``, which distributes it to every executor.
+    """
+    import uuid
+    import zipfile
+
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    base = ensure_checkpoint_dir(spark)
+    local = base[len("file:"):] if base.startswith("file:") else base
+    if "://" in local:                       # remote shared storage: stage locally, Spark uploads it
+        local = tempfile.mkdtemp(prefix="srcatlas-pkg-")
+    os.makedirs(local, exist_ok=True)
+    path = os.path.join(local, f"srcatlas-{uuid.uuid4().hex}.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as zf:
+        for d, _, names in os.walk(pkg):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(d, n)
+                    zf.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    _SHIPPED.add(key)

@@ -58,5 +58,7 @@ def read_repo_archives(spark: SparkSession, path: str, glob: str = "*.zip") -> D
                         rows.append((repo, parts[1], data, info.file_size))
             yield pd.DataFrame(rows, columns=["repo_name", "rel_path", "raw", "size"])
 
+    from ..session import ship_package
+    ship_package(spark)
     files = zips.mapInPandas(unzip, "repo_name string, rel_path string, raw binary, size bigint")
     return files.select("repo_name", "rel_path", decode_content("raw").alias("content"), "size")
