@@ -524,6 +524,92 @@ def q_review_prompts(spark, sf_dir):
     sample = vectors.sample_chunks(chunk.chunk_files(selected(spark, sf_dir)), 15)
     return prompt.review_prompts(sample)
 
+# --------------------------------------------------------------------------- views, admission, more prompts
+@register("node_view", REACH_SQL + """,
+nv AS (SELECT d.repo_name, d.node, d.language, d.in_degree, c.node IS NOT NULL AS in_cycle
+       FROM deg d LEFT JOIN cyc_nodes c ON c.repo_name = d.repo_name AND c.node = d.node)
+SELECT repo_name, node, regexp_extract(node, '[^/]*$', 0) AS label,
+       '<b>' || node || '</b><br>Language: ' || language || '<br>Imported by: ' || in_degree || ' file(s)<br>'
+         || CASE WHEN in_cycle THEN '⚠️ Part of circular dependency' ELSE '' END AS title,
+       CASE WHEN in_cycle THEN '#E24B4A' WHEN language = 'python' THEN '#4B8BBE'
+            WHEN language = 'javascript' THEN '#F7DF1E' WHEN language = 'typescript' THEN '#3178C6' ELSE '#888780' END AS color,
+       least(15 + 5 * in_degree, 50) AS size, in_degree, in_cycle FROM nv""")
+def q_node_view(spark, sf_dir):
+    """J7 + F4-F6: node display rows (label, hover title, colour, size)."""
+    from ..operators import view
+    nodes, edges, scc = cycle_inputs(spark, sf_dir)
+    return view.node_view(nodes, edges, scc)
+
+
+@register("edge_view", REACH_SQL + """
+SELECT e.repo_name, e.src, e.dst, (s.node IS NOT NULL AND d.node IS NOT NULL) AS in_cycle,
+       CASE WHEN s.node IS NOT NULL AND d.node IS NOT NULL THEN '#E24B4A' ELSE '#555577' END AS color,
+       1.5 AS width, 'to' AS arrows
+FROM edges e LEFT JOIN cyc_nodes s ON s.repo_name = e.repo_name AND s.node = e.src
+LEFT JOIN cyc_nodes d ON d.repo_name = e.repo_name AND d.node = e.dst""")
+def q_edge_view(spark, sf_dir):
+    """J8 + F7: edge display rows; red when both ends lie on cycles."""
+    from ..operators import view
+    _, edges, scc = cycle_inputs(spark, sf_dir)
+    return view.edge_view(edges, scc)
+
+
+@register("index_admission", CHUNKS_SQL + f""", {REQ_SQL},
+cnt AS (SELECT repo_name, count(*) AS n FROM chunks GROUP BY ALL)
+SELECT req.repo_name, CAST(coalesce(n, 0) AS BIGINT) AS n_chunks,
+       CASE WHEN coalesce(n, 0) = 0 OR coalesce(n, 0) > 150 THEN 'error' ELSE 'success' END AS status,
+       CASE WHEN coalesce(n, 0) = 0 THEN 'No chunks provided — nothing to embed.'
+            WHEN n > 150 THEN 'Repository too large. ' || n || ' chunks exceeds limit.' ELSE '' END AS message
+FROM req LEFT JOIN cnt USING (repo_name)""")
+def q_index_admission(spark, sf_dir):
+    """Empty / oversize guard before the index write (limit 150 here so both outcomes occur)."""
+    from ..sources import store
+    return store.index_admission(chunk.chunk_files(selected(spark, sf_dir)), requested_repos(spark, sf_dir), 150)
+
+
+@register("repos_without_sources", f"""
+WITH {S.selected_cte()}, {REQ_SQL}
+SELECT repo_name, 'error' AS status, 'No supported source files found. Supported: .py, .js, .ts, .jsx, .tsx' AS message
+FROM req WHERE repo_name NOT IN (SELECT repo_name FROM sel)""")
+def q_repos_without_sources(spark, sf_dir):
+    """Requested repositories with no selected file become error rows."""
+    return select.repos_without_sources(requested_repos(spark, sf_dir), selected(spark, sf_dir))
+
+
+def _refactor_sql():
+    from ..operators.prompt import REFACTOR_HEAD, REFACTOR_TAIL
+    return CHUNKS_SQL + f""",
+blocks AS (SELECT repo_name, chunk_id, '--- File: ' || file_path || ' | ' || upper(substr(chunk_type, 1, 1))
+             || lower(substr(chunk_type, 2)) || ': ' || name || ' | Lines: ' || start_line || '-' || end_line
+             || ' ---' || chr(10) || text AS b FROM chunks WHERE chunk_id < 15)
+SELECT repo_name, 'refactor' AS task,
+       {_sql_str(REFACTOR_HEAD)} || string_agg(b, chr(10) || chr(10) ORDER BY chunk_id) || {_sql_str(REFACTOR_TAIL)} AS prompt,
+       CAST(0.3 AS DOUBLE) AS temperature FROM blocks GROUP BY ALL"""
+
+
+@register("refactor_prompts", _refactor_sql())
+def q_refactor_prompts(spark, sf_dir):
+    """T4: refactoring prompt per repository from its first 15 chunks."""
+    from ..operators import prompt, vectors
+    return prompt.refactor_prompts(vectors.sample_chunks(chunk.chunk_files(selected(spark, sf_dir)), 15))
+
+
+@register("answer_prompts")
+def q_answer_prompts(spark, sf_dir):
+    """T1 (+V1, K6, F3): each user turn of ``conversations`` asks repo{conv_id % 5}; the
+    hashed bag-of-words encoder embeds chunks and questions alike; top-5 hits form the
+    context.  No oracle: the encoder's hashing is Spark's own."""
+    from ..operators import prompt, vectors
+    from ..sources.corpus import table
+    idx = vectors.embed(chunk.chunk_files(selected(spark, sf_dir)), "text").checkpoint(eager=True)
+    conv = table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
+    qs = conv.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"),
+                     F.concat(F.lit("repo"), (F.col("conv_id") % 5).cast("string")).alias("repo_name"),
+                     F.col("text").alias("question"))
+    qv = vectors.embed(vectors.known_repos(qs, idx), "question")
+    hits = vectors.search(idx, qv, top_k=5)
+    return prompt.answer_prompts(hits, qs)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
