@@ -208,9 +208,11 @@ def graph_parts(spark, sf_dir):
     """(files, imports, resolved, nodes, edges) of the code corpus."""
     from ..operators import graph, imports
     files = selected(spark, sf_dir)
-    imps = imports.extract_imports(files)
+    # imports and edges are thin and feed several branches (degrees, top lists, cycles):
+    # written once to the checkpoint folder instead of re-deriving them per branch
+    imps = imports.extract_imports(files).checkpoint(eager=True)
     res = imports.resolve_imports(imps, files)
-    return files, imps, res, graph.graph_nodes(files), graph.graph_edges(res, imps)
+    return files, imps, res, graph.graph_nodes(files), graph.graph_edges(res, imps).checkpoint(eager=True)
 
 
 @register("imports", GRAPH_SQL + """
@@ -357,8 +359,7 @@ cyc AS (SELECT p.repo_name, p.path, CAST(p.len AS INTEGER) AS length FROM paths
 def cycle_inputs(spark, sf_dir):
     from ..operators import cycles
     _, _, _, nodes, edges = graph_parts(spark, sf_dir)
-    edges = edges.checkpoint(eager=True)
-    return nodes, edges, cycles.strongly_connected(edges)
+    return nodes, edges, cycles.strongly_connected(edges).checkpoint(eager=True)
 
 
 @register("cycle_nodes", REACH_SQL + """
