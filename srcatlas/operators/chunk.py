@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from .ordinals import group_ordinals, spread
-from ..session import ensure_checkpoint_dir
+from ..session import materialize
 from . import definitions
 
 MIN_CHARS = 50
@@ -131,10 +131,9 @@ def chunk_files(files: DataFrame, min_chars: int = MIN_CHARS, max_chars: int = M
             .select("repo_name", F.col("rel_path").alias("file_path"), "language",
                     F.posexplode(arr).alias("pos", "c")))
     # Numbering reads the rows twice (local positions and per-partition offsets);
-    # a reliable checkpoint in the shared checkpoint folder keeps the chunking from
+    # writing them once to the shared checkpoint folder keeps the chunking from
     # running twice and survives executor loss.
-    ensure_checkpoint_dir(files.sparkSession)
-    rows = rows.checkpoint(eager=True)
+    rows = materialize(rows, "chunk-rows")
     ranked = group_ordinals(rows, ["repo_name"], ["file_path", "pos"], out="chunk_id")
     return ranked.select("repo_name", "chunk_id", "file_path", "c.chunk_type", "c.name", "c.start_line",
                          "c.end_line", "language", "c.text")

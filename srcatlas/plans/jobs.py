@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import chunk, cycles, graph, imports, prompt, rank, replies, select, vectors
 from ..sources import store
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, materialize
 
 
 def graph_stats(nodes: DataFrame, edges: DataFrame, max_len: int = 8, scc: DataFrame | None = None) -> DataFrame:
@@ -40,7 +40,7 @@ def index_repositories(files: DataFrame, out: str, responder, encoder=None, max_
     spark = files.sparkSession
     ensure_checkpoint_dir(spark)
     repos = files.select("repo_name").distinct()
-    sel = select.select_sources(files, max_files).checkpoint(eager=True)
+    sel = materialize(select.select_sources(files, max_files), "source-files")
     missing = select.repos_without_sources(repos, sel)
     chunks = chunk.chunk_files(sel)
     admission = store.index_admission(chunks, repos, max_chunks)
@@ -48,7 +48,7 @@ def index_repositories(files: DataFrame, out: str, responder, encoder=None, max_
     store.write_chunk_index(vectors_embed(admitted, encoder), f"{out}/chunk_index")
     imps = imports.extract_imports(sel)
     nodes, edges = graph.graph_nodes(sel), graph.graph_edges(imports.resolve_imports(imps, sel), imps)
-    edges = edges.checkpoint(eager=True)
+    edges = materialize(edges, "edges")
     stats = graph_stats(nodes, edges, max_len)
     ctx = graph.architecture_context(nodes, edges)
     arch_chunks = rank.select_architecture_chunks(admitted, 12)

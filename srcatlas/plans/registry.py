@@ -36,9 +36,8 @@ def selected(spark: SparkSession, sf_dir: str) -> DataFrame:
     Every job reads this table from several branches (chunks, imports, nodes); the
     reliable checkpoint plays the role of the persisted ``source_files`` table.
     """
-    from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(spark)
-    return select.select_sources(code_corpus(spark, sf_dir)).checkpoint(eager=True)
+    from ..session import materialize
+    return materialize(select.select_sources(code_corpus(spark, sf_dir)), "source-files")
 
 
 # --------------------------------------------------------------------------- selection
@@ -210,9 +209,10 @@ def graph_parts(spark, sf_dir):
     files = selected(spark, sf_dir)
     # imports and edges are thin and feed several branches (degrees, top lists, cycles):
     # written once to the checkpoint folder instead of re-deriving them per branch
-    imps = imports.extract_imports(files).checkpoint(eager=True)
+    from ..session import materialize
+    imps = materialize(imports.extract_imports(files), "imports")
     res = imports.resolve_imports(imps, files)
-    return files, imps, res, graph.graph_nodes(files), graph.graph_edges(res, imps).checkpoint(eager=True)
+    return files, imps, res, graph.graph_nodes(files), materialize(graph.graph_edges(res, imps), "edges")
 
 
 @register("imports", GRAPH_SQL + """
@@ -359,7 +359,8 @@ cyc AS (SELECT p.repo_name, p.path, CAST(p.len AS INTEGER) AS length FROM paths
 def cycle_inputs(spark, sf_dir):
     from ..operators import cycles
     _, _, _, nodes, edges = graph_parts(spark, sf_dir)
-    return nodes, edges, cycles.strongly_connected(edges).checkpoint(eager=True)
+    from ..session import materialize
+    return nodes, edges, materialize(cycles.strongly_connected(edges), "scc")
 
 
 @register("cycle_nodes", REACH_SQL + """
@@ -602,7 +603,8 @@ def q_answer_prompts(spark, sf_dir):
     context.  No oracle: the encoder's hashing is Spark's own."""
     from ..operators import prompt, vectors
     from ..sources.corpus import table
-    idx = vectors.embed(chunk.chunk_files(selected(spark, sf_dir)), "text").checkpoint(eager=True)
+    from ..session import materialize
+    idx = materialize(vectors.embed(chunk.chunk_files(selected(spark, sf_dir)), "text"), "chunk-vectors")
     conv = table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
     qs = conv.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"),
                      F.concat(F.lit("repo"), (F.col("conv_id") % 5).cast("string")).alias("repo_name"),

@@ -89,3 +89,17 @@ def ship_package(spark: SparkSession) -> None:
                     zf.write(full, os.path.relpath(full, root))
     sc.addPyFile(path)
     _SHIPPED.add(key)
+
+
+def materialize(df, name: str = "table"):
+    """Cut lineage by writing ``df`` as Parquet under ``spark.checkpoint.dir`` and reading it back.
+
+    One computation (an eager RDD checkpoint runs the plan twice), columnar and
+    compressed, and on shared storage, so it survives the loss of any executor.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/srcatlas-tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -1 +1,8 @@
-"""streaming."""
+"""Streaming: intentionally empty.
+
+The reference has no streams, event time, watermarks or state (incremental updates
+appear only as future work in its README), so nothing here is built.  Batch jobs
+re-index a repository by overwriting its partition of the chunk index
+(``sources.store.write_chunk_index``), which is also what a ``foreachBatch`` sink
+would call.
+"""
