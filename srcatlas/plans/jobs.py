@@ -54,15 +54,15 @@ def index_repositories(files: DataFrame, out: str, responder, encoder=None, max_
     arch_chunks = rank.select_architecture_chunks(admitted, 12)
     prompts = prompt.architecture_prompts(ctx, rank.file_listing(arch_chunks)).withColumnRenamed("repo_name", "request_id")
     results = replies.architecture_results(replies.infer(prompts, responder)).withColumnRenamed("request_id", "repo_name")
-    meta = (results.filter("saved").join(stats, "repo_name").join(graph.pack_graph(nodes, edges), "repo_name")
-            .join(ctx, "repo_name")
-            .select("repo_name", "summary", "mermaid",
-                    F.struct("nodes", "edges", "cycles", "cycles_complete", "most_depended_on").alias("graph_stats"),
-                    "graph_data",
-                    F.struct("entry_points", "most_depended_on", "largest_modules", "dependencies",
-                             "node_count", "edge_count").alias("architecture_context")))
+    gs = stats.select("repo_name", F.struct("nodes", "edges", "cycles", "cycles_complete",
+                                            "most_depended_on").alias("graph_stats"))
+    ac = ctx.select("repo_name", F.struct("entry_points", "most_depended_on", "largest_modules", "dependencies",
+                                          "node_count", "edge_count").alias("architecture_context"))
+    meta = (results.filter("saved").select("repo_name", "summary", "mermaid")
+            .join(gs, "repo_name").join(graph.pack_graph(nodes, edges), "repo_name").join(ac, "repo_name"))
     store.upsert_metadata(spark, f"{out}/repo_metadata", meta)
     counts = result_counts(sel, admitted)
+    admission = admission.join(missing.select("repo_name"), "repo_name", "left_anti")
     return (admission.join(counts, "repo_name", "left").unionByName(
         missing.withColumn("n_chunks", F.lit(0).cast("bigint")).withColumn("files_indexed", F.lit(0).cast("bigint"))
         .withColumn("chunks_stored", F.lit(0).cast("bigint")), allowMissingColumns=True))
