@@ -17,7 +17,7 @@ from srcatlas.plans import registry  # noqa: E402
 from srcatlas.session import local_session  # noqa: E402
 
 HEADLINE = ["selected_files", "chunks", "chunk_counts", "vector_search", "resolved_imports", "graph_edges",
-            "degrees", "top_edges", "sample_chunks"]
+            "degrees", "top_edges", "sample_chunks", "architecture_context", "cycle_nodes", "cycles", "node_view"]
 
 
 def run(df) -> None:
