@@ -60,75 +60,86 @@ def _close(e: Column, end) -> Column:
                     e["name"].alias("name"), e["col"].alias("col"))
 
 
+def _python_features(line: Column) -> Column:
+    """Per-line facts, each regex evaluated once per line (lambdas get no CSE)."""
+    return F.struct(F.regexp_extract_all(line, F.lit(TRIPLE_QUOTE), 1).alias("tq"),
+                    F.length(_rx(line, r"^[ \t]*", 0)).alias("indent"),
+                    line.rlike(r"^[ \t\f]*(#.*)?$").alias("quiet"),          # blank or comment-only
+                    line.rlike(r"^[ \t]*[)\]}]").alias("closer"),
+                    _rx(line, PY_DEF).alias("fn"), _rx(line, PY_CLASS).alias("cls"))
+
+
 def python_spans(lines: Column) -> Column:
     """Spans of ``def``/``class`` blocks: array of (start, end, kind, name, col)."""
     init = F.struct(F.lit(0).alias("i"), F.lit("").alias("q"), F.lit(0).alias("last"),
                     F.array().cast(OPEN_T).alias("stack"), F.array().cast(SPAN_T).alias("out"))
 
-    def step(acc, line):
+    def step(acc, f):
         i = acc["i"] + 1
         in_str = acc["q"] != ""
-        q_after = F.aggregate(F.regexp_extract_all(line, F.lit(TRIPLE_QUOTE), 1), acc["q"],
+        q_after = F.aggregate(f["tq"], acc["q"],
                               lambda s, t: F.when(s == "", t).when(s == t, F.lit("")).otherwise(s))
-        indent = F.length(_rx(line, r"^[ \t]*", 0))
-        quiet = line.rlike(r"^[ \t\f]*(#.*)?$")          # blank or comment-only
-        closer = line.rlike(r"^[ \t]*[)\]}]")
-        is_term = ~in_str & ~quiet & ~closer
-        ends = lambda e: is_term & (e["level"] >= indent)
+        is_term = ~in_str & ~f["quiet"] & ~f["closer"]
+        ends = lambda e: is_term & (e["level"] >= f["indent"])
         out = F.concat(acc["out"], F.transform(F.filter(acc["stack"], ends), lambda e: _close(e, acc["last"])))
         kept = F.filter(acc["stack"], lambda e: ~ends(e))
-        fn, cls = _rx(line, PY_DEF), _rx(line, PY_CLASS)
         head = F.when(in_str, F.array().cast(OPEN_T)) \
-            .when(fn != "", F.array(_open(i, indent, "function", fn, indent + 1))) \
-            .when(cls != "", F.array(_open(i, indent, "class", cls, indent + 1))) \
+            .when(f["fn"] != "", F.array(_open(i, f["indent"], "function", f["fn"], f["indent"] + 1))) \
+            .when(f["cls"] != "", F.array(_open(i, f["indent"], "class", f["cls"], f["indent"] + 1))) \
             .otherwise(F.array().cast(OPEN_T))
-        last = F.when(in_str | ~quiet, i).otherwise(acc["last"])
+        last = F.when(in_str | ~f["quiet"], i).otherwise(acc["last"])
         return F.struct(i.alias("i"), q_after.alias("q"), last.alias("last"),
                         F.concat(kept, head).alias("stack"), out.alias("out"))
 
-    return F.aggregate(lines, init, step,
+    return F.aggregate(F.transform(lines, _python_features), init, step,
                        lambda acc: F.concat(acc["out"], F.transform(acc["stack"], lambda e: _close(e, acc["last"]))))
 
 
+def _js_features(line: Column, typescript: Column) -> Column:
+    clean = F.regexp_replace(line, JS_NOISE, "")
+    delta = (F.length(clean) - F.length(F.replace(clean, F.lit("{"), F.lit("")))) \
+        - (F.length(clean) - F.length(F.replace(clean, F.lit("}"), F.lit(""))))
+    meth = _rx(line, JS_METHOD)
+    return F.struct(line.alias("l"), delta.alias("delta"),
+                    line.rlike(r"^[ \t]*(//|/\*|\*)").alias("comment"),
+                    F.length(_rx(line, r"^[ \t]*", 0)).alias("indent"),
+                    _rx(line, JS_FUNCTION).alias("fn"), _rx(line, JS_CLASS).alias("cls"),
+                    F.when(typescript, _rx(line, TS_INTERFACE)).otherwise(F.lit("")).alias("iface"),
+                    F.when(typescript, _rx(line, TS_TYPE)).otherwise(F.lit("")).alias("alias"),
+                    F.when(meth.isin(*NOT_METHOD_NAMES), F.lit("")).otherwise(meth).alias("meth"),
+                    F.regexp_instr(line, F.lit(JS_ARROW)).alias("arrow_at"))
+
+
 def js_spans(lines: Column, typescript: Column) -> Column:
     """Spans of functions, classes, methods, arrows (and TS interfaces / type aliases)."""
     init = F.struct(F.lit(0).alias("i"), F.lit(0).alias("depth"),
                     F.array().cast(OPEN_T).alias("stack"), F.array().cast(SPAN_T).alias("out"))
 
-    def step(acc, line):
+    def step(acc, f):
         i = acc["i"] + 1
-        clean = F.regexp_replace(line, JS_NOISE, "")
-        opens = F.length(clean) - F.length(F.replace(clean, F.lit("{"), F.lit("")))
-        closes = F.length(clean) - F.length(F.replace(clean, F.lit("}"), F.lit("")))
-        after = acc["depth"] + opens - closes
-        comment = line.rlike(r"^[ \t]*(//|/\*|\*)")
-        indent = F.length(_rx(line, r"^[ \t]*", 0))
-        fn, cls = _rx(line, JS_FUNCTION), _rx(line, JS_CLASS)
-        iface, alias = _rx(line, TS_INTERFACE), _rx(line, TS_TYPE)
-        meth = _rx(line, JS_METHOD)
-        arrow_at = F.regexp_instr(line, F.lit(JS_ARROW))
-        arrow_name = F.coalesce(F.nullif(_rx(F.substring(line, arrow_at, 1 << 20), JS_ARROW_NAME), F.lit("")),
-                                F.lit("anonymous"))
+        after = acc["depth"] + f["delta"]
         d = acc["depth"]
-        head = F.when(comment, F.array().cast(OPEN_T)) \
-            .when(fn != "", F.array(_open(i, d, "function", fn,
-                                          F.regexp_instr(line, F.lit(r"(?:async[ \t]+)?function[ \t]"))))) \
-            .when(cls != "", F.array(_open(i, d, "class", cls, F.regexp_instr(line, F.lit(r"class[ \t]"))))) \
-            .when(typescript & (iface != ""),
-                  F.array(_open(i, d, "type", iface, F.regexp_instr(line, F.lit(r"interface[ \t]"))))) \
-            .when(typescript & (alias != ""),
-                  F.array(_open(i, d, "type", alias, F.regexp_instr(line, F.lit(r"type[ \t]"))))) \
-            .when((meth != "") & ~meth.isin(*NOT_METHOD_NAMES),
-                  F.array(_open(i, d, "function", meth, indent + 1))) \
-            .when(arrow_at > 0, F.array(_open(i, d, "function", arrow_name, arrow_at))) \
+        line = f["l"]
+        arrow_name = F.coalesce(F.nullif(_rx(F.substring(line, f["arrow_at"], 1 << 20), JS_ARROW_NAME),
+                                         F.lit("")), F.lit("anonymous"))
+        head = F.when(f["comment"], F.array().cast(OPEN_T)) \
+            .when(f["fn"] != "", F.array(_open(i, d, "function", f["fn"],
+                                               F.regexp_instr(line, F.lit(r"(?:async[ \t]+)?function[ \t]"))))) \
+            .when(f["cls"] != "", F.array(_open(i, d, "class", f["cls"], F.regexp_instr(line, F.lit(r"class[ \t]"))))) \
+            .when(f["iface"] != "",
+                  F.array(_open(i, d, "type", f["iface"], F.regexp_instr(line, F.lit(r"interface[ \t]"))))) \
+            .when(f["alias"] != "",
+                  F.array(_open(i, d, "type", f["alias"], F.regexp_instr(line, F.lit(r"type[ \t]"))))) \
+            .when(f["meth"] != "", F.array(_open(i, d, "function", f["meth"], f["indent"] + 1))) \
+            .when(f["arrow_at"] > 0, F.array(_open(i, d, "function", arrow_name, f["arrow_at"]))) \
             .otherwise(F.array().cast(OPEN_T))
         stack = F.concat(acc["stack"], head)
         ends = lambda e: e["level"] >= after
-        out = F.concat(acc["out"], F.transform(F.filter(stack, ends), lambda e: _close(e, i)))
-        return F.struct(i.alias("i"), after.alias("depth"), F.filter(stack, lambda e: ~ends(e)).alias("stack"),
-                        out.alias("out"))
+        return F.struct(i.alias("i"), after.alias("depth"),
+                        F.filter(stack, lambda e: ~ends(e)).alias("stack"),
+                        F.concat(acc["out"], F.transform(F.filter(stack, ends), lambda e: _close(e, i))).alias("out"))
 
-    return F.aggregate(lines, init, step,
+    return F.aggregate(F.transform(lines, lambda l: _js_features(l, typescript)), init, step,
                        lambda acc: F.concat(acc["out"], F.transform(acc["stack"], lambda e: _close(e, acc["i"]))))
 
 
