@@ -29,11 +29,18 @@ def graph_edges(resolved: DataFrame, imports: DataFrame) -> DataFrame:
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """In- and out-degree per node, zeros included."""
-    ind = edges.groupBy("repo_name", F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("in_degree"))
-    outd = edges.groupBy("repo_name", F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("out_degree"))
-    return (nodes.join(ind, ["repo_name", "node"], "left").join(outd, ["repo_name", "node"], "left")
-            .fillna(0, ["in_degree", "out_degree"]))
+    """In- and out-degree per node, zeros included.
+
+    Both ends of every edge are counted in one aggregation (one shuffle of the edges,
+    partial aggregation before it, so a file imported by everybody stays cheap) and
+    attached to the nodes with one join.
+    """
+    ends = edges.select("repo_name", F.explode(F.array(
+        F.struct(F.col("src").alias("node"), F.lit(0).alias("i"), F.lit(1).alias("o")),
+        F.struct(F.col("dst").alias("node"), F.lit(1).alias("i"), F.lit(0).alias("o")))).alias("x"))
+    d = ends.groupBy("repo_name", F.col("x.node").alias("node")).agg(
+        F.sum("x.i").cast("bigint").alias("in_degree"), F.sum("x.o").cast("bigint").alias("out_degree"))
+    return nodes.join(d, ["repo_name", "node"], "left").fillna(0, ["in_degree", "out_degree"])
 
 
 def graph_size(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -103,8 +110,21 @@ def architecture_context(nodes: DataFrame, edges: DataFrame) -> DataFrame:
                       "node_count", "edge_count")
 
 
-def pack_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``repo_name, graph_data struct<nodes, edges>``; attributes are dropped."""
+MAX_PACKED_ITEMS = 1_000_000
+
+
+def pack_graph(nodes: DataFrame, edges: DataFrame, max_items: int = MAX_PACKED_ITEMS) -> DataFrame:
+    """``repo_name, graph_data struct<nodes, edges>``; attributes are dropped.
+
+    One row holds a repository's whole graph (the reference's stored form), so it is
+    built only for repositories whose node + edge count passes ``max_items``; larger
+    graphs stay in the long ``graph_nodes`` / ``graph_edges`` tables the jobs persist.
+    """
+    counts = (nodes.groupBy("repo_name").agg(F.count(F.lit(1)).alias("_n"))
+              .join(edges.groupBy("repo_name").agg(F.count(F.lit(1)).alias("_e")), "repo_name", "full_outer"))
+    ok = counts.filter(F.coalesce("_n", F.lit(0)) + F.coalesce("_e", F.lit(0)) <= max_items).select("repo_name")
+    nodes = nodes.join(ok, "repo_name", "left_semi")
+    edges = edges.join(ok, "repo_name", "left_semi")
     n = nodes.groupBy("repo_name").agg(F.array_sort(F.collect_list("node")).alias("nodes"))
     e = edges.groupBy("repo_name").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("src", "first_ord", "dst"))),

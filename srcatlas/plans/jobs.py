@@ -49,6 +49,8 @@ def index_repositories(files: DataFrame, out: str, responder, encoder=None, max_
     imps = imports.extract_imports(sel)
     nodes, edges = graph.graph_nodes(sel), graph.graph_edges(imports.resolve_imports(imps, sel), imps)
     edges = materialize(edges, "edges")
+    store.write_chunk_index(nodes, f"{out}/graph_nodes")      # long form, any repository size
+    store.write_chunk_index(edges, f"{out}/graph_edges")
     stats = graph_stats(nodes, edges, max_len)
     ctx = graph.architecture_context(nodes, edges)
     arch_chunks = rank.select_architecture_chunks(admitted, 12)
