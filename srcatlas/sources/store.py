@@ -33,8 +33,13 @@ def write_chunk_index(chunks: DataFrame, path: str) -> None:
     spark = chunks.sparkSession
     prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    # Range partitioning on (repo, ids): a repository holding a third of the rows is
+    # written by many tasks, and each task writes few repository partitions.
+    order = [c for c in ("chunk_id", "node", "src", "dst") if c in chunks.columns]
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     try:
-        chunks.repartition("repo_name").write.mode("overwrite").partitionBy("repo_name").parquet(path)
+        (chunks.repartitionByRange(n, "repo_name", *order)
+         .write.mode("overwrite").partitionBy("repo_name").parquet(path))
     finally:
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
 
