@@ -27,6 +27,14 @@ REVIEW_TAIL = ("\n\nReturn ONLY a JSON array. Each element is an object with the
 REFACTOR_HEAD = "Suggest refactorings for the following code.\n\n"
 REFACTOR_TAIL = "\n\nGive at most 5 suggestions, each naming the file and line range it applies to.\n"
 ARCH_CODE_CONTEXT = "Use dependency graph information first. Code samples are secondary."
+# Literal pieces around the slots node_count, edge_count, entry points, most depended on,
+# largest modules, dependencies and the file listing.
+ARCH_PARTS = ("Explain the architecture of this repository from its dependency graph.\n\nGraph: ",
+              " files, ", " import edges.\n\nEntry points:\n", "\n\nMost depended on:\n",
+              "\n\nLargest modules:\n", "\n\nDependencies:\n", "\n\nFiles:\n",
+              "\n\nNote: " + ARCH_CODE_CONTEXT + "\n\nReply with a line starting with SUMMARY: followed by a "
+              "short description, then ONE fenced ```mermaid flowchart with at most 20 nodes and 30 edges, "
+              "using only edges from the dependency list, labelled imports, depends_on or references.\n")
 
 
 def chunk_block(file_path="file_path", chunk_type="chunk_type", name="name", start_line="start_line",
@@ -82,17 +90,11 @@ def architecture_prompts(context: DataFrame, files: DataFrame) -> DataFrame:
     """From the G9 bundle and the G11 listing of the K5 chunks (no chunk text)."""
     j = lambda c: F.array_join(c, "\n")
     body = F.concat(
-        F.lit("Explain the architecture of this repository from its dependency graph.\n\nGraph: "),
-        F.col("node_count").cast("string"), F.lit(" files, "), F.col("edge_count").cast("string"),
-        F.lit(" import edges.\n\nEntry points:\n"), j("entry_points"),
-        F.lit("\n\nMost depended on:\n"), j("most_depended_on"),
-        F.lit("\n\nLargest modules:\n"), j("largest_modules"),
-        F.lit("\n\nDependencies:\n"), j("dependencies"),
-        F.lit("\n\nFiles:\n"), F.coalesce("repo_structure", F.lit("")),
-        F.lit("\n\nNote: "), F.lit(ARCH_CODE_CONTEXT),
-        F.lit("\n\nReply with a line starting with SUMMARY: followed by a short description, then ONE "
-              "fenced ```mermaid flowchart with at most 20 nodes and 30 edges, using only edges from the "
-              "dependency list, labelled imports, depends_on or references.\n"))
+        F.lit(ARCH_PARTS[0]), F.col("node_count").cast("string"), F.lit(ARCH_PARTS[1]),
+        F.col("edge_count").cast("string"), F.lit(ARCH_PARTS[2]), j("entry_points"),
+        F.lit(ARCH_PARTS[3]), j("most_depended_on"), F.lit(ARCH_PARTS[4]), j("largest_modules"),
+        F.lit(ARCH_PARTS[5]), j("dependencies"), F.lit(ARCH_PARTS[6]), F.coalesce("repo_structure", F.lit("")),
+        F.lit(ARCH_PARTS[7]))
     return (context.join(files, "repo_name", "left")
             .select("repo_name", F.lit("architecture").alias("task"), body.alias("prompt"),
                     F.lit(TEMPERATURE["architecture"]).alias("temperature")))

@@ -613,6 +613,34 @@ def q_answer_prompts(spark, sf_dir):
     hits = vectors.search(idx, qv, top_k=5)
     return prompt.answer_prompts(hits, qs)
 
+def _architecture_prompt_sql():
+    from ..operators.prompt import ARCH_PARTS
+    ctx = ORACLE["architecture_context"]
+    ctx_ctes = ctx[ctx.index("ep AS ("):ctx.index("\nSELECT sz.repo_name")]
+    te_cte = TOP_EDGES_SQL[len(GRAPH_SQL):TOP_EDGES_SQL.index("\nSELECT repo_name, rank, src, dst")]
+    arch_ctes = ARCH_SQL[len(CHUNKS_SQL):]
+    q = _sql_str
+    lst = lambda c: f"array_to_string(coalesce({c}.l, []), chr(10))"
+    return (CHUNKS_SQL + ",\n" + S.graph_cte() + te_cte + ",\n" + ctx_ctes + arch_ctes + """,
+fl AS (SELECT repo_name, array_to_string(list_sort(list(DISTINCT file_path)), chr(10)) AS repo_structure
+       FROM arch GROUP BY ALL)
+SELECT sz.repo_name, 'architecture' AS task, """
+            + f"{q(ARCH_PARTS[0])} || node_count || {q(ARCH_PARTS[1])} || edge_count || {q(ARCH_PARTS[2])} || {lst('ep')}"
+            + f" || {q(ARCH_PARTS[3])} || {lst('md')} || {q(ARCH_PARTS[4])} || {lst('lm')} || {q(ARCH_PARTS[5])}"
+            + f" || {lst('dp')} || {q(ARCH_PARTS[6])} || coalesce(fl.repo_structure, '') || {q(ARCH_PARTS[7])} AS prompt,"
+            + """ CAST(0.4 AS DOUBLE) AS temperature
+FROM sz LEFT JOIN ep USING (repo_name) LEFT JOIN md USING (repo_name) LEFT JOIN lm USING (repo_name)
+LEFT JOIN dp USING (repo_name) LEFT JOIN fl USING (repo_name)""")
+
+
+@register("architecture_prompts", _architecture_prompt_sql())
+def q_architecture_prompts(spark, sf_dir):
+    """T3 (+G9, G11, K5): the architecture prompt of each repository (no chunk text)."""
+    from ..operators import graph, prompt, rank
+    _, _, _, nodes, edges = graph_parts(spark, sf_dir)
+    files = rank.file_listing(rank.select_architecture_chunks(chunk.chunk_files(selected(spark, sf_dir)), 12))
+    return prompt.architecture_prompts(graph.architecture_context(nodes, edges), files)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
