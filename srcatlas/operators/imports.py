@@ -29,10 +29,14 @@ JS_TRY_EXT = (".ts", ".tsx", ".js", ".jsx")
 
 
 def _statement_pairs(pattern: str) -> Column:
-    """Aligned (g1, g2) per regex match of the content, in document order."""
-    g1 = F.regexp_extract_all("content", F.lit(pattern), 1)
-    g2 = F.regexp_extract_all("content", F.lit(pattern), 2)
-    return F.arrays_zip(g1.alias("a"), g2.alias("b"))
+    """(g1, g2) per regex match of the content, in document order.
+
+    The file text is scanned once for whole matches; the groups are then read from each
+    short match (the pattern's anchors hold at a match's start).
+    """
+    matches = F.regexp_extract_all("content", F.lit(pattern), 0)
+    return F.transform(matches, lambda m: F.struct(F.regexp_extract(m, pattern, 1).alias("a"),
+                                                   F.regexp_extract(m, pattern, 2).alias("b")))
 
 
 def python_imports(files: DataFrame) -> DataFrame:
