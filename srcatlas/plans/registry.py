@@ -641,6 +641,24 @@ def q_architecture_prompts(spark, sf_dir):
     files = rank.file_listing(rank.select_architecture_chunks(chunk.chunk_files(selected(spark, sf_dir)), 12))
     return prompt.architecture_prompts(graph.architecture_context(nodes, edges), files)
 
+@register("resolved_imports_aligned", f"""
+WITH {S.selected_cte()}, {S.graph_cte()},
+k AS (SELECT DISTINCT repo_name, src, import_path, replace(import_path, '.', '/') AS m FROM imports WHERE language = 'python'),
+c AS (SELECT k.repo_name, k.src, k.import_path, f.rel_path AS path,
+        CASE WHEN f.rel_path = k.m || '.py' OR ends_with(f.rel_path, '/' || k.m || '.py') THEN 0 ELSE 1 END AS is_pkg
+      FROM k JOIN sel f ON f.repo_name = k.repo_name
+       AND (f.rel_path = k.m || '.py' OR ends_with(f.rel_path, '/' || k.m || '.py')
+            OR f.rel_path = k.m || '/__init__.py' OR ends_with(f.rel_path, '/' || k.m || '/__init__.py')))
+SELECT repo_name, src, import_path, path AS dst FROM (
+  SELECT *, row_number() OVER (PARTITION BY repo_name, src, import_path ORDER BY is_pkg,
+    CASE WHEN regexp_extract(path, '^(.*)/[^/]*$', 1) = regexp_extract(src, '^(.*)/[^/]*$', 1) THEN 0 ELSE 1 END,
+    length(path), path) AS r FROM c) WHERE r = 1""")
+def q_resolved_imports_aligned(spark, sf_dir):
+    """J1 with ``segment_aligned=True``: only whole path segments match (``os`` no longer hits ``videos.py``)."""
+    from ..operators import imports
+    files = selected(spark, sf_dir)
+    return imports.resolve_python_imports(imports.extract_imports(files), files, segment_aligned=True)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
