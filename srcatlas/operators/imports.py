@@ -99,7 +99,11 @@ def resolve_python_imports(imports: DataFrame, files: DataFrame, segment_aligned
         starts = F.transform(F.sequence(F.lit(1), F.size(parts)),
                              lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
     else:
-        starts = F.transform(F.sequence(F.lit(1), F.length("path")), lambda i: F.substring("path", i, 1 << 20))
+        # keys start with [A-Za-z0-9_] (names pass ^[\w.]+$, leading dots are dropped), so a
+        # suffix starting at '/', '.' or '-' can never match: exact pruning of the explode
+        pos = F.filter(F.sequence(F.lit(1), F.length("path")),
+                       lambda i: F.substring("path", i, 1).rlike("[A-Za-z0-9_]"))
+        starts = F.transform(pos, lambda i: F.substring("path", i, 1 << 20))
     suffixes = (paths.select("repo_name", "path", F.explode(starts).alias("suffix"))
                 .join(keys.select("repo_name", "suffix"), ["repo_name", "suffix"], "left_semi"))
     per_module = keys.join(suffixes, ["repo_name", "suffix"])
