@@ -48,9 +48,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
-        if not sc.master.startswith("local"):
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder for iterative jobs")
-        path = tempfile.mkdtemp(prefix="srcatlas-ckpt-")
+        path = "file://" + tempfile.mkdtemp(prefix="srcatlas-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(path)
@@ -58,14 +58,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 _SHIPPED: set = set()
+_TABLES: dict[str, list[str]] = {}
 
 
 def ship_package(spark: SparkSession) -> None:
     """Make ``srcatlas`` importable in Python workers (for pandas-backed operators).
 
-    The package is zipped once per SparkContext into the shared checkpoint folder and
-    added with ``addPyFile``, which distributes it to every executor.
+    The package is zipped in memory once per SparkContext, written through the Hadoop
+    file system to the shared folder of ``spark.checkpoint.dir`` and added with
+    ``addPyFile``, which distributes it to every executor.
     """
+    import io
     import uuid
     import zipfile
 
@@ -75,19 +78,22 @@ def ship_package(spark: SparkSession) -> None:
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg)
-    base = ensure_checkpoint_dir(spark)
-    local = base[len("file:"):] if base.startswith("file:") else base
-    if "://" in local:                       # remote shared storage: stage locally, Spark uploads it
-        local = tempfile.mkdtemp(prefix="srcatlas-pkg-")
-    os.makedirs(local, exist_ok=True)
-    path = os.path.join(local, f"srcatlas-{uuid.uuid4().hex}.zip")
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as zf:
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
         for d, _, names in os.walk(pkg):
             for n in names:
                 if n.endswith(".py"):
                     full = os.path.join(d, n)
                     zf.write(full, os.path.relpath(full, root))
-    sc.addPyFile(path)
+    target = sc._jvm.org.apache.hadoop.fs.Path(
+        f"{ensure_checkpoint_dir(spark).rstrip('/')}/srcatlas-py/srcatlas-{uuid.uuid4().hex}.zip")
+    fs = target.getFileSystem(sc._jsc.hadoopConfiguration())
+    out = fs.create(target, True)
+    try:
+        out.write(bytearray(buf.getvalue()))
+    finally:
+        out.close()
+    sc.addPyFile(fs.makeQualified(target).toString())
     _SHIPPED.add(key)
 
 
@@ -102,4 +108,18 @@ def materialize(df, name: str = "table"):
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/srcatlas-tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    _TABLES.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_tables(spark: SparkSession) -> int:
+    """Delete every table that ``materialize`` wrote in this application; returns how many.
+
+    To be called once the results that read them have been written.
+    """
+    sc = spark.sparkContext
+    paths = _TABLES.pop(sc.applicationId, [])
+    for p in paths:
+        target = sc._jvm.org.apache.hadoop.fs.Path(p)
+        target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+    return len(paths)
