@@ -10,9 +10,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
+from . import best_fit_packing, chat_rotation, exact_dedup, impact_search, secret_scan, url_rules
 from .common import UPPER, table
 
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -43,3 +49,65 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (P
        doc_id = max(doc_id) OVER (PARTITION BY norm) AS kept, sha256(norm) AS text_sha256 FROM t""")
 def op1(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
+
+
+@register("op2_exact_topk", """
+WITH v AS (SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND len(embedding) > 0
+             AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id,
+             CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+       vec_id, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5""")
+def op2(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return impact_search.top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+@register("op4_secret_scan")
+def op4(spark, sf_dir):
+    return secret_scan.digest(secret_scan.find_secrets(table(spark, sf_dir, "documents")))
+
+
+#: Rules of the registered query: (host, path, verdict).
+RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
+         ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+@register("op5_url_rules", f"""
+WITH r(rhost, rpath, verdict) AS (VALUES {", ".join(map(str, RULES))}),
+p AS (SELECT page_id, url, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), '{UPPER}',
+                                     '{UPPER.lower()}') AS host,
+             regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+m AS (SELECT p.*, rhost || rpath AS rule, verdict,
+             row_number() OVER (PARTITION BY page_id ORDER BY length(rhost || rpath) DESC NULLS LAST) AS k
+      FROM p LEFT JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath))
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m WHERE k = 1""")
+def op5(spark, sf_dir):
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    return url_rules.judge(table(spark, sf_dir, "pages"), rules)
+
+
+@register("op8_chat_rotation", """
+WITH t AS (SELECT conv_id, turn, coalesce(nullif(role, ''), 'unknown') AS speaker, coalesce(text, '') AS text
+           FROM conversations),
+p AS (SELECT DISTINCT conv_id AS c, speaker AS perspective FROM t WHERE speaker <> 'system'),
+v AS (SELECT t.*, perspective,
+             '<|im_start|>' || CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant'
+                                    ELSE 'user name=' || replace(speaker, '<|', '< |') END || chr(10) AS head
+      FROM t JOIN p ON conv_id IS NOT DISTINCT FROM c),
+s AS (SELECT *, head || replace(text, '<|', '< |') || '<|im_end|>' || chr(10) AS segment FROM v),
+w AS (SELECT *, row_number() OVER o AS position, CAST(sum(length(segment)) OVER o AS BIGINT) AS seg_end FROM s
+      WINDOW o AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, text
+                   ROWS UNBOUNDED PRECEDING))
+SELECT conv_id, perspective, turn, speaker, position, segment, seg_end - length(segment) AS seg_start, seg_end,
+       CASE WHEN speaker = perspective THEN seg_end - length(segment) + length(head) ELSE seg_end END AS mask_start,
+       CASE WHEN speaker = perspective THEN seg_end - 1 ELSE seg_end END AS mask_end FROM w""")
+def op8(spark, sf_dir):
+    return chat_rotation.rotate(table(spark, sf_dir, "conversations"))
+
+
+@register("op7_best_fit_packing")
+def op7(spark, sf_dir):
+    return best_fit_packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
