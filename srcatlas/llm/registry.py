@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import best_fit_packing, chat_rotation, exact_dedup, impact_search, secret_scan, url_rules
+from . import best_fit_packing, byte_bpe, chat_rotation, exact_dedup, impact_search, secret_scan, url_rules
 from .common import UPPER, table
 
 def tokenizer(name: str) -> str:
@@ -111,3 +111,11 @@ def op8(spark, sf_dir):
 @register("op7_best_fit_packing")
 def op7(spark, sf_dir):
     return best_fit_packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
+@register("op9_byte_bpe")
+def op9(spark, sf_dir):
+    import public_tokenizers
+
+    return byte_bpe.digest(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_multi_50k.tiktoken"),
+                           public_tokenizers.PATTERN)
