@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import best_fit_packing, byte_bpe, chat_rotation, exact_dedup, impact_search, secret_scan, url_rules
+from . import best_fit_packing, byte_bpe, chat_rotation, exact_dedup, impact_search, secret_scan, toxicity, url_rules
 from .common import UPPER, table
 
 def tokenizer(name: str) -> str:
@@ -119,3 +119,9 @@ def op9(spark, sf_dir):
 
     return byte_bpe.digest(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_multi_50k.tiktoken"),
                            public_tokenizers.PATTERN)
+
+
+@register("op3_toxicity")
+def op3(spark, sf_dir):
+    scored = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
