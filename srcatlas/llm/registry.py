@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import best_fit_packing, byte_bpe, chat_rotation, exact_dedup, impact_search, secret_scan, toxicity, url_rules
+from . import best_fit_packing, byte_bpe, chat_rotation, exact_dedup, impact_search, ngram_join, secret_scan, toxicity, url_rules
 from .common import UPPER, table
 
 def tokenizer(name: str) -> str:
@@ -125,3 +125,17 @@ def op9(spark, sf_dir):
 def op3(spark, sf_dir):
     scored = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+@register("op6_ngram_join", f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWER_SQL}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+             ELSE list_distinct([array_to_string(w[i:i + 3], ' ') FOR i IN range(1, len(w) - 2)]) END AS s FROM w),
+t AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM s),
+l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM t a JOIN t b ON a.t = b.t AND a.doc_id <> b.doc_id
+      GROUP BY ALL HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+r AS (SELECT doc_id, doc_id AS c FROM s UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.c = l.a)
+SELECT doc_id, any_value(CAST(len(s) AS BIGINT)) AS n_shingles, min(c) AS component_id FROM s JOIN r USING (doc_id)
+GROUP BY doc_id""")
+def op6(spark, sf_dir):
+    return ngram_join.classes(table(spark, sf_dir, "documents"))
