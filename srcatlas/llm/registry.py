@@ -10,7 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import best_fit_packing, byte_bpe, chat_rotation, exact_dedup, impact_search, ngram_join, secret_scan, toxicity, url_rules
+from . import (best_fit_packing, byte_bpe, chat_rotation, exact_dedup, html_labeller, impact_search, ngram_join,
+               secret_scan, toxicity, url_rules)
 from .common import UPPER, table
 
 def tokenizer(name: str) -> str:
@@ -139,3 +140,8 @@ SELECT doc_id, any_value(CAST(len(s) AS BIGINT)) AS n_shingles, min(c) AS compon
 GROUP BY doc_id""")
 def op6(spark, sf_dir):
     return ngram_join.classes(table(spark, sf_dir, "documents"))
+
+
+@register("op10_html_labeller")
+def op10(spark, sf_dir):
+    return html_labeller.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
