@@ -163,6 +163,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that are exact copies of a row with a larger id; its columns as they are."""
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi")
+    """``docs`` with one row of each class of equal texts, the one of the largest id; its columns as they are."""
+    found = materialize(exact_dedup(docs, id_col, text_col), "exact-classes")
+    dropped = found.where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.sha2(ascii_lower(F.col(text_col)), 256) == F.col("__sha"))
+    rest = docs.join(dropped, same, "left_anti")
+    kept = found.where("kept")
+    if kept.groupBy("doc_id", "text_sha256").count().where("count > 1").isEmpty():
+        return rest
+    # the row that stays is itself repeated
+    return (rest.withColumn("__sha", F.sha2(ascii_lower(F.col(text_col)), 256)).dropDuplicates([id_col, "__sha"])
+            .drop("__sha"))

@@ -334,3 +334,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     return (signed.join(named, key, "left")
             .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id"))
                     .otherwise(F.col("doc_id")).alias("component_id")))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N,
+             percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one document of each group, the one of the smallest id; texts without words all stay."""
+    found = classes(docs, id_col, text_col, n, percent)
+    dropped = found.where("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(dropped, F.col(id_col) == F.col("__id"), "left_anti")

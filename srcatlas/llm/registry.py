@@ -145,3 +145,10 @@ def op6(spark, sf_dir):
 @register("op10_html_labeller")
 def op10(spark, sf_dir):
     return html_labeller.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@register("pipeline")
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)

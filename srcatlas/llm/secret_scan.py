@@ -209,12 +209,20 @@ def masked(text: str, mask: str = "[SECRET]") -> str:
     return "".join(out) + text[at:] if out else text
 
 
-def mask_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with the secrets in its text replaced by a mask; null texts stay null."""
+def mask_secrets(docs: DataFrame, text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
+    """``docs`` with the secrets in its text replaced by a mask; null texts stay null.
+
+    Where the text has changed and there is a ``size_col``, that becomes the new number of characters.
+    """
     ship_package(docs.sparkSession)
 
     @F.pandas_udf("string")
     def clean(texts):
         return texts.map(masked, na_action="ignore")
 
-    return docs.withColumn(text_col, clean(F.col(text_col)))
+    done = docs.withColumn("__clean", clean(F.col(text_col)))
+    if size_col in docs.columns:
+        changed = ~F.col("__clean").eqNullSafe(F.col(text_col))
+        size = F.length("__clean").cast(docs.schema[size_col].dataType)
+        done = done.withColumn(size_col, F.when(changed, size).otherwise(F.col(size_col)))
+    return done.withColumn(text_col, F.col("__clean")).drop("__clean")
