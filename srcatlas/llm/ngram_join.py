@@ -14,10 +14,12 @@ by the smallest id, and only representatives are joined.
    demands more matches, and the cheaper choice by the frequencies is taken.  Two sets with prefixes ``l`` and
    ``k`` must share ``min(l, k)`` prefix hashes.
 3. Links.  Only what connects matters for the components.  First every posting list is compared with one pivot
-   (one pair per entry, so a group of g near copies costs g pairs, not g * g), twice with different pivots, and
-   the links found are contracted.  Then the lists that still span several components are joined in full, pairs
-   within a component left out, matches counted against ``min(l, k)`` and the rest verified exactly.  A link
-   between different components cannot escape, whatever the pivots did.
+   (one pair per entry, so a group of g near copies costs g pairs, not g * g), ``PIVOTS`` times with different
+   pivots, and the links found are contracted.  Then the lists that still span several components are joined
+   in full: pairs within a component, of sizes that cannot be similar, with fewer than ``min(l, k)`` common
+   prefix hashes or with too few hashes in the same ranges are left out inside the join, and the rest are
+   verified exactly.  A link between different
+   components cannot escape, whatever the pivots did.
 
 Defined results: texts without words (null, empty, white space) have size 0 and link with nothing; fewer words
 than ``N`` are one shingle; repeated rows are in one class; rows with a null id join a class of equal sets but
@@ -42,6 +44,8 @@ BLOCK, BUCKET = 1_500_000, 2_000_000
 SLICE, LONG_WORD = 1 << 20, 64
 #: Largest l, and the cost of verifying a candidate per hash of the set, against reading a posting.
 MOST_MATCHES, VERIFY = 8, 0.05
+#: How often the posting lists are compared with one pivot before they are joined in full.
+PIVOTS = 3
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
@@ -253,8 +257,9 @@ def _prefixes(percent: int):
                 own, of = tokens[cuts[i]:cuts[i + 1]], frequency[cuts[i]:cuts[i + 1]]
                 m, a = len(own), int(need[i])
                 matches = best_matches(m, a, of)
-                out.append((int(ids[i]), int(sizes[i]), matches, own[:m - a + matches], np.sort(own)))
-        return pd.DataFrame(out, columns=["id", "n", "l", "prefix", "shared"])
+                ranges = np.bincount(own.view(np.uint64) >> np.uint64(58), minlength=64)
+                out.append((int(ids[i]), int(sizes[i]), m, matches, own[:m - a + matches], np.sort(own), ranges))
+        return pd.DataFrame(out, columns=["id", "n", "m", "l", "prefix", "shared", "ranges"])
     return run
 
 
@@ -267,39 +272,56 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .where(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b"))
 
 
-def _fits(na, nb, percent: int):
-    """Sizes that a similar pair can have."""
-    return 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
+def _fits(na, ma, nb, mb, percent: int):
+    """Whether sets of ``n`` hashes, ``m`` of them shared with any other set, can be similar enough."""
+    return ((100 * F.least(na, nb) >= percent * F.greatest(na, nb))
+            & ((100 + percent) * F.least(ma, mb) >= percent * (na + nb)))
 
 
-def links(sets: DataFrame, percent: int = PERCENT, pivots: int = 2) -> DataFrame:
-    """(id, component) of the linked sets; ``sets`` has id, n, l, prefix, shared."""
-    postings = sets.select("id", "n", "l", F.explode("prefix").alias("token"))
+def links(sets: DataFrame, percent: int = PERCENT, pivots: int = PIVOTS) -> DataFrame:
+    """(id, component) of the linked sets; ``sets`` has id, n, m, l, prefix, shared, ranges."""
+    postings = sets.select("id", "n", "m", "l", F.explode("prefix").alias("token"))
     found, member = None, None
+    # the middle of a group of near copies has few hashes of its own: it links with more of them than an outlier
+    middle = F.floor((F.col("n") - F.col("m")) * 50 / F.col("n"))
     for turn in range(pivots):
         lists = postings if member is None else _undecided(postings, member)
-        pivot = (lists.groupBy("token").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "n")).alias("p"),
-                                            F.count("*").alias("entries")).where("entries > 1"))
+        best = F.min(F.struct(middle.alias("r"), F.xxhash64("id", F.lit(turn)).alias("h"), "id", "n", "m")).alias("p")
+        pivot = lists.groupBy("token").agg(best, F.count("*").alias("entries")).where("entries > 1")
         pairs = (lists.join(pivot, "token").where(F.col("id") != F.col("p.id"))
-                 .where(_fits(F.col("n"), F.col("p.n"), percent))
+                 .where(_fits(F.col("n"), F.col("m"), F.col("p.n"), F.col("p.m"), percent))
                  .select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct())
+        if member is not None:
+            pairs = _apart(pairs, member)
         near = materialize(_verified(pairs, sets, percent), "links")
         found = near if found is None else found.unionByName(near)
         member = components(found)
-    rest = _undecided(postings, member)
-    x = rest.select("token", *[F.col(c).alias(c + "a") for c in ("id", "n", "l", "c")])
-    y = rest.select("token", *[F.col(c).alias(c + "b") for c in ("id", "n", "l", "c")])
+    rest = _undecided(postings, member).join(sets.select("id", "prefix", "ranges"), "id")
+    columns = ("id", "n", "m", "l", "c", "prefix", "ranges")
+    x = rest.select("token", *[F.col(c).alias(c + "a") for c in columns])
+    y = rest.select("token", *[F.col(c).alias(c + "b") for c in columns])
+    # a pair is met at each prefix hash that it shares, and taken at the first of them, if there are enough
+    both = F.array_intersect("prefixa", "prefixb")
+    # two sets share in each of 64 ranges of hashes at most the smaller of their counts
+    most = F.aggregate(F.zip_with("rangesa", "rangesb", lambda u, v: F.least(u, v)), F.lit(0), lambda a, i: a + i)
     pairs = (x.join(y, (x["token"] == y["token"]) & (F.col("ida") < F.col("idb")) & (F.col("ca") != F.col("cb"))
-                    & _fits(F.col("na"), F.col("nb"), percent))
-             .groupBy(F.col("ida").alias("a"), F.col("idb").alias("b"))
-             .agg(F.count("*").alias("matches"), F.first(F.least("la", "lb")).alias("wanted"))
-             .where(F.col("matches") >= F.col("wanted")).select("a", "b"))
+                    & _fits(F.col("na"), F.col("ma"), F.col("nb"), F.col("mb"), percent)
+                    & (F.get(both, F.lit(0)) == x["token"]) & (F.size(both) >= F.least("la", "lb"))
+                    & ((100 + percent) * most >= percent * (F.col("na") + F.col("nb"))))
+             .select(F.col("ida").alias("a"), F.col("idb").alias("b")))
     late = materialize(_verified(pairs, sets, percent), "links")
     if late.isEmpty():
         return member
     return components(found.unionByName(late))
 
 
+def _apart(pairs: DataFrame, member: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are not in one component yet."""
+    a, b = (member.select(F.col("id").alias(x), F.col("component").alias("c" + x)) for x in "ab")
+    joined = pairs.join(a, "a", "left").join(b, "b", "left")
+    return joined.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+
 def _undecided(postings: DataFrame, member: DataFrame) -> DataFrame:
     """Postings of the lists that span several components, with the component as ``c``."""
     known = (postings.join(member.select(F.col("id").alias("i"), "component"), F.col("id") == F.col("i"), "left")
@@ -319,7 +341,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     key = ["n_shingles", "s1", "s2"]
     groups = signed.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"))
     total = groups.where("rep is not null").agg(F.sum("n_shingles")).first()[0] or 0
-    buckets = max(1, -(-total // BUCKET))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))
     reps = groups.where("rep is not null").select("rep")
     # sorted, so that a task that runs again makes the same blocks
     kept = texts.join(reps, F.col("doc_id") == F.col("rep"), "left_semi").sortWithinPartitions("doc_id")
@@ -327,7 +349,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     own = F.when(F.col("bucket") < 0, F.col("block")).alias("own")
     counted = blocks.groupBy("bucket", own).applyInPandas(_count, BLOCKS)
     sets = materialize(counted.groupBy("block").applyInPandas(
-        _prefixes(percent), "id long, n long, l int, prefix array<long>, shared array<long>"), "shared-shingles")
+        _prefixes(percent), "id long, n long, m long, l int, prefix array<long>, shared array<long>, "
+        "ranges array<int>"), "shared-shingles")
     member = links(sets, percent)
     named = (groups.join(member, F.col("rep") == F.col("id"), "left")
              .select(*key, F.coalesce("component", "rep").alias("component_id")))
