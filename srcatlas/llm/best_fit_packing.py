@@ -25,47 +25,168 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 from collections import deque
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize, ship_package
+from .common import utf8_rows, word_hashes
 
 SIZE = 2048
-#: Words whose ids a worker remembers; beyond, the memory starts anew.
-REMEMBERED = 400_000
+#: Words whose ids a worker remembers (the first it meets), and bytes of text that are split together.
+REMEMBERED, SLICE = 2_000_000, 4 << 20
+#: Words that are tokenised in one call.
+JOINED = 2_000
 
 _STATE: dict = {}
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, 0x0A, 0x09, 0x0D]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_MARK = np.zeros(256, bool)
+_MARK[list(b".,;:!?")] = True
+
+
+class Store:
+    """Sorted 64-bit word hashes with the ids of each word in one flat array; new words wait unsorted in a small part."""
+
+    def __init__(self):
+        self.flat, self.used = np.zeros(1 << 16, "<u4"), 0
+        self.parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in range(2)]
+
+    def __len__(self) -> int:
+        return sum(len(h) for h, _, _ in self.parts)
+
+    def find(self, hashes: np.ndarray):
+        """(start, size) of each hash in ``flat``; size -1 where it is unknown."""
+        start, size = np.zeros(len(hashes), np.int64), np.full(len(hashes), -1, np.int64)
+        for known, starts, sizes in self.parts:
+            if len(known):
+                at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                hit = known[at] == hashes
+                start[hit], size[hit] = starts[at[hit]], sizes[at[hit]]
+        return start, size
+
+    def add(self, hashes: np.ndarray, ids: list[np.ndarray], keep: bool):
+        """(start, size) of new words, put behind what is used; forgotten at the next call unless ``keep``."""
+        sizes = np.array([len(x) for x in ids], np.int64)
+        starts = self.used + np.cumsum(sizes) - sizes
+        end = self.used + int(sizes.sum())
+        if end > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(end - len(self.flat), len(self.flat) // 2), "<u4")])
+        if ids:
+            self.flat[self.used:end] = np.concatenate(ids)
+        if keep:
+            self.used = end
+            self.parts[1] = self._sorted(self.parts[1], (hashes, starts, sizes))
+            if len(self.parts[1][0]) > max(50_000, len(self.parts[0][0]) // 4):
+                self.parts = [self._sorted(*self.parts), tuple(x[:0] for x in self.parts[1])]
+        return starts, sizes
+
+    @staticmethod
+    def _sorted(a, b):
+        joined = [np.concatenate(x) for x in zip(a, b)]
+        order = np.argsort(joined[0], kind="stable")
+        return tuple(x[order] for x in joined)
+
+
+class Words:
+    """Ids of texts, word by word: words end at plain white space, which no token spans.
+
+    The tokenizer lower-cases and treats letters and marks apart, so an ASCII word is taken in lower case and a
+    closing mark after letters alone by itself; the tokenizer does the rest, once for each word that a worker
+    meets.  Words are told apart by 64-bit hashes.
+    """
 
-
-def _word_ids(path: str):
-    """A function from a list of white-space-free words to their ids as bytes; remembers words per worker."""
-    if path not in _STATE:
+    def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        _STATE[path] = (tokenizer, {"": b""})
-    tokenizer, known = _STATE[path]
-
-    def of(words: list[str]) -> list[bytes]:
-        import numpy as np
-
-        new = list({w for w in words if w not in known})
-        if new:
-            if len(known) > REMEMBERED:
-                known.clear()
-                known[""] = b""
-                new = list(set(words) - {""})
-            for at in range(0, len(new), 4096):
-                some = new[at:at + 4096]
-                for w, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                    known[w] = np.array(e.ids, "<u4").tobytes()
-        return [known[w] for w in words]
-
-    return of
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.store = Store()
+
+    def tokenised(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of each word; words of letters alone are one word each to the tokenizer and go in one call."""
+        out: list = [None] * len(words)
+        plain = [i for i, w in enumerate(words) if w.isascii() and w.isalpha()]
+        for at in range(0, len(plain), JOINED):
+            some = plain[at:at + JOINED]
+            joined = self.tokenizer.encode_batch_fast([" ".join([words[i] for i in some])], add_special_tokens=False)
+            ids = np.array(joined[0].ids, "<u4")
+            ends = (np.flatnonzero(self.closes[ids]) + 1).tolist()
+            if len(ends) == len(some):
+                for i, a, b in zip(some, [0, *ends], ends):
+                    out[i] = ids[a:b]
+        alone = [i for i, ids in enumerate(out) if ids is None]
+        for at in range(0, len(alone), JOINED):
+            some = alone[at:at + JOINED]
+            for i, e in zip(some, self.tokenizer.encode_batch_fast([words[i] for i in some], add_special_tokens=False)):
+                out[i] = np.array(e.ids, "<u4")
+        return out
+
+    @staticmethod
+    def _bounds(raw: np.ndarray, ends: np.ndarray):
+        """(first, last) of every word in order, after lower-casing ``raw``'s ASCII words in place."""
+        inside = ~_BLANK[raw]
+        edge = np.zeros(len(raw) + 1, bool)
+        edge[ends] = True
+        first = np.flatnonzero(inside & (np.concatenate([[True], ~inside[:-1]])[:len(raw)] | edge[:-1]))
+        last = np.flatnonzero(inside & (np.concatenate([~inside[1:], [True]])[:len(raw)] | edge[1:])) + 1
+
+        def count(flags):
+            total = np.concatenate([[0], np.cumsum(flags, dtype=np.int32)])
+            return total[last] - total[first]
+
+        ascii_word = count(raw > 127) == 0
+        in_ascii = np.repeat(ascii_word, last - first)
+        upper = inside.copy()
+        upper[inside] = in_ascii
+        upper &= (raw >= 65) & (raw <= 90)
+        raw[upper] += 32
+        size = last - first
+        marked = np.flatnonzero(ascii_word & (size > 1) & _MARK[raw[last - 1]] & (count(_LETTER[raw]) == size - 1))
+        marks = last[marked] - 1
+        last[marked] = marks
+        order = np.argsort(np.concatenate([first, marks]), kind="stable")
+        return np.concatenate([first, marks])[order], np.concatenate([last, marks + 1])[order]
+
+    def _slice(self, raw: np.ndarray, ends: np.ndarray):
+        raw = raw.copy()
+        first, last = self._bounds(raw, ends)
+        hashes, where, inverse = np.unique(word_hashes(raw, first, last), return_index=True, return_inverse=True)
+        start, size = self.store.find(hashes)
+        new = np.flatnonzero(size < 0)
+        if len(new):
+            words = [raw[a:b].tobytes().decode("utf-8") for a, b in zip(first[where[new]], last[where[new]])]
+            start[new], size[new] = self.store.add(hashes[new], self.tokenised(words),
+                                                   len(self.store) + len(new) <= REMEMBERED)
+        size, start = size[inverse], start[inverse]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        ids = self.store.flat[np.repeat(start - upto[:-1], size) + np.arange(upto[-1])]
+        cuts = upto[np.searchsorted(first, ends)]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            yield ids[a:b]
+
+    def documents(self, column):
+        """The ids (unsigned 32-bit) of each text of an Arrow string column."""
+        raw, ends = utf8_rows(column)
+        at = 0
+        while at < len(ends) - 1:
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + SLICE, "right")) - 1)
+            yield from self._slice(raw[ends[at]:ends[to]], ends[at:to + 1] - ends[at])
+            at = to
+
+
+def _words(path: str) -> Words:
+    if path not in _STATE:
+        _STATE[path] = Words(path)
+    return _STATE[path]
 
 
 def _cut(path: str, size: int, end_id: int):
@@ -75,15 +196,13 @@ def _cut(path: str, size: int, end_id: int):
 
         import pyarrow as pa
 
-        encode = _word_ids(path)
         end = int(end_id).to_bytes(4, "little")
+        step = 4 * size
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                # words are cut at plain white space only, which no token spans; the tokenizer does the rest
-                words = (text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-                ids = b"".join(encode(words)) + end
-                step = 4 * size
+            ids_of = _words(path).documents(batch.column("text"))
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), ids_of):
+                ids = ids.tobytes() + end
                 for piece, at in enumerate(range(0, len(ids), step)):
                     part = ids[at:at + step]
                     out.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
@@ -149,7 +268,6 @@ def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[int, int, int,
 def _place(runs: list[tuple[int, int, int, int, int]], names: list[str]):
     """Arrow function: finds the run of each (length, rank) by binary search."""
     def run(batches):
-        import numpy as np
         import pyarrow as pa
 
         length, rank, _, sequence, offset = (np.array(c, np.int64) for c in zip(*sorted(runs))) if runs else [[]] * 5
@@ -193,4 +311,5 @@ def pack(pieces: DataFrame, size: int = SIZE) -> DataFrame:
 def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end_id: int = 0, id_col: str = "doc_id",
                    text_col: str = "text") -> DataFrame:
     """Tokenise, cut and pack: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return pack(cut(docs, tokenizer_path, size, end_id, id_col, text_col), size)
+    # written once: the range sort below samples its input first, which would tokenise it twice
+    return pack(materialize(cut(docs, tokenizer_path, size, end_id, id_col, text_col), "pieces"), size)

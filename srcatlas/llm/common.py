@@ -6,6 +6,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+#: Longer words are hashed one by one.
+LONG_WORD = 64
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -37,3 +40,51 @@ def ascii_lower_bytes(raw: np.ndarray) -> np.ndarray:
     out = raw.copy()
     out[(raw >= 65) & (raw <= 90)] += 32
     return out
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijective scrambling of 64-bit integers."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * MULTIPLIER)
+
+
+def word_hashes(raw: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words ``raw[first:last]``, byte column by byte column over all words at once."""
+    import xxhash
+
+    size = last - first
+    order = np.argsort(-size, kind="stable")
+    size, start = size[order], first[order]
+    out = np.zeros(len(order), np.uint64)
+    long = int(np.searchsorted(-size, -LONG_WORD, "left"))
+    for i in range(long):
+        out[i] = xxhash.xxh64_intdigest(raw[start[i]:start[i] + size[i]].tobytes())
+    power, k = np.uint64(1), 0
+    with np.errstate(over="ignore"):
+        while True:
+            active = int(np.searchsorted(-size, -k, "left"))
+            if active <= long:
+                break
+            out[long:active] += _BYTES[raw[start[long:active] + k]] * power
+            power, k = power * MULTIPLIER, k + 1
+        result = np.empty_like(out)
+        result[order] = mix(out + size.astype(np.uint64) * MULTIPLIER)
+    return result
+
+
+#: Ids that an anti-join may broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def without(rows: DataFrame, dropped: DataFrame, same: Column, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``rows`` that match no row of ``dropped``, a thin table of ids.
+
+    Up to ``limit`` ids, counted first, travel to the rows, so that texts stay where they are; beyond, both
+    sides are shuffled.  The result is the same.
+    """
+    few = dropped.count() <= limit
+    return rows.join(F.broadcast(dropped) if few else dropped, same, "left_anti")

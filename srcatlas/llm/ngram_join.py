@@ -34,58 +34,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, ship_package
-from .common import ascii_lower_bytes, utf8_rows
+from .common import MULTIPLIER, ascii_lower_bytes, mix, utf8_rows, without, word_hashes
 from .components import components
 
 N, PERCENT = 4, 85
 #: Hashes of a block and of a bucket: what one task holds at a time.
-BLOCK, BUCKET = 1_500_000, 2_000_000
-#: Bytes of text hashed at a time, and the longest word hashed byte by byte.
-SLICE, LONG_WORD = 1 << 20, 64
+BLOCK, BUCKET = 1_500_000, 1_000_000
+#: Bytes of text hashed at a time.
+SLICE = 1 << 20
 #: Largest l, and the cost of verifying a candidate per hash of the set, against reading a posting.
 MOST_MATCHES, VERIFY = 8, 0.05
 #: How often the posting lists are compared with one pivot before they are joined in full.
 PIVOTS = 3
 
-_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijective scrambling of 64-bit integers."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * _MULTIPLIER)
-
-
-def word_hashes(raw: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the words ``raw[first:last]``, byte column by byte column over all words at once."""
-    import xxhash
-
-    size = last - first
-    order = np.argsort(-size, kind="stable")
-    size, start = size[order], first[order]
-    out = np.zeros(len(order), np.uint64)
-    long = int(np.searchsorted(-size, -LONG_WORD, "left"))
-    for i in range(long):
-        out[i] = xxhash.xxh64_intdigest(raw[start[i]:start[i] + size[i]].tobytes())
-    power, k = np.uint64(1), 0
-    with np.errstate(over="ignore"):
-        while True:
-            active = int(np.searchsorted(-size, -k, "left"))
-            if active <= long:
-                break
-            out[long:active] += _BYTES[raw[start[long:active] + k]] * power
-            power, k = power * _MULTIPLIER, k + 1
-        result = np.empty_like(out)
-        result[order] = mix(out + size.astype(np.uint64) * _MULTIPLIER)
-    return result
-
-
 def shingle_sets(raw: np.ndarray, ends: np.ndarray, n: int = N):
     """(hashes, cuts): the sorted distinct shingles of row i are ``hashes[cuts[i]:cuts[i + 1]]``."""
     raw = ascii_lower_bytes(raw)
@@ -103,7 +68,7 @@ def shingle_sets(raw: np.ndarray, ends: np.ndarray, n: int = N):
         if m > 0:
             joined = words[:m].copy()
             for j in range(1, n):
-                joined = joined * _MULTIPLIER + words[j:m + j]
+                joined = joined * MULTIPLIER + words[j:m + j]
             joined = mix(joined)
         sets = []
         for a, b in zip(word_cuts[:-1], word_cuts[1:]):
@@ -113,7 +78,7 @@ def shingle_sets(raw: np.ndarray, ends: np.ndarray, n: int = N):
             elif b > a:
                 whole = np.uint64(b - a)
                 for w in words[a:b]:
-                    whole = whole * _MULTIPLIER + w
+                    whole = whole * MULTIPLIER + w
                 sets.append(mix(np.array([whole], np.uint64)))
             else:
                 sets.append(np.zeros(0, np.uint64))
@@ -140,7 +105,7 @@ def _signatures(n: int):
             with np.errstate(over="ignore"):
                 for s in _batch_sets(batch.column("text"), n):
                     rows.append((len(s), int(s.sum(dtype=np.uint64).astype(np.int64)),
-                                 int(mix(s ^ _MULTIPLIER).sum(dtype=np.uint64).astype(np.int64))))
+                                 int(mix(s ^ MULTIPLIER).sum(dtype=np.uint64).astype(np.int64))))
             columns = list(zip(*rows)) or [()] * 3
             yield pa.RecordBatch.from_arrays([batch.column("doc_id")] + [pa.array(c, pa.int64()) for c in columns],
                                              names=["doc_id", "n_shingles", "s1", "s2"])
@@ -342,9 +307,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     groups = signed.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"))
     total = groups.where("rep is not null").agg(F.sum("n_shingles")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))
-    reps = groups.where("rep is not null").select("rep")
-    # sorted, so that a task that runs again makes the same blocks
-    kept = texts.join(reps, F.col("doc_id") == F.col("rep"), "left_semi").sortWithinPartitions("doc_id")
+    # of each class only the representative goes on; sorted, so that a task that runs again makes the same blocks
+    spare = (signed.join(groups, key).where("doc_id is not null and doc_id <> rep").select(F.col("doc_id").alias("d"))
+             .distinct().join(groups, F.col("d") == F.col("rep"), "left_anti"))
+    worded = texts.where(F.col("doc_id").isNotNull())
+    kept = without(worded, materialize(spare, "copies"), F.col("doc_id") == F.col("d")).sortWithinPartitions("doc_id")
     blocks = kept.mapInArrow(_to_blocks(n, buckets), BLOCKS)
     own = F.when(F.col("bucket") < 0, F.col("block")).alias("own")
     counted = blocks.groupBy("bucket", own).applyInPandas(_count, BLOCKS)
@@ -362,6 +329,6 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N,
              percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document of each group, the one of the smallest id; texts without words all stay."""
-    found = classes(docs, id_col, text_col, n, percent)
+    found = materialize(classes(docs, id_col, text_col, n, percent), "near-classes")
     dropped = found.where("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(dropped, F.col(id_col) == F.col("__id"), "left_anti")
+    return without(docs, dropped, F.col(id_col) == F.col("__id"))
