@@ -30,11 +30,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize, ship_package
-from .common import utf8_rows, word_hashes
+from .common import released, utf8_rows, word_hashes
 
 SIZE = 2048
 #: Words whose ids a worker remembers (the first it meets), and bytes of text that are split together.
-REMEMBERED, SLICE = 2_000_000, 4 << 20
+REMEMBERED, SLICE = 500_000, 1 << 20
 #: Words that are tokenised in one call.
 JOINED = 2_000
 
@@ -99,20 +99,29 @@ class Words:
     """
 
     def __init__(self, path: str):
+        self.path, self.tokenizer = path, None
+        self.store = Store()
+
+    def load(self) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_file(self.path)
         self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.store = Store()
+
+    def rest(self) -> None:
+        """Between tasks only the words stay."""
+        self.tokenizer = None
 
     def tokenised(self, words: list[str]) -> list[np.ndarray]:
         """Ids of each word; words of letters alone are one word each to the tokenizer and go in one call."""
+        if self.tokenizer is None:
+            self.load()
         out: list = [None] * len(words)
         plain = [i for i, w in enumerate(words) if w.isascii() and w.isalpha()]
         for at in range(0, len(plain), JOINED):
@@ -191,6 +200,7 @@ def _words(path: str) -> Words:
 
 def _cut(path: str, size: int, end_id: int):
     """Arrow function: doc_id, text -> a row per piece."""
+    @released
     def run(batches):
         import zlib
 
@@ -210,6 +220,7 @@ def _cut(path: str, size: int, end_id: int):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        _words(path).rest()
     return run
 
 
@@ -267,6 +278,7 @@ def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[int, int, int,
 
 def _place(runs: list[tuple[int, int, int, int, int]], names: list[str]):
     """Arrow function: finds the run of each (length, rank) by binary search."""
+    @released
     def run(batches):
         import pyarrow as pa
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,12 +27,11 @@ def utf8_rows(column) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of an Arrow string column and the n + 1 row offsets into them (nulls are empty)."""
     import pyarrow as pa
 
-    if not pa.types.is_large_string(column.type):
-        column = column.cast(pa.large_string())
     if column.null_count:
         column = column.fill_null("")
     _, offsets, data = column.buffers()
-    ends = np.frombuffer(offsets, np.int64)[column.offset:column.offset + len(column) + 1]
+    width = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    ends = np.frombuffer(offsets, width)[column.offset:column.offset + len(column) + 1].astype(np.int64)
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     return raw[ends[0]:ends[-1]], ends - ends[0]
 
@@ -76,6 +77,29 @@ def word_hashes(raw: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndar
     return result
 
 
+def released(run):
+    """The Arrow or pandas function ``run`` whose task gives its memory back when it ends.
+
+    Python workers outlive their tasks; what the allocators keep would add up over the stages of a job.
+    """
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+            import gc
+
+            import pyarrow as pa
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+    return wrapped
+
+
 #: Ids that an anti-join may broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 

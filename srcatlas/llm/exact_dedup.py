@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, ship_package
-from .common import ascii_lower, ascii_lower_bytes, utf8_rows
+from .common import ascii_lower, ascii_lower_bytes, released, utf8_rows, without
 
 #: Characters of a piece; texts of more are hashed in pieces.
 PIECE = 16_384
@@ -46,6 +46,7 @@ def _powers(n: int, base: int, p: int):
 
 def _hasher(with_sha: bool, moduli):
     """Arrow function: the hash of each row's ``text`` shifted by its ``after`` bytes."""
+    @released
     def run(batches):
         import hashlib
 
@@ -55,21 +56,20 @@ def _hasher(with_sha: bool, moduli):
         tables = [_powers(256, b, p)[::-1] for p, b in moduli]
         for batch in batches:
             raw, ends = utf8_rows(batch.column("text"))
-            raw = ascii_lower_bytes(raw) if with_sha else raw
             longest = int(np.diff(ends).max(initial=0))
             if longest > len(tables[0]):
                 tables = [_powers(longest, b, p)[::-1] for p, b in moduli]
             after = batch.column("after").to_numpy(zero_copy_only=False) if not with_sha else None
             hashes = [[], []]
             shas = []
-            wide = raw.astype(np.int64)
             for i in range(len(ends) - 1):
-                a, b = ends[i], ends[i + 1]
+                text = ascii_lower_bytes(raw[ends[i]:ends[i + 1]]) if with_sha else raw[ends[i]:ends[i + 1]]
+                wide = text.astype(np.int64)
                 for (p, base), t, h in zip(moduli, tables, hashes):
-                    x = int(np.dot(wide[a:b], t[len(t) - (b - a):])) % p
+                    x = int(np.dot(wide, t[len(t) - len(wide):])) % p
                     h.append(x * pow(base, int(after[i]), p) % p if after is not None else x)
                 if with_sha:
-                    shas.append(hashlib.sha256(raw[a:b]).hexdigest())
+                    shas.append(hashlib.sha256(text).hexdigest())
             if with_sha:
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), pa.array(shas, pa.string()), pa.array(np.diff(ends), pa.int64()),
@@ -167,7 +167,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     found = materialize(exact_dedup(docs, id_col, text_col), "exact-classes")
     dropped = found.where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
     same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.sha2(ascii_lower(F.col(text_col)), 256) == F.col("__sha"))
-    rest = docs.join(dropped, same, "left_anti")
+    rest = without(docs, dropped, same)
     kept = found.where("kept")
     if kept.groupBy("doc_id", "text_sha256").count().where("count > 1").isEmpty():
         return rest

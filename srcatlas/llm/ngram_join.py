@@ -34,12 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, ship_package
-from .common import MULTIPLIER, ascii_lower_bytes, mix, utf8_rows, without, word_hashes
+from .common import MULTIPLIER, ascii_lower_bytes, mix, released, utf8_rows, without, word_hashes
 from .components import components
 
 N, PERCENT = 4, 85
 #: Hashes of a block and of a bucket: what one task holds at a time.
-BLOCK, BUCKET = 1_500_000, 1_000_000
+BLOCK, BUCKET = 500_000, 500_000
 #: Bytes of text hashed at a time.
 SLICE = 1 << 20
 #: Largest l, and the cost of verifying a candidate per hash of the set, against reading a posting.
@@ -97,6 +97,7 @@ def _batch_sets(column, n: int):
 
 def _signatures(n: int):
     """Arrow function: doc_id and a 128-bit signature of the set."""
+    @released
     def run(batches):
         import pyarrow as pa
 
@@ -144,6 +145,7 @@ def _to_blocks(n: int, buckets: int):
             if cuts[b + 1] > cuts[b]:
                 yield number, b, _packed(tokens[part]), rows[part].astype(kind).tobytes(), b""
 
+    @released
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext

@@ -26,8 +26,10 @@ import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..session import ship_package
+from .common import released
 
 KINDS = ("assign", "access", "hex", "pem", "key", "signed", "encoded")
 BASE = KINDS[:3]
@@ -170,7 +172,7 @@ def _find(batches):
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
     for batch in batches:
         found = [[{"kind": KINDS[k], "start": a, "end": b} for a, b, k in spans_of(t or "")]
-                 for t in batch.column("text").to_pylist()]
+                 for at in range(0, len(batch), 500) for t in batch.column("text").slice(at, 500).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, kind)], names=["doc_id", "spans"])
 
 
@@ -215,14 +217,21 @@ def mask_secrets(docs: DataFrame, text_col: str = "text", size_col: str = "n_cha
     Where the text has changed and there is a ``size_col``, that becomes the new number of characters.
     """
     ship_package(docs.sparkSession)
+    at = docs.columns.index(text_col)
 
-    @F.pandas_udf("string")
-    def clean(texts):
-        return texts.map(masked, na_action="ignore")
+    @released
+    def clean(batches):
+        import pyarrow as pa
 
-    done = docs.withColumn("__clean", clean(F.col(text_col)))
+        for batch in batches:
+            parts = [pa.array([t if t is None else masked(t) for t in batch.column(at).slice(i, 500).to_pylist()],
+                              pa.string()) for i in range(0, len(batch), 500)]
+            texts = pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*batch.schema.names, "__clean"])
+
+    done = docs.mapInArrow(clean, StructType([*docs.schema.fields, StructField("__clean", StringType())]))
     if size_col in docs.columns:
         changed = ~F.col("__clean").eqNullSafe(F.col(text_col))
         size = F.length("__clean").cast(docs.schema[size_col].dataType)
         done = done.withColumn(size_col, F.when(changed, size).otherwise(F.col(size_col)))
-    return done.withColumn(text_col, F.col("__clean")).drop("__clean")
+    return done.withColumn(text_col, F.col("__clean")).select(*docs.columns)

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, ship_package
+from .common import released
 
 #: Bounds of the fit: labelled rows of each label, candidate terms, and terms of the vocabulary.
 EXAMPLES, CANDIDATES, TERMS = 4_000, 20_000, 400
@@ -56,17 +57,19 @@ def terms_of(text: str) -> dict[str, int]:
 
 
 def _explode_terms(wanted: frozenset | None):
+    @released
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            found: set[tuple[str, int]] = set()
-            for text in batch.column("text").to_pylist():
-                own = terms_of(text or "")
-                found.update(own.items() if wanted is None else [(t, c) for t, c in own.items() if t in wanted])
-            terms, contexts = zip(*found) if found else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(contexts, pa.int64())],
-                                             names=["term", "context"])
+            for at in range(0, len(batch), 100):
+                found: set[tuple[str, int]] = set()
+                for text in batch.column("text").slice(at, 100).to_pylist():
+                    own = terms_of(text or "")
+                    found.update(own.items() if wanted is None else [(t, c) for t, c in own.items() if t in wanted])
+                terms, contexts = zip(*found) if found else ((), ())
+                yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(contexts, pa.int64())],
+                                                 names=["term", "context"])
     return run
 
 
@@ -218,7 +221,7 @@ class Model:
             near = self.examples.nearest(self.vector(counts)) if self.examples else []
             a, b = self.curve
             score = 1.0 / (1.0 + math.exp(-(a * self._logit(self.examples.vote(near)) + b))) if near else self.bare
-            if len(self.seen) > 50_000:
+            if len(self.seen) > 4_000:
                 self.seen.clear()
             self.seen[key] = (score, near)
         return self.seen[key]
@@ -244,12 +247,14 @@ def _logistic(x, y, w) -> tuple[float, float]:
 
 def _vectors(terms: Terms):
     """Arrow function: the vocabulary terms of every text."""
+    @released
     def run(batches):
         import pyarrow as pa
 
         kind = pa.map_(pa.int32(), pa.int32())
         for batch in batches:
-            found = [list(terms.counts(t).items()) for t in batch.column("text").to_pylist()]
+            found = [list(terms.counts(t).items()) for at in range(0, len(batch), 500)
+                     for t in batch.column("text").slice(at, 500).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, kind)], names=["doc_id", "counts"])
     return run
 
@@ -316,6 +321,7 @@ def _chosen(pos: dict, neg: dict, n_pos: int, n_neg: int, terms: int) -> list[st
 
 
 def _score(model: Model):
+    @released
     def run(batches):
         import pyarrow as pa
 
@@ -344,8 +350,15 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Da
     """``docs`` without the rows scored ``threshold`` or more; scored where they are scanned, no text is shuffled."""
     model, _ = train(docs, labels)
 
-    @F.pandas_udf("double")
-    def scores(texts):
-        return texts.map(lambda t: model.judge(model.terms.counts(t))[0])
+    at = docs.columns.index("text")
 
-    return docs.where(scores(F.coalesce("text", F.lit(""))) < threshold)
+    @released
+    def clean(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            keep = [model.judge(model.terms.counts(t))[0] < threshold for i in range(0, len(batch), 500)
+                    for t in batch.column(at).slice(i, 500).to_pylist()]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(clean, docs.schema)
