@@ -5,10 +5,12 @@ to one task, and one repository may hold a third of the corpus.  Instead the row
 are range-partitioned on ``(group, order)`` with an explicit partition count (Spark
 samples the key distribution, so a hot group is spread over many partitions, and
 AQE never coalesces an explicit-count repartition), sorted inside each partition,
-and numbered by ``monotonically_increasing_id`` in that order.  A small table of
-per-(partition, group) first ids and counts — at most ``partitions + groups`` rows,
+and numbered by ``monotonically_increasing_id`` in that order.  The dealt rows, with
+partition number and position, are written once to the shared folder: both users of
+them read the same partitioning (planned twice, the two range exchanges would sample
+and cut on their own).  A small table of per-(partition, group) first ids and counts —
 each group's rows bounded by the partition count — supplies the offsets of earlier
-partitions.  One shuffle of the rows, one of the small table.
+partitions.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Round-robin an under-partitioned input (e.g. one large row group) over the cores.
@@ -36,9 +40,9 @@ def group_ordinals(df: DataFrame, group: list[str], order: list[str], out: str =
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(c) for c in group + order]
-    ranged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-              .withColumn("_pid", F.spark_partition_id())
-              .withColumn("_mono", F.monotonically_increasing_id()))
+    ranged = materialize(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+                         .withColumn("_pid", F.spark_partition_id())
+                         .withColumn("_mono", F.monotonically_increasing_id()), "ordinals")
     firsts = ranged.groupBy("_pid", *group).agg(F.min("_mono").alias("_first"),
                                                 F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
@@ -58,8 +62,8 @@ def group_offsets(df: DataFrame, group: list[str], order: list[str], weight: str
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(c) for c in group + order]
-    ranged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-              .withColumn("_pid", F.spark_partition_id()))
+    ranged = materialize(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+                         .withColumn("_pid", F.spark_partition_id()), "offsets")
     before = Window.partitionBy("_pid", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     local = ranged.withColumn("_local", F.coalesce(F.sum(weight).over(before), F.lit(0)))
     totals = ranged.groupBy("_pid", *group).agg(F.sum(weight).alias("_t"))

@@ -53,6 +53,8 @@ def index_repositories(files: DataFrame, out: str, responder, encoder=None, max_
     store.write_chunk_index(edges, f"{out}/graph_edges")
     stats = graph_stats(nodes, edges, max_len)
     ctx = graph.architecture_context(nodes, edges)
+    # a refused repository costs no model call and gets no metadata
+    ctx = ctx.join(admission.filter("status = 'success'").select("repo_name"), "repo_name", "left_semi")
     arch_chunks = rank.select_architecture_chunks(admitted, 12)
     prompts = prompt.architecture_prompts(ctx, rank.file_listing(arch_chunks)).withColumnRenamed("repo_name", "request_id")
     results = replies.architecture_results(replies.infer(prompts, responder)).withColumnRenamed("request_id", "repo_name")

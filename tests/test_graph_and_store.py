@@ -67,6 +67,40 @@ def test_group_ordinals_match_row_number_on_skewed_groups(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_group_ordinals_hold_with_wide_rows_beyond_the_range_sample(spark):
+    df = (spark.range(30_000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("r"), F.col("id") % 7)).alias("repo_name"),
+                                     F.format_string("f%06d", "id").alias("file_path"), F.repeat(F.lit("x"), 50).alias("text")))
+    got = ordinals.group_ordinals(df, ["repo_name"], ["file_path"], "o", partitions=32)
+    want = df.withColumn("o", (F.row_number().over(Window.partitionBy("repo_name").orderBy("file_path")) - 1).cast("bigint"))
+    assert got.count() == 30_000 and got.select(*want.columns).exceptAll(want).isEmpty()
+
+
+def test_cosine_with_zero_vectors_agrees_in_both_paths(spark):
+    from srcatlas.operators import vectors
+    index = spark.createDataFrame([("a", i, [0.0, 0.0] if i > 1 else [1.0, float(i)]) for i in range(6)],
+                                  "repo_name string, chunk_id long, embedding array<float>")
+    queries = spark.createDataFrame([(1, "a", [1.0, 0.0])], "query_id long, repo_name string, embedding array<float>")
+    got = [sorted(map(tuple, vectors.search(index, queries, top_k=3, method=m)
+                      .select("query_id", "chunk_id", "rank", "score").collect())) for m in ("arrow", "join")]
+    assert got[0] == got[1] and [r[1:] for r in got[0]] == [(0, 1, 1.0), (1, 2, 0.7071), (2, 3, 0.0)]
+
+
+def test_user_encoder_runs_and_leaves_the_input_schema_alone(spark):
+    from srcatlas.operators import vectors
+    df = spark.createDataFrame([("ab",), (None,)], "text string")
+    got = vectors.embed(df, encoder=lambda texts: [[float(len(t))] for t in texts])
+    assert sorted(r.embedding[0] for r in got.collect()) == [0.0, 2.0] and df.columns == ["text"]
+
+
+def test_approximate_search_stays_in_the_repository(spark):
+    from srcatlas.operators import vectors
+    index = spark.createDataFrame([(r, i, [1.0, float(i)]) for r in ("a", "b") for i in range(3)],
+                                  "repo_name string, chunk_id long, embedding array<float>")
+    queries = spark.createDataFrame([(1, "a", [1.0, 0.0])], "query_id long, repo_name string, embedding array<float>")
+    got = vectors.search_approx(index, queries, bucket_length=4.0, threshold=2.0).collect()
+    assert got and {r.repo_name for r in got} == {"a"}
+
+
 def test_normpath(spark):
     cases = {"a/./b/../c": "a/c", "api/routes/../../core/m5": "core/m5", "./m": "m", "../x": "../x",
              "a/..": ".", "a//b/": "a/b"}
