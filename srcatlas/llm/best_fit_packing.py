@@ -258,8 +258,10 @@ def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[int, int, int,
         while left:
             at = bisect_left(residuals, length)
             if at == len(residuals):
-                give(size, sequences, left)
-                sequences += left
+                # one by one, a new sequence would be filled before the next is opened
+                opened = max(1, left // (size // length))
+                give(size, sequences, opened)
+                sequences += opened
                 continue
             residual = residuals[at]
             first, n = gaps[residual].popleft()
