@@ -4,7 +4,7 @@ Every file row is turned into an array of chunk structs by higher-order function
 evaluated inside the row (files are at most 50,000 bytes after selection), so the
 cutting itself is narrow: no shuffle, no Python.  Only the chunk ids (dense per
 repository, in the reference's emission order) need a distributed prefix sum over
-one thin row per file (see ``ordinals.group_offsets``).
+the chunk rows (see ``ordinals.group_ordinals``).
 """
 
 from __future__ import annotations
@@ -24,7 +24,6 @@ LINES_PER_CHUNK = 50
 # Python ``str.splitlines`` boundaries; a trailing boundary makes no extra line.
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
-CHUNK_STRUCT = "struct<text:string,chunk_type:string,name:string,start_line:int,end_line:int>"
 
 
 def decode_content(content) -> Column:
@@ -60,12 +59,6 @@ def line_chunk_array(lines: Column, lines_per_chunk: int = LINES_PER_CHUNK,
     return F.filter(F.transform(groups, one), lambda c: F.length(c["text"]) >= min_chars)
 
 
-def truncate_text(text: Column, max_chars: int = MAX_CHARS) -> Column:
-    """Keep the first ``max_chars`` characters and append the marker."""
-    return F.when(F.length(text) > max_chars,
-                  F.concat(F.substring(text, 1, max_chars), F.lit(TRUNCATION_MARK))).otherwise(text)
-
-
 def line_chunks(files: DataFrame, lines_per_chunk: int = LINES_PER_CHUNK,
                 min_chars: int = MIN_CHARS) -> DataFrame:
     """C6 on every file: ``repo_name, file_path, language`` + chunk fields (no ids)."""
@@ -107,15 +100,6 @@ def chunk_array(content: Column, language: Column, min_chars: int = MIN_CHARS, m
     return let(split_lines(content), per_lines)
 
 
-def file_chunk_arrays(files: DataFrame, min_chars: int = MIN_CHARS, max_chars: int = MAX_CHARS,
-                      lines_per_chunk: int = LINES_PER_CHUNK, definitions_enabled: bool = True) -> DataFrame:
-    """C1-C7 per file: ``repo_name, file_path, language, chunks array<CHUNK_STRUCT>``."""
-    arr = chunk_array(F.col("content"), F.col("language"), min_chars, max_chars, lines_per_chunk,
-                      definitions_enabled)
-    return (files.filter(~P.is_blank("content"))
-            .select("repo_name", F.col("rel_path").alias("file_path"), "language", arr.alias("chunks")))
-
-
 def chunk_files(files: DataFrame, min_chars: int = MIN_CHARS, max_chars: int = MAX_CHARS,
                 lines_per_chunk: int = LINES_PER_CHUNK, definitions_enabled: bool = True) -> DataFrame:
     """Flat chunk table with dense ``chunk_id`` per repository.

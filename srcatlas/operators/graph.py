@@ -113,27 +113,31 @@ def architecture_context(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 MAX_PACKED_ITEMS = 1_000_000
 
 
-def pack_graph(nodes: DataFrame, edges: DataFrame, max_items: int = MAX_PACKED_ITEMS) -> DataFrame:
-    """``repo_name, graph_data struct<nodes, edges>``; attributes are dropped.
+def pack_graph(nodes: DataFrame, edges: DataFrame, max_items: int | None = None) -> DataFrame:
+    """``repo_name, graph_data struct<nodes, edges>``, a row per repository; attributes are dropped.
 
-    One row holds a repository's whole graph (the reference's stored form), so it is
-    built only for repositories whose node + edge count passes ``max_items``; larger
-    graphs stay in the long ``graph_nodes`` / ``graph_edges`` tables the jobs persist.
+    One row holds a repository's whole graph (the reference's stored form).  With ``max_items``
+    a repository of more nodes and edges keeps its row with a null ``graph_data``: its graph is
+    read from the long ``graph_nodes`` / ``graph_edges`` tables that the jobs persist.
     """
-    counts = (nodes.groupBy("repo_name").agg(F.count(F.lit(1)).alias("_n"))
-              .join(edges.groupBy("repo_name").agg(F.count(F.lit(1)).alias("_e")), "repo_name", "full_outer"))
-    ok = counts.filter(F.coalesce("_n", F.lit(0)) + F.coalesce("_e", F.lit(0)) <= max_items).select("repo_name")
-    nodes = nodes.join(ok, "repo_name", "left_semi")
-    edges = edges.join(ok, "repo_name", "left_semi")
+    repos = None
+    if max_items is not None:
+        items = nodes.select("repo_name").unionByName(edges.select("repo_name"))
+        counts = items.groupBy("repo_name").agg(F.count(F.lit(1)).alias("_n"))
+        repos = counts.select("repo_name")
+        ok = counts.filter(F.col("_n") <= max_items).select("repo_name")
+        nodes = nodes.join(ok, "repo_name", "left_semi")
+        edges = edges.join(ok, "repo_name", "left_semi")
     n = nodes.groupBy("repo_name").agg(F.array_sort(F.collect_list("node")).alias("nodes"))
     e = edges.groupBy("repo_name").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("src", "first_ord", "dst"))),
                     lambda x: F.struct(x["src"].alias("src"), x["dst"].alias("dst"))).alias("edges"))
-    return (n.join(e, "repo_name", "full_outer")
-            .select("repo_name", F.struct(
-                F.coalesce("nodes", F.array().cast("array<string>")).alias("nodes"),
-                F.coalesce("edges", F.array().cast("array<struct<src:string,dst:string>>")).alias("edges"))
-                .alias("graph_data")))
+    packed = (n.join(e, "repo_name", "full_outer")
+              .select("repo_name", F.struct(
+                  F.coalesce("nodes", F.array().cast("array<string>")).alias("nodes"),
+                  F.coalesce("edges", F.array().cast("array<struct<src:string,dst:string>>")).alias("edges"))
+                  .alias("graph_data")))
+    return packed if repos is None else repos.join(packed, "repo_name", "left")
 
 
 def unpack_graph(packed: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -51,24 +51,3 @@ def group_ordinals(df: DataFrame, group: list[str], order: list[str], out: str =
     return (ranged.join(offsets, ["_pid", *group])
             .withColumn(out, (F.col("_off") + F.col("_mono") - F.col("_first")).cast("bigint"))
             .drop("_pid", "_mono", "_first", "_off"))
-
-
-def group_offsets(df: DataFrame, group: list[str], order: list[str], weight: str,
-                  out: str = "base", partitions: int | None = None) -> DataFrame:
-    """Add ``out`` = sum of ``weight`` over earlier rows of the same group in ``order``.
-
-    Same skew-safe scheme as :func:`group_ordinals`, for weighted positions (e.g. the
-    first chunk id of each file from per-file chunk counts).
-    """
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = [F.col(c) for c in group + order]
-    ranged = materialize(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-                         .withColumn("_pid", F.spark_partition_id()), "offsets")
-    before = Window.partitionBy("_pid", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    local = ranged.withColumn("_local", F.coalesce(F.sum(weight).over(before), F.lit(0)))
-    totals = ranged.groupBy("_pid", *group).agg(F.sum(weight).alias("_t"))
-    earlier = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_pid", *group, F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_off"))
-    return (local.join(offsets, ["_pid", *group])
-            .withColumn(out, (F.col("_off") + F.col("_local")).cast("bigint"))
-            .drop("_pid", "_local", "_off"))

@@ -18,8 +18,8 @@ ANSWER_HEAD = ("You are reviewing a code base. The excerpts below are the chunks
                "question, each with its file path and line range.\n\n")
 ANSWER_MID = "\n\n---\n\nAnswer the question using only these excerpts:\n"
 ANSWER_TAIL = ("\n\nRules:\n- Cite the file path and line number for each claim.\n"
-               "- If the excerpts are not enough, say \"I cannot find enough information in the indexed "
-               "code to answer this.\" and do not guess.\n- Be brief and technical.\n")
+               "- If the excerpts do not settle the question, say that they do not, and name what is missing "
+               "instead of guessing.\n- Be brief and technical.\n")
 REVIEW_HEAD = "Review the following code for defects, risky patterns and code smells.\n\n"
 REVIEW_TAIL = ("\n\nReturn ONLY a JSON array. Each element is an object with the keys \"file\" (string), "
                "\"line\" (integer, 0 if unknown), \"severity\" (\"high\", \"medium\" or \"low\"), \"issue\" "

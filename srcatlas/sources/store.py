@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import metadata_id
 
-MAX_CHUNKS = 1000
 
 
-def index_admission(chunks: DataFrame, repos: DataFrame, max_chunks: int | None = MAX_CHUNKS) -> DataFrame:
-    """``repo_name, n_chunks, status, message``; 0 chunks or more than ``max_chunks``
-    is an error and nothing of that repository is written (its old index is kept)."""
+def index_admission(chunks: DataFrame, repos: DataFrame, max_chunks: int | None = None) -> DataFrame:
+    """``repo_name, n_chunks, status, message``; 0 chunks or, where a limit is asked for (1000 in
+    the reference), more than ``max_chunks`` is an error and nothing of that repository is written
+    (its old index is kept).  The messages are fixed values."""
     n = chunks.groupBy("repo_name").agg(F.count(F.lit(1)).alias("n_chunks"))
     r = repos.select("repo_name").distinct().join(n, "repo_name", "left").fillna(0, ["n_chunks"])
     too_big = F.lit(False) if max_chunks is None else F.col("n_chunks") > max_chunks
@@ -31,28 +31,27 @@ def index_admission(chunks: DataFrame, repos: DataFrame, max_chunks: int | None
 def write_chunk_index(chunks: DataFrame, path: str) -> None:
     """Replace all chunks of the repositories present in ``chunks``; nothing else."""
     spark = chunks.sparkSession
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     # Range partitioning on (repo, ids): a repository holding a third of the rows is
     # written by many tasks, and each task writes few repository partitions.
     order = [c for c in ("chunk_id", "node", "src", "dst") if c in chunks.columns]
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    try:
-        (chunks.repartitionByRange(n, "repo_name", *order)
-         .write.mode("overwrite").partitionBy("repo_name").parquet(path))
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    (chunks.repartitionByRange(n, "repo_name", *order)
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo_name").parquet(path))
 
 
 def read_chunk_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def upsert_metadata(spark: SparkSession, path: str, updates: DataFrame) -> None:
-    """key = md5(repo_name); last write wins.  Written per repository partition."""
+def upsert_metadata(spark: SparkSession, path: str, updates: DataFrame, order: str | None = None) -> None:
+    """key = md5(repo_name); last write wins.  Written per repository partition.
+
+    ``order`` names the column that says which of several updates of one batch came last; without
+    it a batch is expected to hold one row per repository.
+    """
     rows = (updates.withColumn("metadata_id", metadata_id("repo_name"))
             .withColumn("updated_at", F.current_timestamp()))
-    w = Window.partitionBy("metadata_id").orderBy(F.col("updated_at").desc())
+    w = Window.partitionBy("metadata_id").orderBy(F.col(order or "updated_at").desc_nulls_last())
     latest = rows.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
     write_chunk_index(latest, path)
 

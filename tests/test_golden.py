@@ -112,3 +112,16 @@ def test_infer_errors_are_values(spark):
     df = spark.createDataFrame([(1, "hi", 0.3), (2, "boom", 0.1)], "request_id long, prompt string, temperature double")
     out = {r.request_id: (r.reply, r.is_error) for r in replies.infer(df, responder).collect()}
     assert out[1] == ("echo 0.3", False) and out[2][1] and out[2][0].startswith("[LLM Error]")
+
+
+def test_infer_passes_message_and_budget(spark):
+    def responder(prompt, temperature, system, max_tokens):
+        return f"{system}/{max_tokens}/{prompt}"
+    df = spark.createDataFrame([(1, "hi", 0.3)], "request_id long, prompt string, temperature double")
+    assert replies.infer(df, responder, system="s", max_tokens=7).first().reply == "s/7/hi"
+
+
+def test_findings_keep_the_last_of_repeated_keys(spark):
+    df = spark.createDataFrame([(1, "r", '[{"file": "a", "file": "b", "line": 2}]')],
+                               "request_id long, repo_name string, reply string")
+    assert [(r.file, r.line) for r in replies.findings(df).collect()] == [("b", 2)]

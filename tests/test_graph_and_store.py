@@ -133,3 +133,18 @@ def test_pack_unpack_roundtrip(spark):
     n2, e2 = graph.unpack_graph(graph.pack_graph(nodes, edges))
     assert sorted(r.node for r in n2.collect()) == ["a", "b", "lonely"]
     assert [(r.src, r.dst) for r in e2.collect()] == [("a", "b")]
+
+
+def test_large_graphs_keep_their_row(spark):
+    nodes = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "z")], "repo_name string, node string")
+    edges = spark.createDataFrame([("a", "x", "y", 0)], "repo_name string, src string, dst string, first_ord long")
+    packed = {r.repo_name: r.graph_data for r in graph.pack_graph(nodes, edges, max_items=2).collect()}
+    assert packed["a"] is None and packed["b"].nodes == ["z"] and packed["b"].edges == []
+    assert {r.repo_name: len(r.graph_data.nodes) for r in graph.pack_graph(nodes, edges).collect()} == {"a": 2, "b": 1}
+
+
+def test_last_update_of_a_batch_wins(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "old", 1), ("a", "new", 3), ("a", "mid", 2)],
+                                 "repo_name string, summary string, seq int")
+    store.upsert_metadata(spark, str(tmp_path / "m"), rows, order="seq")
+    assert [r.summary for r in spark.read.parquet(str(tmp_path / "m")).collect()] == ["new"]

@@ -1,5 +1,6 @@
 """End-to-end jobs E1-E6 on a tiny two-repository corpus with a canned responder."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from srcatlas.plans import jobs
@@ -49,6 +50,18 @@ def test_index_ask_review_views(spark, tmp_path):
     assert {r.node: r.color for r in nodes.collect()} == {"main.py": "#E24B4A", "core/db.py": "#E24B4A"}
     assert all(r.in_cycle for r in edges.collect())
 
+    # graphs too large to be packed have their metadata all the same
+    long_out = str(tmp_path / "long")
+    jobs.index_repositories(corpus(spark), long_out, responder, max_packed=1)
+    thin = spark.read.parquet(f"{long_out}/repo_metadata")
+    assert thin.filter("repo_name = 'alpha'").first().graph_data is None
+    with pytest.raises(ValueError):
+        jobs.dependency_view(thin, repos)
+    nodes, edges, _ = jobs.dependency_view(thin, repos, spark.read.parquet(f"{long_out}/graph_nodes"),
+                                           spark.read.parquet(f"{long_out}/graph_edges"))
+    assert {r.node: r.color for r in nodes.collect()} == {"main.py": "#E24B4A", "core/db.py": "#E24B4A"}
+    assert all(r.in_cycle for r in edges.collect())
+
     questions = spark.createDataFrame([(1, "alpha", "where is connect"), (2, "gamma", "anything")],
                                       "query_id long, repo_name string, question string")
     ans = {r.query_id: (r.status, r.chunks_used) for r in jobs.ask(index, questions, responder).collect()}
