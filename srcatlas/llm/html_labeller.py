@@ -5,7 +5,7 @@ elements (tags and the words of their classes, ids and roles), its hashed words
 bidirectional LSTM in numpy reads the sequence from both ends and classifies every block with the whole page
 as context.  The kept blocks, in page order, are the text.
 
-The labeller is trained here, on a bounded sample of ``SAMPLE`` pages (those of smallest hash): semantic
+The labeller is trained here, on a bounded sample of ``SAMPLE`` distinct pages (those of smallest hash): semantic
 elements give the labels (inside ``article`` or ``main``, not in navigation, forms and the like), and every
 page is also shown in variants in which these elements are replaced by the generic containers that other
 sites use and in which menus, notices, sidebars, forms, adverts and reader comments are added from the page's
@@ -306,10 +306,13 @@ def training_set(pages: list[str], variants: int = VARIANTS, seed: int = 7):
 
 
 def train(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE) -> Labeller:
-    """A labeller fitted on the ``sample`` pages of smallest hash."""
-    chosen = (pages.select(F.col(html_col).alias("html")).where(F.length("html") > 0)
-              .select("html", F.xxhash64("html").alias("h")).orderBy("h", "html").limit(sample))
-    data = training_set([r["html"] for r in chosen.collect()])
+    """A labeller fitted on the ``sample`` distinct pages of smallest hash."""
+    hashed = (pages.select(F.col(html_col).alias("html")).where(F.length("html") > 0)
+              .select("html", F.xxhash64("html").alias("h")))
+    # the hashes alone are sorted: with the pages, every task would send a whole sample to the driver
+    least = [r["h"] for r in hashed.select("h").distinct().orderBy("h").limit(sample).collect()]
+    chosen = hashed.where(F.col("h").isin(least)).groupBy("h").agg(F.min("html").alias("html")).orderBy("h")
+    data = training_set([r["html"] for r in chosen.collect()]) if least else []
     model = Labeller()
     return model.fit(data) if data else model
 
