@@ -1,15 +1,17 @@
 """Toxicity by the nearest labelled examples (operator 3).
 
-Texts are vectors of TF-IDF weights over a chosen vocabulary: lower-cased words and word beginnings of 4 to 6
-letters that mark the label in a bounded sample of labelled texts: chi-square over the distinct contexts (the
-words around a term where a text has it first), so that copies of one text speak once.  Document frequencies
-count every document.  A text is scored by its ``NEIGHBOURS`` nearest examples by exact cosine,
-found in a block-max inverted index: examples lie in blocks of ``BLOCK``; per term and block the index knows
-the largest weight, so a block's best possible cosine is known before its postings are read, and blocks are
-read in falling order of that bound until none can reach the k-th best.  The neighbours vote with weights
-``1 / (SOFT + distance)``, corrected for the sampling rate of their label; a logistic curve fitted on
-leave-one-out votes of the examples turns the vote into a probability.  Texts without any vocabulary term get
-the (smoothed) share of toxic texts among such examples.
+Texts are vectors over all words of a bounded sample of labelled texts: TF-IDF, times one plus the root of the
+word's chi-square against the label, so that words which mark a label weigh more and no word is left out.  The
+chi-square is taken over distinct contexts (the words around a word where a text has it first), so that copies
+of one text speak once; document frequencies count every document.  A word that no example has counts as its
+longest beginning of 4 to 6 letters that one has; failing that it adds to the text's length alone, with the
+weight of a word in no document.  A text is scored by its ``NEIGHBOURS`` nearest examples by exact cosine, summed
+over an inverted index of the examples; words that stand in many of them are kept as full rows, which a matrix
+product adds for a batch of texts at once.  The neighbours vote with weights ``cosine ** 2 / (SOFT + distance)``,
+corrected for the sampling rate of their label, beside a small vote for the share of toxic rows (so remote
+neighbours decide little); a logistic curve fitted on leave-one-out votes of the examples turns the vote into a
+probability.  Texts that share no word with an example get the (smoothed) share of toxic texts among examples
+without words.
 
 The fit reads at most ``EXAMPLES`` labelled rows of each label, those of smallest hash of the id; that bound
 makes the index small enough to travel with the task.  Everything else covers all documents: scoring is one
@@ -25,6 +27,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,173 +35,160 @@ from pyspark.sql import functions as F
 from ..session import materialize, ship_package
 from .common import released
 
-#: Bounds of the fit: labelled rows of each label, candidate terms, and terms of the vocabulary.
-EXAMPLES, CANDIDATES, TERMS = 4_000, 20_000, 400
-NEIGHBOURS, BLOCK, SOFT = 15, 64, 0.05
-#: A term needs this many toxic contexts, this share of the toxic texts, and this chi-square.
-LEAST, LEAST_SHARE, LEAST_CHI = 3, 0.005, 20.0
-BEGINNINGS = (4, 5, 6)
+#: Bound of the fit: labelled rows of each label.
+EXAMPLES = 4_000
+#: A word that at least one in ``BLOCK`` examples has is kept as a full row; ``BATCH`` texts are scored at once.
+NEIGHBOURS, BLOCK, BATCH = 15, 16, 64
+SOFT, PRIOR = 0.05, 0.02
+BEGINNINGS = (6, 5, 4)
 
 _WORD = re.compile(r"\w+")
 
 
-def terms_of(text: str) -> dict[str, int]:
-    """Every word and, marked by ``*``, every beginning of a longer word, with the hash of its first context."""
+def first_contexts(text: str) -> dict[str, int]:
+    """Every word with the hash of its first context."""
     words = _WORD.findall(text.lower())
     out: dict[str, int] = {}
-    for i in range(len(words) - 1, -1, -1):
-        w = words[i]
-        context = zlib.crc32(" ".join(words[max(i - 1, 0):i + 2]).encode())
-        out[w] = context
-        for n in BEGINNINGS:
-            if len(w) > n:
-                out[w[:n] + "*"] = context
+    for i, w in enumerate(words):
+        if w not in out:
+            out[w] = zlib.crc32(" ".join(words[max(i - 1, 0):i + 2]).encode())
     return out
 
 
-def _explode_terms(wanted: frozenset | None):
-    @released
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            for at in range(0, len(batch), 100):
-                found: set[tuple[str, int]] = set()
-                for text in batch.column("text").slice(at, 100).to_pylist():
-                    own = terms_of(text or "")
-                    found.update(own.items() if wanted is None else [(t, c) for t, c in own.items() if t in wanted])
-                terms, contexts = zip(*found) if found else ((), ())
-                yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(contexts, pa.int64())],
-                                                 names=["term", "context"])
-    return run
-
-
-def _contexts(sample: DataFrame, label: int, wanted: frozenset | None = None) -> DataFrame:
-    """term, n: in how many distinct contexts the texts of a label have a term first."""
-    found = (sample.where(F.col("toxic") == label).select("text")
-             .mapInArrow(_explode_terms(wanted), "term string, context long"))
-    return found.distinct().groupBy("term").agg(F.count("*").alias("n"))
-
-
 class Terms:
-    """Counts vocabulary terms in a text with one automaton pass; a term must start where a word starts."""
+    """Numbers the words of the examples and counts them in a text."""
 
     def __init__(self, vocabulary: list[str]):
         self.vocabulary = vocabulary
-        self.automaton = None
+        self.number: dict[str, int] | None = None
 
     def __getstate__(self):
-        return {"vocabulary": self.vocabulary, "automaton": None}
+        return {"vocabulary": self.vocabulary, "number": None}
 
-    def counts(self, text: str | None) -> dict[int, int]:
-        """term number -> how often it occurs"""
+    def counts(self, text: str | None) -> tuple[dict[int, int], list[int]]:
+        """word number -> how often it occurs, and the counts of the words that no example has"""
         if not self.vocabulary or not text:
-            return {}
-        if self.automaton is None:
-            import ahocorasick
-
-            forms: dict[str, list[tuple[int, bool]]] = {}
-            for i, t in enumerate(self.vocabulary):
-                forms.setdefault(t.rstrip("*"), []).append((i, t.endswith("*")))
-            self.automaton = ahocorasick.Automaton()
-            for form, uses in forms.items():
-                self.automaton.add_word(form, (len(form), uses))
-            self.automaton.make_automaton()
-        low, out = text.lower(), {}
-        for end, (size, uses) in self.automaton.iter(low):
-            start = end - size
-            if start >= 0 and (low[start].isalnum() or low[start] == "_"):
-                continue
-            goes_on = end + 1 < len(low) and (low[end + 1].isalnum() or low[end + 1] == "_")
-            for i, beginning in uses:
-                if beginning == goes_on:
-                    out[i] = out.get(i, 0) + 1
-        return out
+            return {}, []
+        if self.number is None:
+            self.number = {w: i for i, w in enumerate(self.vocabulary)}
+        number, out, strange = self.number, {}, []
+        for w, n in Counter(_WORD.findall(text.lower())).items():
+            i = number.get(w)
+            if i is None:
+                i = next((number[w[:k]] for k in BEGINNINGS if len(w) > k and w[:k] in number), None)
+            if i is None:
+                strange.append(n)
+            else:
+                out[i] = out.get(i, 0) + n
+        return out, strange
+
+
+def _arrays(vector):
+    """A vector as ascending term numbers and their weights."""
+    import numpy as np
+
+    if not isinstance(vector, dict):
+        return vector
+    return np.array(sorted(vector), np.int64), np.array([vector[t] for t in sorted(vector)], float)
 
 
 class Examples:
-    """Block-max inverted index over the labelled examples' vectors."""
+    """Inverted index over the labelled examples' vectors; terms of many examples are full rows."""
 
     def __init__(self, ids, labels, vectors, rates, n_terms, k=NEIGHBOURS, block=BLOCK):
         import numpy as np
 
         order = sorted(range(len(ids)), key=lambda i: ids[i])
         self.ids, self.labels = [ids[i] for i in order], np.array([labels[i] for i in order], np.int64)
-        self.rates, self.k, self.block = rates, k, block
-        self.blocks = -(-len(ids) // block)
-        self.best = np.zeros((n_terms, max(self.blocks, 1)))
-        postings: list[list[tuple[int, float]]] = [[] for _ in range(n_terms)]
-        for row, i in enumerate(order):
-            for t, w in vectors[i].items():
-                postings[t].append((row, w))
-                self.best[t, row // block] = max(self.best[t, row // block], w)
-        self.rows = [np.array([r for r, _ in p], np.int64) for p in postings]
-        self.weights = [np.array([w for _, w in p]) for p in postings]
-        self.cuts = [np.searchsorted(r, np.arange(self.blocks + 1) * block) for r in self.rows]
-
-    def nearest(self, vector: dict[int, float], but: int = -1) -> list[tuple[float, int]]:
-        """(cosine, row) of the k nearest examples sharing a term, best first, ties by id; never row ``but``."""
+        self.rates, self.k, n = rates, k, len(ids)
+        total = sum(rates[y] for y in labels)
+        self.share = sum(rates[y] for y in labels if y) / total if total else 0.0
+        self.prior = PRIOR * total / max(n, 1)
+        pairs = [_arrays(vectors[i]) for i in order]
+        rows = np.repeat(np.arange(n, dtype=np.int32), [len(t) for t, _ in pairs])
+        terms = np.concatenate([t for t, _ in pairs]) if pairs else np.zeros(0, np.int64)
+        weights = np.concatenate([w for _, w in pairs]) if pairs else np.zeros(0)
+        full = np.flatnonzero(np.bincount(terms, minlength=n_terms) * block >= max(n, block))
+        self.full = np.full(n_terms, -1, np.int32)
+        self.full[full] = np.arange(len(full))
+        at = self.full[terms]
+        self.dense = np.zeros((len(full), n))
+        self.dense[at[at >= 0], rows[at >= 0]] = weights[at >= 0]
+        order = np.flatnonzero(at < 0)
+        order = order[np.argsort(terms[order], kind="stable")]
+        self.rows, self.weights = rows[order], weights[order]
+        self.cuts = np.searchsorted(terms[order], np.arange(n_terms + 1))
+
+    def nearest_of(self, vectors, but=None) -> list[list[tuple[float, int]]]:
+        """For each vector (cosine, row) of the k nearest examples sharing a term, best first, ties by id; never ``but``."""
         import numpy as np
 
-        if not vector or not self.blocks:
-            return []
-        terms = list(vector)
-        bound = np.array([vector[t] for t in terms]) @ self.best[terms]
-        found: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(found) == self.k and bound[b] < -found[-1][0] - 1e-9:
-                break
-            scores = np.zeros(self.block)
-            for t in terms:
-                a, z = self.cuts[t][b], self.cuts[t][b + 1]
-                if z > a:
-                    scores[self.rows[t][a:z] - b * self.block] += vector[t] * self.weights[t][a:z]
-            # equal cosines must compare equal, whatever the order of their sums
-            found += [(-round(float(scores[i]), 12), int(i + b * self.block)) for i in np.flatnonzero(scores)
-                      if i + b * self.block != but]
-            found = sorted(found)[:self.k]
-        return [(-s, r) for s, r in found]
+        n, out = len(self.ids), []
+        for start in range(0, len(vectors), BATCH):
+            part = [_arrays(v) for v in vectors[start:start + BATCH]]
+            common, scores = np.zeros((len(part), len(self.dense))), np.zeros((len(part), n))
+            for i, (terms, weights) in enumerate(part):
+                at = self.full[terms]
+                common[i, at[at >= 0]] = weights[at >= 0]
+                terms, weights = terms[at < 0], weights[at < 0]
+                sizes = self.cuts[terms + 1] - self.cuts[terms]
+                places = np.arange(sizes.sum()) + np.repeat(self.cuts[terms] - np.cumsum(sizes) + sizes, sizes)
+                scores[i] = np.bincount(self.rows[places], self.weights[places] * np.repeat(weights, sizes), minlength=n)
+            scores += common @ self.dense
+            for i, s in enumerate(scores):
+                if but is not None:
+                    s[but[start + i]] = 0.0
+                # equal cosines must compare equal, whatever the order of their sums
+                least = np.partition(s, n - self.k)[n - self.k] - 1e-11 if n > self.k else 0.0
+                found = [(-round(float(s[r]), 12), int(r)) for r in np.flatnonzero((s >= least) & (s > 0))]
+                out.append([(-c, r) for c, r in sorted(found)[:self.k] if c])
+        return out
+
+    def nearest(self, vector, but: int = -1) -> list[tuple[float, int]]:
+        return self.nearest_of([vector], None if but < 0 else [but])[0]
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         """Share of the toxic among the neighbours' distance-weighted, rate-corrected votes."""
-        both = [0.0, 0.0]
+        both = [self.prior * (1.0 - self.share), self.prior * self.share]
         for cosine, row in near:
             y = int(self.labels[row])
-            both[y] += self.rates[y] / (SOFT + max(0.0, 1.0 - cosine))
+            both[y] += self.rates[y] * cosine * cosine / (SOFT + max(0.0, 1.0 - cosine))
         return both[1] / (both[0] + both[1])
 
 
 class Model:
-    """Vocabulary, document frequencies, example index and calibration; small, and the same in every task."""
+    """Words, their weights, example index and calibration; bounded by the sample, and the same in every task."""
 
-    def __init__(self, terms: Terms, idf: list[float]):
-        self.terms, self.idf = terms, idf
+    def __init__(self, terms: Terms, weights, strange: float):
+        self.terms, self.weights, self.strange = terms, weights, strange
         self.examples: Examples | None = None
         self.curve, self.bare = (1.0, 0.0), 0.0
-        self.seen: dict = {}
 
-    def vector(self, counts: dict[int, int]) -> dict[int, float]:
-        w = {t: (1.0 + math.log(n)) * self.idf[t] for t, n in sorted(counts.items())}
-        norm = math.sqrt(sum(x * x for x in w.values()))
-        return {t: x / norm for t, x in w.items()} if norm else {}
+    def vector(self, counts: dict[int, int], strange=()):
+        """Ascending term numbers and weights of the unit vector; ``strange`` words add to the norm alone."""
+        import numpy as np
+
+        terms = np.array(sorted(counts), np.int64)
+        w = (1.0 + np.log(np.array([counts[t] for t in terms.tolist()], float))) * self.weights[terms]
+        rest = sum((1.0 + math.log(n)) ** 2 for n in strange) * self.strange ** 2
+        norm = math.sqrt(float((w * w).sum()) + rest)
+        return terms, w / norm if norm else w
 
     def fit(self, examples: list[tuple[int, int, dict[int, int]]], rates: tuple[float, float]) -> "Model":
-        """``examples``: (id, label, term counts); ``rates``: how many labelled rows an example of each label stands for."""
+        """``examples``: (id, label, word counts); ``rates``: how many labelled rows an example of each label stands for."""
         import numpy as np
 
         bare = [y for _, y, c in examples if not c]
         weight = sum(rates[y] for y in bare)
-        self.bare = min((rates[1] * sum(bare) + 0.05) / (weight + 1.0), 0.49) if examples else 0.0
-        full = [(i, y, self.vector(c)) for i, y, c in examples if c]
+        self.bare = (rates[1] * sum(bare) + 0.05) / (weight + 1.0) if examples else 0.0
+        full = sorted(((i, y, c) for i, y, c in examples if c), key=lambda r: r[:2])
         if not full:
             return self
-        index = Examples([i for i, _, _ in full], [y for _, y, _ in full], [v for _, _, v in full], rates,
-                         len(self.idf))
+        vectors = [self.vector(c) for _, _, c in full]
+        index = Examples([i for i, _, _ in full], [y for _, y, _ in full], vectors, rates, len(self.weights))
         self.examples = index
-        by_id = {i: v for i, _, v in full}
         x, y, w = [], [], []
-        for row, i in enumerate(index.ids):
-            near = index.nearest(by_id[i], but=row)
+        for row, near in enumerate(index.nearest_of(vectors, range(len(full)))):
             if near:
                 x.append(self._logit(index.vote(near)))
                 y.append(int(index.labels[row]))
@@ -212,19 +202,15 @@ class Model:
         p = min(max(p, 0.002), 0.998)
         return math.log(p / (1.0 - p))
 
-    def judge(self, counts: dict[int, int]) -> tuple[float, list[tuple[float, int]]]:
-        """(score, neighbours)"""
-        if not counts:
-            return self.bare, []
-        key = tuple(sorted(counts.items()))
-        if key not in self.seen:
-            near = self.examples.nearest(self.vector(counts)) if self.examples else []
-            a, b = self.curve
-            score = 1.0 / (1.0 + math.exp(-(a * self._logit(self.examples.vote(near)) + b))) if near else self.bare
-            if len(self.seen) > 4_000:
-                self.seen.clear()
-            self.seen[key] = (score, near)
-        return self.seen[key]
+    def judge(self, texts: list) -> list[tuple[float, list[tuple[float, int]]]]:
+        """(score, neighbours) of every text; equal texts are judged once."""
+        places = {t: i for i, t in enumerate(dict.fromkeys(texts))}
+        vectors = [self.vector(*self.terms.counts(t)) for t in places]
+        near = self.examples.nearest_of(vectors) if self.examples else [[] for _ in vectors]
+        a, b = self.curve
+        judged = [(1.0 / (1.0 + math.exp(-(a * self._logit(self.examples.vote(n)) + b))) if n else self.bare, n)
+                  for n in near]
+        return [judged[places[t]] for t in texts]
 
 
 def _logistic(x, y, w) -> tuple[float, float]:
@@ -245,17 +231,23 @@ def _logistic(x, y, w) -> tuple[float, float]:
     return (max(float(beta[0]), 0.05), float(beta[1]))
 
 
-def _vectors(terms: Terms):
-    """Arrow function: the vocabulary terms of every text."""
+def _frequencies(terms: Terms):
+    """Arrow function: in how many of the task's texts each word stands; -1 counts the texts."""
     @released
     def run(batches):
+        import numpy as np
         import pyarrow as pa
 
-        kind = pa.map_(pa.int32(), pa.int32())
+        n, rows = np.zeros(len(terms.vocabulary), np.int64), 0
         for batch in batches:
-            found = [list(terms.counts(t).items()) for at in range(0, len(batch), 500)
-                     for t in batch.column("text").slice(at, 500).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, kind)], names=["doc_id", "counts"])
+            rows += len(batch)
+            for at in range(0, len(batch), 500):
+                found = [np.fromiter(terms.counts(t)[0], np.int64)
+                         for t in batch.column("text").slice(at, 500).to_pylist()]
+                n += np.bincount(np.concatenate(found), minlength=len(n))
+        seen = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, -1), pa.int64()),
+                                          pa.array(np.append(n[seen], rows), pa.int64())], names=["term", "n"])
     return run
 
 
@@ -280,44 +272,46 @@ def _sample(docs: DataFrame, labels: DataFrame, per_label: int) -> tuple[DataFra
                         "toxicity-examples"), totals)
 
 
-def train(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS) -> tuple[Model, DataFrame]:
-    """The model, and (doc_id, counts) of every row of ``docs`` by its vocabulary.
+def train(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
+    """The model from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic); labels of held-out ids are not read."""
+    import numpy as np
 
-    ``docs`` has doc_id and text, ``labels`` doc_id and toxic; labels of held-out ids are not read.
-    """
     ship_package(docs.sparkSession)
     sample, totals = _sample(docs, labels, examples)
-    kept = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    rates = tuple(totals.get(y, 0) / max(kept.get(y, 0), 1) for y in (0, 1))
-    least = max(LEAST, math.ceil(LEAST_SHARE * kept.get(1, 0)))
-    common = _contexts(sample, 1).where(F.col("n") >= least).orderBy(F.desc("n"), "term").limit(CANDIDATES)
-    pos = {r["term"]: r["n"] for r in common.collect()}
-    neg = {r["term"]: r["n"] for r in _contexts(sample, 0, frozenset(pos)).collect()}
-    vocabulary = Terms(_chosen(pos, neg, kept.get(1, 0), kept.get(0, 0), terms))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    vectors = materialize(rows.mapInArrow(_vectors(vocabulary), "doc_id long, counts map<int,int>"), "toxicity-terms")
-    n_docs = vectors.count()
-    df = {r["t"]: r["n"] for r in vectors.select(F.explode(F.map_keys("counts")).alias("t")).groupBy("t")
-          .agg(F.count("*").alias("n")).collect()}
-    idf = [math.log((1 + n_docs) / (1 + df.get(i, 0))) + 1.0 for i in range(len(vocabulary.vocabulary))]
+    number: dict[str, int] = {}
+    known, kept, contexts = [], [0, 0], [[], []]
     # bounded: the sample's rows, without their texts
-    known = [(r["doc_id"], r["toxic"], dict(vocabulary.counts(r["text"]))) for r in sample.toLocalIterator()]
-    return Model(vocabulary, idf).fit(sorted(known, key=lambda r: r[:2]), rates), vectors
-
+    for r in sample.toLocalIterator():
+        first = first_contexts(r["text"])
+        terms = np.array([number.setdefault(w, len(number)) for w in first], np.int64)
+        contexts[r["toxic"]].append(terms << 32 | np.fromiter(first.values(), np.int64, len(first)))
+        kept[r["toxic"]] += 1
+        counts = Counter(_WORD.findall(r["text"].lower()))
+        known.append((r["doc_id"], r["toxic"], {number[w]: n for w, n in counts.items()}))
+    rates = tuple(totals.get(y, 0) / max(kept[y], 1) for y in (0, 1))
+    size = len(number)
+    seen = [np.bincount(np.unique(np.concatenate(c)) >> 32, minlength=size) if c else np.zeros(size) for c in contexts]
+    del contexts
+    words = Terms(list(number))
+    df, n_docs = np.zeros(size), 0
+    if size:
+        counted = (docs.select("text").mapInArrow(_frequencies(words), "term long, n long")
+                   .groupBy("term").agg(F.sum("n").alias("n")).toArrow())
+        terms, n = (counted.column(c).to_numpy() for c in ("term", "n"))
+        n_docs = int(n[terms < 0].sum())
+        df[terms[terms >= 0]] = n[terms >= 0]
+    weights = (np.log((1 + n_docs) / (1 + df)) + 1.0) * (1.0 + np.sqrt(_chi_square(*seen, *kept)))
+    return Model(words, weights, math.log(1 + n_docs) + 1.0).fit(known, rates)
+
+
+def _chi_square(neg, pos, n_neg: int, n_pos: int):
+    """How far words tell the labels apart, by the contexts they have in the texts of either label."""
+    import numpy as np
 
-def _chosen(pos: dict, neg: dict, n_pos: int, n_neg: int, terms: int) -> list[str]:
-    """The terms that mark toxic texts best by chi-square over contexts."""
-    scored = []
-    for t, a in pos.items():
-        b = neg.get(t, 0)
-        c, d = n_pos - a, n_neg - b
-        if n_neg and a * n_neg <= 3.0 * b * n_pos:
-            continue
-        below = (a + b) * (c + d) * (a + c) * (b + d)
-        chi = (n_pos + n_neg) * (a * d - b * c) ** 2 / below if below else float(a if not n_neg else 0)
-        if chi >= LEAST_CHI:
-            scored.append((-chi, t))
-    return [t for _, t in sorted(scored)[:terms]]
+    a, b = np.asarray(pos, float), np.asarray(neg, float)
+    c, d = n_pos - a, n_neg - b
+    below = (a + b) * (c + d) * n_pos * n_neg
+    return (n_pos + n_neg) * (a * d - b * c) ** 2 / np.where(below > 0, below, np.inf)
 
 
 def _score(model: Model):
@@ -326,29 +320,32 @@ def _score(model: Model):
         import pyarrow as pa
 
         near_kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
+        index = model.examples
         for batch in batches:
-            judged = [model.judge(dict(c or ())) for c in batch.column("counts").to_pylist()]
-            index = model.examples
-            near = [[{"doc_id": index.ids[r], "similarity": s, "toxic": int(index.labels[r])} for s, r in n]
-                    for _, n in judged]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([s for s, _ in judged], pa.float64()), pa.array(near, near_kind)],
-                names=["doc_id", "score", "evidence"])
+            for at in range(0, len(batch), 500):
+                part = batch.slice(at, 500)
+                judged = model.judge(part.column("text").to_pylist())
+                near = [[{"doc_id": index.ids[r], "similarity": s, "toxic": int(index.labels[r])} for s, r in n]
+                        for _, n in judged]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array([s for s, _ in judged], pa.float64()), pa.array(near, near_kind)],
+                    names=["doc_id", "score", "evidence"])
     return run
 
 
-def score(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> DataFrame:
     """doc_id, held_out, score, predicted and evidence (the neighbours that voted) for every row of ``docs``."""
-    model, vectors = train(docs, labels, examples, terms)
-    judged = vectors.mapInArrow(_score(model), "doc_id long, score double, evidence "
-                                               "array<struct<doc_id:long,similarity:double,toxic:int>>")
+    model = train(docs, labels, examples)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    judged = rows.mapInArrow(_score(model), "doc_id long, score double, evidence "
+                                            "array<struct<doc_id:long,similarity:double,toxic:int>>")
     return judged.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score",
                          (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """``docs`` without the rows scored ``threshold`` or more; scored where they are scanned, no text is shuffled."""
-    model, _ = train(docs, labels)
+    model = train(docs, labels)
 
     at = docs.columns.index("text")
 
@@ -357,8 +354,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Da
         import pyarrow as pa
 
         for batch in batches:
-            keep = [model.judge(model.terms.counts(t))[0] < threshold for i in range(0, len(batch), 500)
-                    for t in batch.column(at).slice(i, 500).to_pylist()]
+            keep = [s < threshold for i in range(0, len(batch), 500)
+                    for s, _ in model.judge(batch.column(at).slice(i, 500).to_pylist())]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(clean, docs.schema)

@@ -199,3 +199,26 @@ def test_nearest_examples_equal_brute_force():
         every = sorted((-round(sum(w * v.get(t, 0) for t, w in q.items()), 12), i) for i, v in enumerate(vectors))
         want = [(i, s) for s, i in every if s][:7]
         assert [(r, -s) for s, r in index.nearest(q)] == want
+
+
+def test_toxicity_reads_all_words(spark, docs):
+    rng = random.Random(8)
+    common = [f"{rng.choice('bcdfg')}{rng.choice('aeiou')}{i}" for i in range(300)]
+    rows, labels = [], []
+    for i in range(400):
+        text = [rng.choice(common) for _ in range(40)]
+        if i % 4 == 0:
+            text[5], text[20], text[30] = "vile", "grim", "nasty"
+        rows.append((i, " ".join(text)))
+        labels.append((i, 1, int(i % 4 == 0)))
+    # one labelled toxic text of words that no other text has, its copy and a near copy
+    read = next(i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 5)
+    rare = [f"zz{k}q" for k in range(30)]
+    rows += [(read, " ".join(rare)), (2000, " ".join(rare)), (2001, " ".join(rare[:27] + ["new", "words", "here"])),
+             (2002, " ".join(rng.choice(common) for _ in range(3000)) + " vile"), (2003, "vile grim nasty")]
+    table = spark.createDataFrame(labels + [(read, 1, 1)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in toxicity.score(docs(*rows), table).collect()}
+    assert got[2000].predicted == got[2001].predicted == got[2003].predicted == 1 and got[2002].predicted == 0
+    assert got[2000].evidence[0].doc_id == read and abs(got[2000].evidence[0].similarity - 1) < 1e-9
+    kept = {r.doc_id for r in toxicity.drop_toxic(docs(*rows), table).collect()}
+    assert kept == {i for i, r in got.items() if not r.predicted}
