@@ -7,19 +7,27 @@ import re
 from typing import NamedTuple
 
 #: Elements that never hold running text, whatever stands in them.
-SILENT = frozenset("script style noscript template head title iframe object svg math canvas audio video select option "
+SILENT = frozenset("script style noscript template head title iframe object svg canvas audio video select option "
                    "button textarea datalist input".split())
 #: Elements whose content is not markup.
 RAW = frozenset("script style textarea title iframe noscript".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp "
-                   "small span strike strong sub sup time tt u var nobr".split())
+                   "small span strike strong sub sup time tt u var nobr math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup "
+                   "msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mlabeledtr mtd mspace mstyle "
+                   "mpadded mphantom merror menclose mfenced maction semantics annotation annotation-xml".split())
 #: An open element of the first kind ends where one of the second kind begins.
 ENDS = {"p": frozenset("p div ul ol dl table section article aside nav header footer main form h1 h2 h3 h4 h5 h6 "
                        "blockquote pre hr figure address fieldset".split()),
         "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]),
         "td": frozenset(["td", "th", "tr", "tbody"]), "th": frozenset(["td", "th", "tr", "tbody"]),
         "tr": frozenset(["tr", "tbody"]), "option": frozenset(["option"])}
+#: What may stand in ``head``; any other element and any text end it.
+IN_HEAD = frozenset("title meta link base script style noscript template".split())
+#: A silent element that lacks its end tag ends where one of these begins.
+BLOCK_LEVEL = ENDS["p"] | frozenset("body li dt dd tr td th tbody thead tfoot caption details summary center".split())
+#: Elements that do not nest in themselves.
+FLAT = frozenset("button select option datalist".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -40,12 +48,28 @@ def name_words(attributes: str) -> tuple[str, ...]:
     return tuple(found)
 
 
+def closed(page: str, tag: str) -> set[int]:
+    """Where the elements of a name begin that have an end tag of their own."""
+    opened: list[int] = []
+    out = set()
+    for m in re.finditer(rf"<(/?){tag}(?=[\s/>])", page, re.I):
+        if not m[1]:
+            if tag in FLAT:
+                opened.clear()
+            opened.append(m.start())
+        elif opened:
+            out.add(opened.pop())
+    return out
+
+
 def blocks(page: str) -> list[Block]:
     """The page's leaf blocks in order; text between two block-level tags is one block."""
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
     links = silent = link_chars = 0
+    whole: dict[str, set[int]] = {}
+    lax: set[int] = set()  # depths at which a silent element without an end tag stands
 
     def flush() -> None:
         nonlocal link_chars, links
@@ -69,18 +93,23 @@ def blocks(page: str) -> list[Block]:
         flush()
         while len(stack) > depth:
             silent -= stack.pop()[0] in SILENT
+            lax.discard(len(stack))
 
     at = 0
     while True:
         m = _TOKEN.search(page, at)
+        raw = page[at:m.start() if m else len(page)]
+        if raw and stack and stack[-1][0] == "head" and not raw.isspace():
+            close(len(stack) - 1)
+        say(raw)
         if not m:
-            say(page[at:])
             break
-        say(page[at:m.start()])
         at = m.end()
         tag = (m[2] or "").lower()
         if not tag:
             continue
+        if not m[1] and stack and stack[-1][0] == "head" and tag not in IN_HEAD:
+            close(len(stack) - 1)
         if tag in INLINE:
             if tag == "a":
                 links = max(0, links + (-1 if m[1] else 1))
@@ -96,7 +125,7 @@ def blocks(page: str) -> list[Block]:
                 close(depth)
             continue
         flush()
-        while stack and tag in ENDS.get(stack[-1][0], ()):
+        while stack and (tag in ENDS.get(stack[-1][0], ()) or tag in BLOCK_LEVEL and len(stack) - 1 in lax):
             close(len(stack) - 1)
         if tag in VOID or m[3].endswith("/") and tag not in RAW:
             continue
@@ -106,6 +135,11 @@ def blocks(page: str) -> list[Block]:
                 continue
             at = end.end() if end else len(page)
             continue
+        if tag in SILENT and tag != "head":
+            if tag not in whole:
+                whole[tag] = closed(page, tag)
+            if m.start() not in whole[tag]:
+                lax.add(len(stack))
         stack.append((tag, name_words(m[3])))
         silent += tag in SILENT
     flush()

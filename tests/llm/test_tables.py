@@ -89,6 +89,21 @@ def test_blocks_of_broken_markup():
     assert html_blocks.blocks("") == [] and html_blocks.blocks("<p") == html_blocks.blocks("<p")
 
 
+def test_blocks_of_elements_left_open():
+    def texts(page):
+        return [b.text for b in html_blocks.blocks(page)]
+
+    assert texts("<html><head><title>x</title><meta a><body><article><p>Body") == ["Body"]
+    assert texts("<html><head><title>x</title>\n<p>First<p>Second") == ["First", "Second"]
+    assert texts("<head><style>x</style><link><b>Bold</b> text") == ["Bold text"] and texts("<head>Text") == ["Text"]
+    for tag in ("button", "select><option", "object", "video", "svg"):
+        assert texts(f"<div><{tag}>no<p>One</p>Two</div>Three") == ["One", "Two", "Three"]
+    assert texts("<ul><li><button>no<li>One<li><button>no</button>Two</ul>") == ["One", "Two"]
+    assert texts("<div><button><div>no</div></button><select><option>no<option>no</select>Yes</div>") == ["Yes"]
+    assert texts("<object><object>no</object><p>no</p></object><video><p>no</video>Yes") == ["Yes"]
+    assert texts("<p>So <math><mi>a</mi><mo>=</mo><mn>1</mn></math> holds") == ["So a=1 holds"]
+
+
 def test_html_labeller_on_the_sample_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     odd = spark.createDataFrame([(900, None, None), (901, "u", ""), (None, "u", PAGE), (902, "u", "<script>x</script>")], pages.schema)
