@@ -4,13 +4,15 @@ Three base kinds are plain patterns (leftmost, non-overlapping per kind): ``assi
 separator and a value), ``access`` (access key ids) and ``hex`` (long lower-case hex runs).  Further kinds
 are reported only after their structure is confirmed by decoding:
 
-* ``pem``      an armoured private key whose base64 body decodes to a key encoding;
-* ``key``      a bare base64 or hex run that decodes to a key encoding: DER (PKCS#1, PKCS#8 or SEC1) in which
-               every nested length fits exactly, or the binary private-key container of SSH whose
-               length-prefixed fields add up;
+* ``pem``      an armoured private key whose base64 body decodes to a key encoding, or, where its headers say that
+               the body is encrypted, to whole cipher blocks; lines end in line breaks, escaped or not;
+* ``key``      a base64 or hex run, on one line or wrapped over several, that decodes to a key encoding: DER
+               (PKCS#1, DSA, SEC1, PKCS#8 plain or encrypted) in which every nested length fits exactly, or the
+               binary private-key container of SSH whose length-prefixed fields add up;
 * ``signed``   a signed token of three base64url parts whose header decodes to a JSON object naming an
                algorithm and whose payload decodes to a JSON object;
-* ``encoded``  a base64 or hex run that decodes to printable text in which a base credential stands.
+* ``encoded``  such a run that decodes to printable text in which a base credential stands; the shortest such
+               credential has 12 bytes, which is 16 base64 or 24 hex digits.
 
 One task holds one text at a time; there is no shuffle.  Defined results: a null or empty text has no spans;
 every row gives one row, repeated rows included; spans are sorted by start, then kind as listed above; an
@@ -38,10 +40,14 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
                     re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ ){0,3}PRIVATE KEY)-----([A-Za-z0-9+/=\s:,.-]*?)-----END \1-----")
+PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ ){0,3}PRIVATE KEY)-----([A-Za-z0-9+/=\s:,.\\-]*?)-----END \1-----")
 SIGNED = re.compile(r"(?<![A-Za-z0-9_.-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
-RUN = re.compile(r"[A-Za-z0-9+/_-]{24,}={0,2}")
-HEX_RUN = re.compile(r"(?:[0-9a-fA-F]{2}){24,}")
+RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+HEX_RUN = re.compile(r"(?:[0-9a-fA-F]{2}){12,}")
+#: A line end in the text or escaped, and the next line's indent.
+LINE_END = re.compile(r"(?:\r?\n|(?:\\r)?\\n)[\x20\t]*")
+WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{{16,}}(?:{LINE_END.pattern}[A-Za-z0-9+/_-]+)+={{0,2}}")
+PEM_HEADER = re.compile(r"[A-Za-z0-9-]+:")
 
 
 def from_base64(s: str) -> bytes | None:
@@ -75,16 +81,27 @@ def der_items(data: bytes) -> list[tuple[int, bytes]] | None:
 
 
 def is_der_key(data: bytes) -> bool:
-    """A private key in DER: PKCS#1 (integers only), SEC1 (1, octets) or PKCS#8 (0, algorithm, octets)."""
+    """A private key in DER.
+
+    PKCS#1 (nine integers), DSA (0 and five integers), SEC1 (1, octets), PKCS#8 (0 or 1, algorithm, octets) or
+    encrypted PKCS#8 (algorithm with parameters, octets).
+    """
     outer = der_items(data)
     if not outer or len(outer) != 1 or outer[0][0] != 0x30:
         return False
     parts = der_items(outer[0][1])
-    if not parts or len(parts) < 2 or parts[0][0] != 0x02 or parts[0][1] not in (b"\0", b"\1"):
+    if not parts or len(parts) < 2:
         return False
     tags = [t for t, _ in parts]
+    if tags == [0x30, 0x04]:
+        algorithm = der_items(parts[0][1])
+        return bool(algorithm) and [t for t, _ in algorithm] == [0x06, 0x30] and len(parts[1][1]) >= 16
+    if tags[0] != 0x02 or parts[0][1] not in (b"\0", b"\1"):
+        return False
     if len(parts) >= 9 and set(tags[:9]) == {0x02}:
         return True
+    if tags == [0x02] * 6:
+        return parts[0][1] == b"\0" and len(parts[1][1]) >= 64 and len(parts[2][1]) >= 20
     if tags[:2] == [0x02, 0x04]:
         return len(parts[1][1]) >= 16
     if tags[:3] == [0x02, 0x30, 0x04]:
@@ -119,6 +136,37 @@ def is_key(data: bytes | None) -> bool:
     return bool(data) and (is_der_key(data) or is_ssh_key(data))
 
 
+def is_pem_key(body: str) -> bool:
+    """Whether the lines between the armour are a key, or whole cipher blocks under headers that say so."""
+    lines = [x.strip() for x in LINE_END.sub("\n", body.replace("\\/", "/")).strip().split("\n")]
+    head = 0
+    if PEM_HEADER.match(lines[0]):
+        head = lines.index("") if "" in lines else next((i for i, x in enumerate(lines) if ":" not in x), len(lines))
+    data = from_base64("".join("".join(lines[head:]).split()))
+    if is_key(data):
+        return True
+    encrypted = any(x.startswith("Proc-Type:") and "ENCRYPTED" in x for x in lines[:head])
+    return encrypted and bool(data) and len(data) >= 32 and len(data) % 8 == 0
+
+
+def wrapped_runs(text: str):
+    """(start, end, digits) of runs wrapped over lines of one width, with and without a shorter last line."""
+    for m in WRAPPED.finditer(text):
+        breaks = [k.span() for k in LINE_END.finditer(text, m.start(), m.end())]
+        starts, ends = [m.start(), *[b for _, b in breaks]], [*[a for a, _ in breaks], m.end()]
+        lines = [text[a:b] for a, b in zip(starts, ends)]
+        first = 0
+        while first < len(lines):
+            last = first
+            while last + 1 < len(lines) and len(lines[last + 1]) == len(lines[first]):
+                last += 1
+            if last + 1 < len(lines) and len(lines[last + 1]) < len(lines[first]):
+                yield starts[first], ends[last + 1], "".join(lines[first:last + 2])
+            if last > first:
+                yield starts[first], ends[last], "".join(lines[first:last + 1])
+            first = last + 1
+
+
 def is_signed(token: str) -> bool:
     """Whether the header names an algorithm and the payload is a JSON object."""
     parts = []
@@ -153,15 +201,14 @@ def spans_of(text: str) -> list[tuple[int, int, int]]:
     out += [(m.start(), m.end(), 2) for m in HEX.finditer(text)]
     if "PRIVATE KEY" in text:
         out += [(m.start(), m.end(), 3) for m in PEM.finditer(text)
-                if is_key(from_base64("".join(m[2].split())))]
+                if is_pem_key(m[2])]
     if "eyJ" in text:
         out += [(m.start(), m.end(), 5) for m in SIGNED.finditer(text) if is_signed(m[0])]
-    for m in RUN.finditer(text):
-        run = m[0]
+    for start, end, run in [*((m.start(), m.end(), m[0]) for m in RUN.finditer(text)), *wrapped_runs(text)]:
         for data in (from_base64(run), binascii.unhexlify(run) if HEX_RUN.fullmatch(run) else None):
             kind = 4 if is_key(data) else 6 if _hides_credential(data) else None
             if kind:
-                out.append((m.start(), m.end(), kind))
+                out.append((start, end, kind))
                 break
     return sorted(set(out), key=lambda s: (s[0], s[2], s[1]))
 

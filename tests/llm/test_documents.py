@@ -165,6 +165,38 @@ def test_secret_scan_confirms_structure(docs):
     assert {r.doc_id: (r.text, r.n_chars) for r in clean.collect()} == {1: ("x [SECRET] y", 12), 2: (None, None), 3: ("fine", 4)}
 
 
+def test_secret_scan_reads_short_wrapped_and_encrypted():
+    def kinds(text):
+        return {secret_scan.KINDS[k] for _, _, k in secret_scan.spans_of(text)}
+
+    def armour(name, body, line="\n", head=""):
+        body = base64.b64encode(body).decode()
+        rows = line.join(body[i:i + 64] for i in range(0, len(body), 64))
+        return f"-----BEGIN {name}PRIVATE KEY-----{line}{head}{rows}{line}-----END {name}PRIVATE KEY-----"
+
+    for plain in (b"token=abcdef", b"password=hunter2", b"password=secret99", b"AKIA" + b"A" * 16):
+        for run in (base64.b64encode(plain).decode(), plain.hex().upper()):
+            assert "encoded" in kinds(f"see {run} there"), run
+    assert kinds("see " + base64.b64encode(b"token=abcde").decode()) == set()
+    rsa = der(0x30, der(2, b"\0") + der(2, b"\x01" * 60) * 8)
+    dsa = der(0x30, der(2, b"\0") + der(2, b"\x01" * 64) + der(2, b"\x01" * 20) + der(2, b"\x01" * 64) * 2 + der(2, b"\x01" * 20))
+    sealed = der(0x30, der(0x30, der(6, b"\x2a" * 9) + der(0x30, der(4, b"s" * 8))) + der(4, b"x" * 64))
+    secret = bytes(random.Random(1).randrange(256) for _ in range(320))
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF\n\n"
+    for text in (armour("DSA ", dsa), armour("ENCRYPTED ", sealed), armour("RSA ", secret, head=head),
+                 armour("RSA ", rsa, "\\n"), armour("RSA ", rsa, "\r\n")):
+        assert "pem" in kinds(text), text
+        assert secret_scan.masked(f"a {text} b") == "a [SECRET] b"
+    assert "pem" not in kinds(armour("RSA ", secret))
+    for key in (rsa, dsa, sealed):
+        body = base64.b64encode(key).decode()
+        for line in ("\n", "\r\n  ", "\\n"):
+            text = line.join(body[i:i + 64] for i in range(0, len(body), 64))
+            assert secret_scan.masked(f"key: {text} end\nmore") == "key: [SECRET] end\nmore"
+    text = base64.b64encode(b"the password=hunter22222 stands here, and more text").decode()
+    assert secret_scan.masked(f"x\n{text[:40]}\n{text[40:]}\nmore") == "x\n[SECRET]\nmore"
+
+
 def test_toxicity_learns_from_labels_only(spark, docs):
     rng = random.Random(1)
     words = [f"{rng.choice('bcdfg')}{rng.choice('aeiou')}{i}" for i in range(300)]
