@@ -384,10 +384,10 @@ SELECT repo_name, rank, cycle FROM (
   SELECT repo_name, CAST(row_number() OVER (PARTITION BY repo_name ORDER BY length, array_to_string(path, chr(1))) AS INTEGER) AS rank,
          array_to_string(path, ' → ') || ' → ' || path[1] AS cycle FROM cyc) WHERE rank <= 5""")
 def q_cycle_listing(spark, sf_dir):
-    """First 5 cycles per repository rendered ``a → b → a``."""
+    """First 5 cycles per repository rendered ``a → b → a``, of any length (the SQL stops at 8)."""
     from ..operators import cycles
     _, edges, scc = cycle_inputs(spark, sf_dir)
-    return cycles.show_cycles(cycles.cycles(edges, scc, max_len=8), 5)
+    return cycles.show_cycles(cycles.first_cycles(edges, scc, 5), 5)
 
 
 @register("graph_stats", PATHS_SQL + """,

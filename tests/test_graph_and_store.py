@@ -148,3 +148,13 @@ def test_last_update_of_a_batch_wins(spark, tmp_path):
                                  "repo_name string, summary string, seq int")
     store.upsert_metadata(spark, str(tmp_path / "m"), rows, order="seq")
     assert [r.summary for r in spark.read.parquet(str(tmp_path / "m")).collect()] == ["new"]
+
+
+def test_listing_finds_cycles_of_any_length(spark):
+    ring = [("ring", f"f{i:02}", f"f{(i + 1) % 11:02}") for i in range(11)]
+    full = [("full", f"g{i}", f"g{j}") for i in range(6) for j in range(6) if i != j]
+    both = [("both", "a", "b"), ("both", "b", "a")] + [("both", f"x{i}", f"x{(i + 1) % 9}") for i in range(9)]
+    e = spark.createDataFrame(ring + full + both, "repo_name string, src string, dst string")
+    got = [tuple(r) for r in cycles.show_cycles(cycles.first_cycles(e), 5).orderBy("repo_name", "rank").collect()]
+    every = [tuple(r) for r in cycles.show_cycles(cycles.cycles(e, max_len=12), 5).orderBy("repo_name", "rank").collect()]
+    assert got == every and [g[:2] for g in got] == [("both", 1), ("both", 2)] + [("full", k) for k in range(1, 6)] + [("ring", 1)]
