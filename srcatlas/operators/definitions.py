@@ -14,8 +14,7 @@ definitions, so each line is looked at once:
 Known divergences from a grammar-based parse: braces inside block comments,
 regexes or multi-line template strings are counted; two definitions on one line
 collapse into the first; a multi-line JS/TS signature whose ``{`` is on a later
-line ends on its first line.  ``splitter`` in :func:`definition_chunks` accepts a
-user parser (``mapInPandas``) for exact spans.
+line ends on its first line.  There is no hook for a user parser.
 """
 
 from __future__ import annotations
