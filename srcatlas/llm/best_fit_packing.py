@@ -1,4 +1,4 @@
-"""Bulk-synchronous best-fit packing of tokenised documents (operator 7).
+"""Best-fit packing of tokenised documents (operator 7).
 
 Documents are tokenised where they are scanned, closed by an end id and cut only where they are longer than a
 sequence.  What remains is bin packing of pieces of 1 to ``size`` tokens, solved by best fit, longest first:
@@ -8,7 +8,8 @@ sequence.  What remains is bin packing of pieces of 1 to ``size`` tokens, solved
 * A superstep takes the pieces of one length, all at once, and sweeps the open gaps upwards from the first that
   they fit (the successor): a run of m equal pieces meets a run of equal gaps, the k-th piece by rank gets the
   k-th gap by rank, so no two pieces claim one gap; the gaps shrink, move to their new place in the order and
-  the sweep goes on until the pieces are placed, opening new sequences only when no gap fits.
+  the sweep goes on until the pieces are placed, opening new sequences only when no gap fits.  The supersteps
+  run on the driver over the counts per length (``plan``), not as sweeps in Spark.
 * Gaps are kept as runs (residual, first sequence, count).  The runs, not the rows, are the state between
   supersteps; it is made from the at most ``size`` counts of pieces per length, so it is bounded by the
   sequence size and not by the data.  The rows then find their runs by rank, each partition on its own.
