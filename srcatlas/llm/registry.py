@@ -9,9 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import (best_fit_packing, byte_bpe, chat_rotation, exact_dedup, html_labeller, impact_search, ngram_join,
-               secret_scan, toxicity, url_rules)
+from . import (best_fit_packing, byte_bpe, chat_rotation, exact_dedup, hard_negatives, html_labeller, impact_search,
+               ngram_join, secret_scan, source_mixing, toxicity, url_rules)
 from .common import UPPER, table
 
 def tokenizer(name: str) -> str:
@@ -147,6 +148,46 @@ def op10(spark, sf_dir):
     return html_labeller.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+@register("op11_source_mixing", """
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t,
+                  len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n,
+             [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w FROM d GROUP BY source),
+o AS (SELECT *, coalesce(sum(n) OVER (b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held,
+             sum(w) OVER (b ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest, sum(n) OVER () AS total
+      FROM s WINDOW b AS (ORDER BY n / w, source)),
+l AS (SELECT max(CAST(1.5 * total - 2.0 * held AS DOUBLE) / CAST(rest AS DOUBLE)) AS level FROM o),
+r AS (SELECT source, n, least(CAST(w AS DOUBLE) * level, 2.0 * CAST(n AS DOUBLE)) AS target,
+             CASE WHEN n > 0 THEN target / CAST(n AS DOUBLE) ELSE 0 END AS rate FROM s, l)
+SELECT doc_id, size, n AS source_size, target,
+       CAST(size * (floor(rate) + CASE WHEN
+         CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || t), 1, 13) AS BIGINT)
+           / 4503599627370496.0 < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source""")
+def op11(spark, sf_dir):
+    plan = source_mixing.assign(table(spark, sf_dir, "documents"))
+    return plan.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+@register("op12_hard_negatives", """
+WITH v AS (SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+                  [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+             AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same,
+             CAST(list_inner_product(CAST(a.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+      FROM v a JOIN v c ON a.vec_id <> c.vec_id AND len(a.v) = len(c.v) WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id AS negative_id, positive_score,
+       score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5""")
+def op12(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = vectors.select("vec_id", "embedding", label.alias("label"))
+    return hard_negatives.mine(vectors, vectors.where("vec_id % 100 = 0")).drop("positive_rank")
+
 @register("pipeline")
 def pipeline(spark, sf_dir):
     import corpus_pipeline
