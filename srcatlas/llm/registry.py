@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (best_fit_packing, byte_bpe, chat_rotation, exact_dedup, hard_negatives, html_labeller, impact_search,
-               ngram_join, secret_scan, source_mixing, toxicity, url_rules)
+               ngram_join, secret_scan, source_mixing, toxicity, url_rules, word_runs)
 from .common import UPPER, table
 
 def tokenizer(name: str) -> str:
@@ -188,6 +188,65 @@ def op12(spark, sf_dir):
     vectors = vectors.select("vec_id", "embedding", label.alias("label"))
     return hard_negatives.mine(vectors, vectors.where("vec_id % 100 = 0")).drop("positive_rank")
 
+def planted_repeats(docs: DataFrame) -> DataFrame:
+    """doc_id and text of ``documents``, where a tenth of the documents repeat themselves from a word on.
+
+    With h = crc32(doc_id), g = h / 10 and n words: if h % 10 = 0, each word i >= a = g % n becomes word
+    a + (i - a) % p, p = 1 + (n - a) / (3 + g % 8), and words are joined by one space.
+    """
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+
+    def repeated(w):
+        n = F.size(w)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        tail = F.slice(w, a + 1, p)
+        times = F.ceil((n - a) / p).cast("int")
+        return F.array_join(F.concat(F.slice(w, F.lit(1), a), F.slice(F.flatten(F.array_repeat(tail, times)), F.lit(1), n - a)), " ")
+
+    # the words are bound once by a transform over a one-element array
+    changed = F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, repeated(w)))[0]
+    return docs.select("doc_id", F.when(h % 10 == 0, changed).otherwise(F.col("text")).alias("text"))
+
+
+@register("op13_word_runs", """
+WITH RECURSIVE bits(i, c, k) AS (
+  SELECT i, i, 0 FROM range(256) r(i)
+  UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+tab AS MATERIALIZED (SELECT i, c FROM bits WHERE k = 8),
+d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, CAST(doc_id AS VARCHAR) AS s,
+                          regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+crc(r, s, k, c) AS (
+  SELECT r, s, 0, 4294967295 FROM d WHERE s IS NOT NULL
+  UNION ALL SELECT r, s, k + 1, xor(tab.c, crc.c >> 8)
+  FROM crc JOIN tab ON tab.i = xor(crc.c, CAST(ascii(substr(s, k + 1, 1)) AS BIGINT)) & 255 WHERE k < length(s)),
+h AS (SELECT r, xor(c, 4294967295) AS h FROM crc WHERE k = length(s)),
+n AS (SELECT d.r, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a,
+             1 + (len(w) - (h // 10) % greatest(len(w), 1)) // (3 + (h // 10) % 8) AS p FROM d LEFT JOIN h ON d.r = h.r),
+o AS (SELECT r, unnest(w) AS w, unnest(range(len(w))) AS i FROM d),
+t AS MATERIALIZED (SELECT x.r, x.i, o.w FROM
+  (SELECT o.r, i, CASE WHEN i >= a THEN a + (i - a) % p ELSE i END AS j FROM o JOIN n ON o.r = n.r) x
+  JOIN o ON x.r = o.r AND x.j = o.i),
+g AS MATERIALIZED (SELECT * FROM (SELECT r, i, w || ' ' || lead(w, 1) OVER v || ' ' || lead(w, 2) OVER v || ' ' || lead(w, 3) OVER v
+             || ' ' || lead(w, 4) OVER v || ' ' || lead(w, 5) OVER v AS g FROM t WINDOW v AS (PARTITION BY r ORDER BY i))
+             WHERE g IS NOT NULL),
+m AS (SELECT a.r, b.i - a.i AS q, a.i, a.i - row_number() OVER (PARTITION BY a.r, b.i - a.i ORDER BY a.i) AS part
+      FROM g a JOIN g b ON a.r = b.r AND a.g = b.g AND a.i < b.i),
+c AS MATERIALIZED (SELECT r, q, min(i) AS s, count(*) + 5 + q AS l FROM m GROUP BY r, q, part HAVING l >= greatest(12, 2 * q)),
+u AS MATERIALIZED (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM c b WHERE b.r = c.r AND b.q < c.q AND b.s <= c.s AND b.s + b.l >= c.s + c.l)),
+lost AS (SELECT DISTINCT r, unnest(range(s + q, s + l)) AS i FROM u),
+kept AS (SELECT r, string_agg(w, ' ' ORDER BY i) AS text FROM t ANTI JOIN lost ON t.r = lost.r AND t.i = lost.i GROUP BY r),
+runs AS (SELECT r, count(*) AS n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS runs FROM u GROUP BY r),
+best AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY r ORDER BY l DESC, s, q) = 1)
+SELECT doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(best.s AS BIGINT) AS start, CAST(l AS BIGINT) AS length,
+       CAST(q AS BIGINT) AS period, CAST(1000 * l // q AS BIGINT) AS exponent_milli,
+       sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM d LEFT JOIN runs ON d.r = runs.r LEFT JOIN best ON d.r = best.r LEFT JOIN kept ON d.r = kept.r""")
+def op13(spark, sf_dir):
+    return word_runs.digest(word_runs.find_runs(planted_repeats(table(spark, sf_dir, "documents"))))
+
 @register("pipeline")
 def pipeline(spark, sf_dir):
     import corpus_pipeline
