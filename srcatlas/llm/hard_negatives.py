@@ -37,6 +37,15 @@ LEAF = 32
 LARGEST = 1 << 57
 
 
+def _even(a):
+    """The matrix with a zero row or column where a side is odd (for objects, zeros are Python's)."""
+    import numpy as np
+
+    out = np.zeros((a.shape[0] + (a.shape[0] & 1), a.shape[1] + (a.shape[1] & 1)), a.dtype)
+    out[:a.shape[0], :a.shape[1]] = a
+    return out
+
+
 def strassen(a, b, leaf: int = LEAF):
     """The exact product of two integer matrices (numpy, int64 or object)."""
     import numpy as np
@@ -45,8 +54,7 @@ def strassen(a, b, leaf: int = LEAF):
     if min(m, k, n) <= leaf:
         return a @ b
     if (m | k | n) & 1:
-        a = np.pad(a, ((0, m & 1), (0, k & 1)))
-        b = np.pad(b, ((0, k & 1), (0, n & 1)))
+        a, b = _even(a), _even(b)
     i, j, h = a.shape[0] // 2, a.shape[1] // 2, b.shape[1] // 2
     a11, a12, a21, a22 = a[:i, :j], a[:i, j:], a[i:, :j], a[i:, j:]
     b11, b12, b21, b22 = b[:j, :h], b[:j, h:], b[j:, :h], b[j:, h:]
