@@ -1,8 +1,7 @@
 """Imports and definition spans of one source file, found on its token stream.
 
 Strings, comments, templates and regular expressions are recognised first, so nothing inside them counts;
-brackets are paired, statements and blocks delimited, and imports and definitions read off the tokens.  Work
-and memory are linear in the file.  Broken code never fails: a string without an end is a lone quote, a closing
+brackets are paired, statements and blocks delimited, and imports and definitions read off the tokens.  Broken code never fails: a string without an end is a lone quote, a closing
 bracket without a partner is skipped, an opening one reaches to the end of the file.
 
 All places are code points.  Spans are those of the grammar nodes that the reference cuts:
@@ -18,6 +17,7 @@ All places are code points.  Spans are those of the grammar nodes that the refer
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from typing import NamedTuple
 
 
@@ -163,10 +163,15 @@ _BEFORE_OPERAND = {"return", "typeof", "case", "in", "of", "delete", "void", "in
                    "yield", "await", "extends", "default"}
 _TYPE_WORDS = {"is", "keyof", "typeof", "extends", "infer", "asserts", "readonly", "unique", "as", "satisfies", "new"}
 _MODIFIERS = {"public", "private", "protected", "static", "override", "readonly", "async", "get", "set", "*", "declare", "accessor"}
-#: First characters of a line that carry an expression on.
+_NO_IDENTIFIER = {"this", "null", "true", "false", "undefined", "super"}
+#: First tokens of a line that carry an expression on.
 _CONTINUES = {".", "?.", "?", ":", ",", "=", "=>", "(", "[", "`", "instanceof", "in", "as", "satisfies", "of"}
 
 
+def _within(places: list[int], first: int, last: int) -> list[int]:
+    return places[bisect_left(places, first):bisect_left(places, last)]
+
+
 class _Script:
     """Tokens of a script with paired brackets, and the reading of its statements."""
 
@@ -178,6 +183,13 @@ class _Script:
         self._read()
         self.types: set[int] = set()            # arrows that stand in types
         self.braces: dict[int, str] = {}        # what opening braces hold, where known from their head
+        self.ends: dict[int, int] = {}          # last tokens of arrow functions' expressions by their first
+        self.arrows = [i for i, v in enumerate(self.value) if v == "=>"]
+        self.curlies = [i for i, v in enumerate(self.value) if v == "{"]
+        self.colons: dict[int, list[int]] = {}
+        for i, v in enumerate(self.value):
+            if v == ":":
+                self.colons.setdefault(self.parent[i], []).append(i)
 
     # -- tokens
     def _add(self, kind, start, end, mark=""):
@@ -308,7 +320,7 @@ class _Script:
                 return False
             if value == ":":
                 open_ += 1
-            elif value == "?" and not (self.typescript and self.val(i + 1) in (":", ",", ")", "=", "(")):
+            elif value == "?" and not (self.typescript and self.val(i + 1) in (":", ",", ")", "=")):
                 if not open_:
                     return True
                 open_ -= 1
@@ -376,9 +388,7 @@ class _Script:
                     return i
                 if value == "{":
                     self.braces[i] = "type"
-                for j in range(i, self.closing(i)):
-                    if self.value[j] == "=>":
-                        self.types.add(j)
+                self.types.update(_within(self.arrows, i, self.closing(i)))
                 i, operand = self.closing(i) + 1, True
                 continue
             if value == "=>" and operand and self.val(i - 1) == ")":
@@ -410,7 +420,8 @@ class _Script:
                 source = self._source(i + 1)
                 if source >= 0:
                     found.append((i, 0, self._unquoted(source)))
-            elif value == "require" and self.val(i - 1) != "new":
+            elif value == "require" and self.val(i - 1) != "new" and not (
+                    self.val(i - 1) == "=" and self.val(i - 3) == "import"):
                 at = i + 1 + (self.val(i + 1) == "?.")
                 if self.val(at) != "(":
                     continue
@@ -454,8 +465,10 @@ class _Script:
                 self._method(i, out)
                 if self.typescript:
                     self._annotations(i)
-            elif value == "=>":
-                self._arrow(i, out)
+        heads = {i: head for i in self.arrows if (head := self._arrow_head(i))}
+        # from the last arrow back, so that the end of a chain is found once
+        for i in reversed(heads):
+            self._arrow(i, *heads[i], out)
         return out
 
     def _span(self, first: int, last: int, kind: str, name: str) -> Span:
@@ -463,8 +476,8 @@ class _Script:
 
     def _annotations(self, i: int) -> None:
         """Arrows in the types of the parameters of the list at ``i`` and of variables are no functions."""
-        for j in range(i + 1, self.closing(i)):
-            if self.value[j] == ":" and self.parent[j] == i and not self.ternary(j):
+        for j in self.colons.get(i, ()):
+            if not self.ternary(j):
                 self.past_type(j + 1, False)
 
     def _class(self, i: int, out: list, abstract_classes: bool) -> None:
@@ -525,12 +538,8 @@ class _Script:
             out.append(self._span(i, self.closing(j), "type", self.value[i + 1]))
 
     def _type_body(self, brace: int) -> None:
-        self.braces[brace] = "type"
-        for j in range(brace, self.closing(brace)):
-            if self.value[j] == "=>":
-                self.types.add(j)
-            elif self.value[j] == "{":
-                self.braces[j] = "type"
+        self.types.update(_within(self.arrows, brace, self.closing(brace)))
+        self.braces.update(dict.fromkeys(_within(self.curlies, brace, self.closing(brace)), "type"))
 
     def _alias(self, i: int, out: list) -> None:
         j = self.past_angles(i + 2) if self.val(i + 2) == "<" else i + 2
@@ -604,7 +613,7 @@ class _Script:
                     if not depth:
                         break
                     j -= 1
-                if not self.ends_operand(j - 1):
+                if self.val(j - 1) == "async" or not self.ends_operand(j - 1):
                     first = j
             name = ""
         elif self.is_name(p):
@@ -626,23 +635,23 @@ class _Script:
         holder = self.block(self.parent[p])
         return holder != "object" and not self.ternary(p)
 
-    def _arrow(self, i: int, out: list) -> None:
-        if i in self.types:
-            return
-        first, name = self._head(i)
-        if first < 0:
-            return
-        if self._in_type(first):
+    def _arrow_head(self, i: int) -> tuple[int, str] | None:
+        """First token and single parameter of the arrow function at ``i``; None for the arrow of a type."""
+        first, name = (-1, "") if i in self.types else self._head(i)
+        if first >= 0 and self._in_type(first):
             self.past_type(first, False)
             self.types.add(i)
-            return
+            return None
+        return (first, name) if first >= 0 else None
+
+    def _arrow(self, i: int, first: int, name: str, out: list) -> None:
         if self.val(i + 1) == "{":
             self.braces[i + 1] = "block"
             last = self.closing(i + 1)
         else:
-            last = self._expression_end(i + 1)
+            last = self.ends[i + 1] = self._expression_end(i + 1)
             if last == i + 1 and self.kind[last] == "name" and not name:
-                name = self.value[last] if self.value[last] not in ("this", "null", "true", "false", "undefined", "super") else ""
+                name = self.value[last] if self.value[last] not in _NO_IDENTIFIER else ""
         if last > i:
             out.append(self._span(first, last, "function", name or ANONYMOUS))
 
@@ -665,6 +674,8 @@ class _Script:
                 if not asked:
                     break
                 asked -= 1
+            elif value == "=>" and not asked and j + 1 in self.ends:
+                return self.ends[j + 1]
             j += 1
         return min(j, len(self.value)) - 1
 
