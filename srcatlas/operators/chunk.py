@@ -1,10 +1,9 @@
 """Chunking (C1-C10): cut each selected file into definition chunks or 50-line chunks.
 
-Every file row is turned into an array of chunk structs by higher-order functions
-evaluated inside the row (files are at most 50,000 bytes after selection), so the
-cutting itself is narrow: no shuffle, no Python.  Only the chunk ids (dense per
-repository, in the reference's emission order) need a distributed prefix sum over
-the chunk rows (see ``ordinals.group_ordinals``).
+Every file row is turned into an array of chunks inside the row (files are at most 50,000 bytes after
+selection): definitions on Arrow batches (``definitions``), lines by higher-order functions, so the cutting is
+narrow.  The chunk ids (dense per repository, in the reference's emission order) need the sums of the chunk
+counts of the files before (``ordinals.running_totals``); no text moves for them.
 """
 
 from __future__ import annotations
@@ -13,19 +12,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
-from .ordinals import group_ordinals, spread
+from .ordinals import attach, running_totals, spread
 from ..session import materialize
 from . import definitions
 
 MIN_CHARS = 50
 MAX_CHARS = 3000
-TRUNCATION_MARK = "\n... [truncated]"
 LINES_PER_CHUNK = 50
 # Python ``str.splitlines`` boundaries; a trailing boundary makes no extra line.
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 
-
 def decode_content(content) -> Column:
     """S3: bytes -> text; invalid UTF-8 becomes U+FFFD, ``\\r\\n`` and ``\\r`` become ``\\n``."""
     c = F.col(content) if isinstance(content, str) else content
@@ -69,15 +66,6 @@ def line_chunks(files: DataFrame, lines_per_chunk: int = LINES_PER_CHUNK,
             .select("repo_name", "file_path", "language", "c.*"))
 
 
-def _ordered(chunks: Column) -> Column:
-    """Emission order inside a file: later spans first, an enclosing span before its members."""
-    return F.array_sort(chunks, lambda a, b: F.when(a["end_line"] != b["end_line"],
-                                                    F.when(a["end_line"] > b["end_line"], -1).otherwise(1))
-                        .when(a["start_line"] != b["start_line"],
-                              F.when(a["start_line"] < b["start_line"], -1).otherwise(1))
-                        .when(a["name"] < b["name"], -1).when(a["name"] > b["name"], 1).otherwise(0))
-
-
 def let(value: Column, body) -> Column:
     """Bind ``value`` once to a lambda variable and evaluate ``body`` on it.
 
@@ -87,37 +75,29 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def chunk_array(content: Column, language: Column, min_chars: int = MIN_CHARS, max_chars: int = MAX_CHARS,
-                lines_per_chunk: int = LINES_PER_CHUNK, definitions_enabled: bool = True) -> Column:
-    """C1-C7 for one file: definition chunks in emission order when at least one survives
-    ``min_chars``, otherwise the 50-line fallback (C7)."""
-    def per_lines(lines):
-        raw = line_chunk_array(lines, lines_per_chunk, min_chars)
-        if not definitions_enabled:
-            return raw
-        defs = definitions.definition_array(lines, language, min_chars, max_chars)
-        return let(defs, lambda d: F.when(F.size(d) > 0, _ordered(d)).otherwise(raw))
-    return let(split_lines(content), per_lines)
-
-
 def chunk_files(files: DataFrame, min_chars: int = MIN_CHARS, max_chars: int = MAX_CHARS,
-                lines_per_chunk: int = LINES_PER_CHUNK, definitions_enabled: bool = True) -> DataFrame:
+                lines_per_chunk: int = LINES_PER_CHUNK, definitions_enabled: bool = True, splitter=None,
+                split_long: bool = False, abstract_classes: bool = False) -> DataFrame:
     """Flat chunk table with dense ``chunk_id`` per repository.
 
-    Ids follow file order (code-point ``rel_path``) then in-file emission order, like
-    the reference's ``range(len(chunks))`` over its flat list.
+    A file's definition chunks if at least one survives ``min_chars``, else its 50-line chunks (C7).  Ids follow
+    file order (code-point ``rel_path``) then in-file emission order, like the reference's
+    ``range(len(chunks))`` over its flat list.
     """
-    arr = chunk_array(F.col("content"), F.col("language"), min_chars, max_chars, lines_per_chunk,
-                      definitions_enabled)
-    # The generator wraps the expression directly: exploding a projected array column
-    # instead is several times slower for these nested values.
-    rows = (spread(files).filter(~P.is_blank("content"))
-            .select("repo_name", F.col("rel_path").alias("file_path"), "language",
-                    F.posexplode(arr).alias("pos", "c")))
-    # Numbering reads the rows twice (local positions and per-partition offsets);
-    # writing them once to the shared checkpoint folder keeps the chunking from
-    # running twice and survives executor loss.
+    spread_files = spread(files)
+    lines = lambda text: let(split_lines(text), lambda ls: line_chunk_array(ls, lines_per_chunk, min_chars))
+    if definitions_enabled:
+        found = definitions.with_definitions(spread_files, min_chars, max_chars, splitter, split_long, abstract_classes)
+        arr = F.when(F.size("defs") > 0, F.col("defs")).otherwise(lines("rest"))
+    else:
+        found = spread_files.filter(~P.is_blank("content")).withColumnRenamed("rel_path", "file_path")
+        arr = lines("content")
+    rows = found.select("repo_name", "file_path", "language", F.posexplode(arr).alias("pos", "c"))
+    # The texts are written once and stay there: ids need the number of chunks per file alone, so what is
+    # sorted and summed is a thin table of files.
     rows = materialize(rows, "chunk-rows")
-    ranked = group_ordinals(rows, ["repo_name"], ["file_path", "pos"], out="chunk_id")
-    return ranked.select("repo_name", "chunk_id", "file_path", "c.chunk_type", "c.name", "c.start_line",
-                         "c.end_line", "language", "c.text")
+    sizes = rows.groupBy("repo_name", "file_path").agg(F.count(F.lit(1)).alias("_n"))
+    first = running_totals(sizes, ["repo_name"], ["file_path"], "_n", "_first")
+    numbered = attach(rows, first.select("repo_name", "file_path", "_first"), ["repo_name", "file_path"])
+    return numbered.select("repo_name", (F.col("_first") + F.col("pos")).cast("bigint").alias("chunk_id"), "file_path",
+                           "c.chunk_type", "c.name", "c.start_line", "c.end_line", "language", "c.text")

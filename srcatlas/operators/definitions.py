@@ -1,175 +1,99 @@
-"""Definition spans (C1-C5) found line by line, inside one row, without a grammar.
-
-One ``aggregate`` folds over a file's lines, carrying a small stack of open
-definitions, so each line is looked at once:
-
-* Python: a definition ends at the last code line before the next line whose indent
-  is at most the definition's; lines starting with a closing bracket never end a
-  span, blank and comment-only lines neither end nor extend one, and lines that
-  start inside a triple-quoted string neither start nor end one.
-* JavaScript / TypeScript: a definition ends on the first line where the brace depth
-  (strings and ``//`` comments removed) falls back to the depth before the
-  definition line; a definition that opens no brace ends on its own line.
-
-Known divergences from a grammar-based parse: braces inside block comments,
-regexes or multi-line template strings are counted; two definitions on one line
-collapse into the first; a multi-line JS/TS signature whose ``{`` is on a later
-line ends on its first line.  There is no hook for a user parser.
+"""Definition chunks (C1-C5): functions, classes and types of each file, cut at their spans.
+
+The spans come from ``functions.lexing``, a file at a time inside ``mapInArrow``; a ``splitter`` replaces it by
+any other parser.  Places are code points, lines are counted by ``\\n`` alone, and chunks of a file are in the
+reference's emission order: later spans first, an enclosing span before its members.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from bisect import bisect_right
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ID = r"[A-Za-z_$][\w$]*"
-# Python definition heads: name in group 1.
-PY_DEF = r"(?U)^[ \t]*(?:async[ \t]+)?def[ \t]+([^\W\d]\w*)[ \t]*\("
-PY_CLASS = r"(?U)^[ \t]*class[ \t]+([^\W\d]\w*)[ \t]*[(:]"
-TRIPLE_QUOTE = r"(\"\"\"|''')"
-# JavaScript / TypeScript definition heads (tried in this order): name in group 1.
-JS_FUNCTION = r"^[ \t]*(?:export[ \t]+(?:default[ \t]+)?)?(?:async[ \t]+)?function[ \t]+(" + ID + ")"
-JS_CLASS = r"^[ \t]*(?:export[ \t]+(?:default[ \t]+)?)?class[ \t]+(" + ID + ")"
-TS_INTERFACE = r"^[ \t]*(?:export[ \t]+(?:default[ \t]+)?)?interface[ \t]+(" + ID + ")"
-TS_TYPE = r"^[ \t]*(?:export[ \t]+)?type[ \t]+(" + ID + r")[^=]*="
-JS_METHOD = (r"^[ \t]*(?:(?:static|async|get|set|public|private|protected|readonly|override)[ \t]+)*"
-             r"\*?[ \t]*(" + ID + r")[ \t]*(?:<[^>]*>)?[ \t]*\([^;]*\)[ \t]*(?::[^{;=]*)?\{")
-JS_ARROW = r"(?:async[ \t]+)?(?:\([^()]*\)|" + ID + r")[ \t]*(?::[ \t]*[^=;(]+?)?[ \t]*=>"
-JS_ARROW_NAME = r"^(?:async[ \t]+)?(" + ID + r")[ \t]*=>"
-NOT_METHOD_NAMES = ("if", "for", "while", "switch", "catch", "function", "return", "with", "do",
-                    "else", "typeof", "new", "await", "yield")
-JS_NOISE = r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|`(?:[^`\\]|\\.)*`|//.*$"
-
-OPEN_T = "array<struct<start:int,level:int,kind:string,name:string,col:int>>"
-SPAN_T = "array<struct<start:int,end:int,kind:string,name:string,col:int>>"
-
-
-def _rx(line: Column, pattern: str, group: int = 1) -> Column:
-    return F.regexp_extract(line, pattern, group)
-
-
-def _open(i, level, kind, name, col) -> Column:
-    return F.struct(i.cast("int").alias("start"), level.cast("int").alias("level"),
-                    F.lit(kind).alias("kind") if isinstance(kind, str) else kind.alias("kind"),
-                    name.alias("name"), col.cast("int").alias("col"))
-
-
-def _close(e: Column, end) -> Column:
-    return F.struct(e["start"].alias("start"), end.cast("int").alias("end"), e["kind"].alias("kind"),
-                    e["name"].alias("name"), e["col"].alias("col"))
-
-
-def _python_features(line: Column) -> Column:
-    """Per-line facts, each regex evaluated once per line (lambdas get no CSE)."""
-    return F.struct(F.regexp_extract_all(line, F.lit(TRIPLE_QUOTE), 1).alias("tq"),
-                    F.length(_rx(line, r"^[ \t]*", 0)).alias("indent"),
-                    line.rlike(r"^[ \t\f]*(#.*)?$").alias("quiet"),          # blank or comment-only
-                    line.rlike(r"^[ \t]*[)\]}]").alias("closer"),
-                    _rx(line, PY_DEF).alias("fn"), _rx(line, PY_CLASS).alias("cls"))
-
-
-def python_spans(lines: Column) -> Column:
-    """Spans of ``def``/``class`` blocks: array of (start, end, kind, name, col)."""
-    init = F.struct(F.lit(0).alias("i"), F.lit("").alias("q"), F.lit(0).alias("last"),
-                    F.array().cast(OPEN_T).alias("stack"), F.array().cast(SPAN_T).alias("out"))
-
-    def step(acc, f):
-        i = acc["i"] + 1
-        in_str = acc["q"] != ""
-        q_after = F.aggregate(f["tq"], acc["q"],
-                              lambda s, t: F.when(s == "", t).when(s == t, F.lit("")).otherwise(s))
-        is_term = ~in_str & ~f["quiet"] & ~f["closer"]
-        ends = lambda e: is_term & (e["level"] >= f["indent"])
-        out = F.concat(acc["out"], F.transform(F.filter(acc["stack"], ends), lambda e: _close(e, acc["last"])))
-        kept = F.filter(acc["stack"], lambda e: ~ends(e))
-        head = F.when(in_str, F.array().cast(OPEN_T)) \
-            .when(f["fn"] != "", F.array(_open(i, f["indent"], "function", f["fn"], f["indent"] + 1))) \
-            .when(f["cls"] != "", F.array(_open(i, f["indent"], "class", f["cls"], f["indent"] + 1))) \
-            .otherwise(F.array().cast(OPEN_T))
-        last = F.when(in_str | ~f["quiet"], i).otherwise(acc["last"])
-        return F.struct(i.alias("i"), q_after.alias("q"), last.alias("last"),
-                        F.concat(kept, head).alias("stack"), out.alias("out"))
-
-    return F.aggregate(F.transform(lines, _python_features), init, step,
-                       lambda acc: F.concat(acc["out"], F.transform(acc["stack"], lambda e: _close(e, acc["last"]))))
-
-
-def _js_features(line: Column, typescript: Column) -> Column:
-    clean = F.regexp_replace(line, JS_NOISE, "")
-    delta = (F.length(clean) - F.length(F.replace(clean, F.lit("{"), F.lit("")))) \
-        - (F.length(clean) - F.length(F.replace(clean, F.lit("}"), F.lit(""))))
-    meth = _rx(line, JS_METHOD)
-    return F.struct(line.alias("l"), delta.alias("delta"),
-                    line.rlike(r"^[ \t]*(//|/\*|\*)").alias("comment"),
-                    F.length(_rx(line, r"^[ \t]*", 0)).alias("indent"),
-                    _rx(line, JS_FUNCTION).alias("fn"), _rx(line, JS_CLASS).alias("cls"),
-                    F.when(typescript, _rx(line, TS_INTERFACE)).otherwise(F.lit("")).alias("iface"),
-                    F.when(typescript, _rx(line, TS_TYPE)).otherwise(F.lit("")).alias("alias"),
-                    F.when(meth.isin(*NOT_METHOD_NAMES), F.lit("")).otherwise(meth).alias("meth"),
-                    F.regexp_instr(line, F.lit(JS_ARROW)).alias("arrow_at"))
-
-
-def js_spans(lines: Column, typescript: Column) -> Column:
-    """Spans of functions, classes, methods, arrows (and TS interfaces / type aliases)."""
-    init = F.struct(F.lit(0).alias("i"), F.lit(0).alias("depth"),
-                    F.array().cast(OPEN_T).alias("stack"), F.array().cast(SPAN_T).alias("out"))
-
-    def step(acc, f):
-        i = acc["i"] + 1
-        after = acc["depth"] + f["delta"]
-        d = acc["depth"]
-        line = f["l"]
-        arrow_name = F.coalesce(F.nullif(_rx(F.substring(line, f["arrow_at"], 1 << 20), JS_ARROW_NAME),
-                                         F.lit("")), F.lit("anonymous"))
-        head = F.when(f["comment"], F.array().cast(OPEN_T)) \
-            .when(f["fn"] != "", F.array(_open(i, d, "function", f["fn"],
-                                               F.regexp_instr(line, F.lit(r"(?:async[ \t]+)?function[ \t]"))))) \
-            .when(f["cls"] != "", F.array(_open(i, d, "class", f["cls"], F.regexp_instr(line, F.lit(r"class[ \t]"))))) \
-            .when(f["iface"] != "",
-                  F.array(_open(i, d, "type", f["iface"], F.regexp_instr(line, F.lit(r"interface[ \t]"))))) \
-            .when(f["alias"] != "",
-                  F.array(_open(i, d, "type", f["alias"], F.regexp_instr(line, F.lit(r"type[ \t]"))))) \
-            .when(f["meth"] != "", F.array(_open(i, d, "function", f["meth"], f["indent"] + 1))) \
-            .when(f["arrow_at"] > 0, F.array(_open(i, d, "function", arrow_name, f["arrow_at"]))) \
-            .otherwise(F.array().cast(OPEN_T))
-        stack = F.concat(acc["stack"], head)
-        ends = lambda e: e["level"] >= after
-        return F.struct(i.alias("i"), after.alias("depth"),
-                        F.filter(stack, lambda e: ~ends(e)).alias("stack"),
-                        F.concat(acc["out"], F.transform(F.filter(stack, ends), lambda e: _close(e, i))).alias("out"))
-
-    return F.aggregate(F.transform(lines, lambda l: _js_features(l, typescript)), init, step,
-                       lambda acc: F.concat(acc["out"], F.transform(acc["stack"], lambda e: _close(e, acc["i"]))))
-
-
-def definition_array(lines: Column, language: Column, min_chars: int, max_chars: int) -> Column:
-    """Chunk structs (text, chunk_type, name, start_line, end_line), unordered."""
-    spans = F.when(language == "python", python_spans(lines)) \
-        .when(language.isin("javascript", "typescript"), js_spans(lines, language == "typescript")) \
-        .otherwise(F.array().cast(SPAN_T))
-
-    def text_of(s):
-        first = F.substring(F.element_at(lines, s["start"]), s["col"], 1 << 30)
-        rest = F.slice(lines, s["start"] + 1, s["end"] - s["start"])
-        body = F.array_join(F.concat(F.array(first), rest), "\n")
-        return F.regexp_replace(body, r"[ \t]+$", "")
-
-    chunks = F.transform(spans, lambda s: F.struct(
-        text_of(s).alias("text"), s["kind"].alias("chunk_type"),
-        F.coalesce(F.nullif(s["name"], F.lit("")), F.lit("anonymous")).alias("name"),
-        s["start"].alias("start_line"), s["end"].alias("end_line")))
-    kept = F.filter(chunks, lambda c: F.length(c["text"]) >= min_chars)
-    return F.transform(kept, lambda c: c.withField(
-        "text", F.when(F.length(c["text"]) > max_chars,
-                       F.concat(F.substring(c["text"], 1, max_chars), F.lit("\n... [truncated]")))
-        .otherwise(c["text"])))
-
-
-def definition_chunks(files: DataFrame, min_chars: int = 50, max_chars: int = 3000) -> DataFrame:
+from ..functions import lexing
+from ..session import ship_package
+
+TRUNCATION_MARK = "\n... [truncated]"
+CHUNK = "text string, chunk_type string, name string, start_line int, end_line int"
+
+
+def pieces(text: str, start: int, end: int, most: int):
+    """Consecutive pieces of ``text[start:end]`` of at most ``most`` characters, cut behind line breaks where possible."""
+    while end - start > most:
+        cut = text.rfind("\n", start, start + most) + 1
+        cut = cut if cut > start else start + most
+        yield start, cut
+        start = cut
+    yield start, end
+
+
+def cut(text: str, spans, min_chars: int, max_chars: int, split_long: bool) -> list[tuple]:
+    """Chunks (text, chunk_type, name, start_line, end_line) of the spans in emission order.
+
+    Shorter spans than ``min_chars`` are left out.  Longer ones than ``max_chars`` are cut there and marked, or,
+    with ``split_long``, give a chunk per piece, none of which is left out.
+    """
+    breaks = [i for i, c in enumerate(text) if c == "\n"]
+
+    def row(start, end, kind, name, mark=""):
+        body = text[start:end]
+        return (body + mark, kind, name, bisect_right(breaks, start - 1) + 1, bisect_right(breaks, start + len(body.rstrip("\n")) - 1) + 1)
+
+    out = []
+    for start, end, kind, name in sorted(spans, key=lambda s: (-s[1], s[0])):
+        if end - start < min_chars:
+            continue
+        if end - start <= max_chars:
+            out.append(row(start, end, kind, name))
+        elif split_long:
+            out += [row(a, b, kind, name) for a, b in pieces(text, start, end, max_chars)]
+        else:
+            whole = row(start, end, kind, name)
+            out.append((whole[0][:max_chars] + TRUNCATION_MARK, *whole[1:]))
+    return out
+
+
+def with_definitions(files: DataFrame, min_chars: int, max_chars: int, splitter=None, split_long: bool = False,
+                     abstract_classes: bool = False) -> DataFrame:
+    """``repo_name, file_path, language, defs`` (array of chunks) and ``rest``: the content where ``defs`` is empty.
+
+    ``splitter(text, language)`` returns (start, end, kind, name) spans in code points; None stands for the
+    built-in spans.  Files that are blank give no row.
+    """
+    ship_package(files.sparkSession)
+
+    def run(batches):
+        import pyarrow as pa
+
+        find = splitter or (lambda text, language: lexing.spans_of(text, language, abstract_classes))
+        kind = pa.list_(pa.struct([("text", pa.string()), ("chunk_type", pa.string()), ("name", pa.string()),
+                                   ("start_line", pa.int32()), ("end_line", pa.int32())]))
+        names = [f.name for f in kind.value_type]
+        for batch in batches:
+            defs, rest = [], []
+            for text, language in zip(batch.column("content").to_pylist(), batch.column("language").to_pylist()):
+                text = text or ""
+                found = cut(text, find(text, language), min_chars, max_chars, split_long) if text.strip() else []
+                defs.append([dict(zip(names, c)) for c in found])
+                rest.append(None if found or not text.strip() else text)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("repo_name"), batch.column("file_path"), batch.column("language"), pa.array(defs, kind),
+                 pa.array(rest, pa.string())], names=["repo_name", "file_path", "language", "defs", "rest"])
+
+    rows = files.select("repo_name", F.col("rel_path").alias("file_path"), "language", "content")
+    return rows.mapInArrow(run, f"repo_name string, file_path string, language string, defs array<struct<{_typed()}>>, rest string")
+
+
+def _typed() -> str:
+    return ", ".join(":".join(c.split()) for c in CHUNK.split(", "))
+
+
+def definition_chunks(files: DataFrame, min_chars: int = 50, max_chars: int = 3000, splitter=None,
+                      split_long: bool = False, abstract_classes: bool = False) -> DataFrame:
     """C1-C5 only (no fallback, no ids): one row per surviving definition."""
-    from .chunk import let, split_lines
     from .ordinals import spread
-    arr = let(split_lines("content"), lambda ls: definition_array(ls, F.col("language"), min_chars, max_chars))
-    return (spread(files).select("repo_name", F.col("rel_path").alias("file_path"), "language",
-                         F.explode(arr).alias("c"))
-            .select("repo_name", "file_path", "language", "c.*"))
+    found = with_definitions(spread(files), min_chars, max_chars, splitter, split_long, abstract_classes)
+    return found.select("repo_name", "file_path", "language", F.explode("defs").alias("c")).select(
+        "repo_name", "file_path", "language", "c.*")

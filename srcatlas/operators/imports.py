@@ -1,9 +1,8 @@
 """Import extraction (I1-I3) and resolution to files of the same repository.
 
-Extraction is a narrow projection: one regex pass over each file's text returns the
-import statements in document order.  ``import_ord`` reproduces the reference's
-discovery order (a last-child-first tree walk visits statements bottom-up; names
-inside one statement stay in order), which later orders graph edges.
+Extraction reads each file's tokens (``functions.lexing``) on Arrow batches: narrow, no shuffle.
+``import_ord`` is the reference's discovery order (a last-child-first tree walk visits statements bottom-up;
+names inside one statement stay in order), which later orders graph edges.
 
 Python resolution is a suffix test (``path.endswith(module + '.py')``, not aligned to
 a path segment).  Catalyst would plan ``endswith`` as a nested-loop join, so it is
@@ -16,57 +15,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Statement heads (multi-line mode): group 1 = names of ``import a, b as c``;
-# group 2 = module of ``from ..m import x`` (leading dots discarded).
-PY_IMPORT = r"(?m)^[ \t]*import[ \t]+([^\n#;]+)|^[ \t]*from[ \t]+\.*([\w.]*)[ \t]+import\b"
-# group 1 = source of an ``import`` statement; group 2 = string argument of ``require``.
-JS_IMPORT = (r"(?m)^[ \t]*import[ \t]+(?:type[ \t]+)?(?:[^'\";]*?[ \t\n]from[ \t]*)?['\"]([^'\"\n]+)['\"]"
-             r"|(?<![\w$.])require[ \t]*\([ \t]*['\"]([^'\"\n]+)['\"][ \t]*\)")
+from ..functions import lexing
+from ..session import ship_package
+
 # Fixed values of JS/TS resolution.
 JS_ALIAS = ("@/", "frontend/src/")
 JS_KNOWN_EXT = (".ts", ".tsx", ".js", ".jsx", ".css")
 JS_TRY_EXT = (".ts", ".tsx", ".js", ".jsx")
 
 
-def _statement_pairs(pattern: str) -> Column:
-    """(g1, g2) per regex match of the content, in document order.
-
-    The file text is scanned once for whole matches; the groups are then read from each
-    short match (the pattern's anchors hold at a match's start).
-    """
-    matches = F.regexp_extract_all("content", F.lit(pattern), 0)
-    return F.transform(matches, lambda m: F.struct(F.regexp_extract(m, pattern, 1).alias("a"),
-                                                   F.regexp_extract(m, pattern, 2).alias("b")))
-
-
-def python_imports(files: DataFrame) -> DataFrame:
-    """``repo_name, src, language, import_path, import_ord`` for Python files."""
-    st = (files.filter(F.col("language") == "python")
-          .select("repo_name", F.col("rel_path").alias("src"), "language",
-                  F.posexplode(_statement_pairs(PY_IMPORT)).alias("stmt", "m")))
-    names = F.when(F.col("m.a") != "",
-                   F.transform(F.split(F.col("m.a"), ","),
-                               lambda x: F.trim(F.regexp_replace(x, r"\s+as\s+.*$", ""))))\
-        .otherwise(F.array(F.col("m.b")))
-    out = st.select("repo_name", "src", "language", "stmt", F.posexplode(names).alias("k", "import_path"))
-    return (out.filter(F.col("import_path").rlike(r"^[\w.]+$") & (F.col("import_path") != "__future__"))
-            .select("repo_name", "src", "language", "import_path",
-                    (-F.col("stmt") * 1000 + F.col("k")).cast("bigint").alias("import_ord")))
-
-
-def js_imports(files: DataFrame) -> DataFrame:
-    """Import sources and ``require`` string arguments of JS/TS files."""
-    st = (files.filter(F.col("language").isin("javascript", "typescript"))
-          .select("repo_name", F.col("rel_path").alias("src"), "language",
-                  F.posexplode(_statement_pairs(JS_IMPORT)).alias("stmt", "m")))
-    return st.select("repo_name", "src", "language",
-                     F.when(F.col("m.a") != "", F.col("m.a")).otherwise(F.col("m.b")).alias("import_path"),
-                     (-F.col("stmt") * 1000).cast("bigint").alias("import_ord"))
-
-
 def extract_imports(files: DataFrame) -> DataFrame:
-    """I1 + I2 over all selected files."""
-    return python_imports(files).unionByName(js_imports(files))
+    """I1 + I2: ``repo_name, src, language, import_path, import_ord`` of every import of Python, JavaScript and
+    TypeScript files; ``import_ord`` counts a file's imports from 0 in discovery order."""
+    ship_package(files.sparkSession)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            owner, paths, places = [], [], []
+            for i, (text, language) in enumerate(zip(batch.column("content").to_pylist(), batch.column("language").to_pylist())):
+                found = lexing.imports_of(text, language)
+                owner += [i] * len(found)
+                paths += found
+                places += range(len(found))
+            at = pa.array(owner, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c).take(at) for c in ("repo_name", "src", "language")]
+                + [pa.array(paths, pa.string()), pa.array(places, pa.int64())],
+                names=["repo_name", "src", "language", "import_path", "import_ord"])
+
+    # files without either word cannot import, and need not travel to Python
+    told = F.col("content").contains("import") | F.col("content").contains("require")
+    rows = (files.filter(F.col("language").isin("python", "javascript", "typescript") & told)
+            .select("repo_name", F.col("rel_path").alias("src"), "language", "content"))
+    return rows.mapInArrow(run, "repo_name string, src string, language string, import_path string, import_ord long")
 
 
 def import_counts(imports: DataFrame) -> DataFrame:

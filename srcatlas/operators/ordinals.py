@@ -51,3 +51,36 @@ def group_ordinals(df: DataFrame, group: list[str], order: list[str], out: str =
     return (ranged.join(offsets, ["_pid", *group])
             .withColumn(out, (F.col("_off") + F.col("_mono") - F.col("_first")).cast("bigint"))
             .drop("_pid", "_mono", "_first", "_off"))
+
+
+#: Rows, and bytes of their keys, of a thin table that may be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
+
+
+def running_totals(df: DataFrame, group: list[str], order: list[str], value: str, out: str) -> DataFrame:
+    """Add ``out``: the sum of ``value`` over the rows of the group that come earlier in ``order``.
+
+    The table is written range-sorted once; sums inside a partition are a window over it, and one row per
+    (partition, group) carries the sums of earlier partitions, so no group meets in one task.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(c) for c in group + order]
+    ranged = materialize(df.repartitionByRange(n, *keys).withColumn("_pid", F.spark_partition_id()), "running-totals")
+    inside = Window.partitionBy("_pid", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    parts = (ranged.groupBy("_pid", *group).agg(F.sum(value).alias("_sum"))
+             .select("_pid", *group, F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before")))
+    return (ranged.withColumn("_in", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+            .join(parts, ["_pid", *group])
+            .withColumn(out, F.col("_before") + F.col("_in")).drop("_pid", "_in", "_before"))
+
+
+def attach(rows: DataFrame, thin: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` joined with ``thin``, one row per key of ``rows``.
+
+    ``thin`` is written and measured; within the bounds it travels to the rows, beyond them both sides are
+    shuffled.
+    """
+    thin = materialize(thin, "thin")
+    n, size = thin.agg(F.count(F.lit(1)), F.coalesce(F.sum(sum((F.octet_length(c) for c in on), F.lit(16))), F.lit(0))).first()
+    return rows.join(F.broadcast(thin) if n <= BROADCAST_ROWS and size <= BROADCAST_BYTES else thin, on)

@@ -31,13 +31,12 @@ def register(name: str, sql: str | None = None):
 
 
 def selected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Selected source files of the derived corpus, written once to the checkpoint folder.
+    """Selected source files of the derived corpus: a projection of ``documents``.
 
-    Every job reads this table from several branches (chunks, imports, nodes); the
-    reliable checkpoint plays the role of the persisted ``source_files`` table.
+    Texts are not copied; the jobs write what they derive (imports, nodes, edges, chunks), each read from here
+    by one pass over the columns it needs.
     """
-    from ..session import materialize
-    return materialize(select.select_sources(code_corpus(spark, sf_dir)), "source-files")
+    return select.select_sources(code_corpus(spark, sf_dir))
 
 
 # --------------------------------------------------------------------------- selection
@@ -97,11 +96,11 @@ WITH {S.selected_cte()}, {S.lines_cte()}, {S.definitions_cte()}"""
 CHUNKS_SQL = f"""{DEFS_SQL},
 lc AS ({LINE_CHUNKS_SQL.replace("WITH ", "SELECT * FROM (WITH ", 1)})),
 with_defs AS (SELECT DISTINCT repo_name, file_path FROM defs),
-chosen AS (SELECT * FROM defs UNION ALL
-           SELECT repo_name, file_path, language, chunk_type, name, start_line, end_line, text FROM lc
+chosen AS (SELECT repo_name, file_path, language, chunk_type, name, start_line, end_line, ord, text FROM defs UNION ALL
+           SELECT repo_name, file_path, language, chunk_type, name, start_line, end_line, start_line, text FROM lc
            WHERE NOT EXISTS (SELECT 1 FROM with_defs w WHERE w.repo_name = lc.repo_name AND w.file_path = lc.file_path)),
 chunks AS (SELECT *, CAST(row_number() OVER (PARTITION BY repo_name
-             ORDER BY file_path, CASE WHEN chunk_type = 'raw' THEN start_line END, end_line DESC, start_line, name) - 1 AS BIGINT) AS chunk_id FROM chosen)"""
+             ORDER BY file_path, ord) - 1 AS BIGINT) AS chunk_id FROM chosen)"""
 
 
 @register("definition_chunks", DEFS_SQL + """
@@ -204,13 +203,14 @@ WITH {S.selected_cte()}, {S.graph_cte()}"""
 
 
 def graph_parts(spark, sf_dir):
-    """(files, imports, resolved, nodes, edges) of the code corpus."""
+    """(files, imports, resolved, nodes, edges) of the code corpus; files without their contents."""
     from ..operators import graph, imports
-    files = selected(spark, sf_dir)
-    # imports and edges are thin and feed several branches (degrees, top lists, cycles):
+    # imports, file list and edges are thin and feed several branches (degrees, top lists, cycles):
     # written once to the checkpoint folder instead of re-deriving them per branch
     from ..session import materialize
-    imps = materialize(imports.extract_imports(files), "imports")
+    sources = selected(spark, sf_dir)
+    imps = materialize(imports.extract_imports(sources), "imports")
+    files = materialize(sources.select("repo_name", "rel_path", "language", "size"), "files")
     res = imports.resolve_imports(imps, files)
     return files, imps, res, graph.graph_nodes(files), materialize(graph.graph_edges(res, imps), "edges")
 
@@ -343,17 +343,22 @@ reach AS (SELECT * FROM (WITH RECURSIVE r(repo_name, a, b) AS (
           SELECT * FROM r)),
 cyc_nodes AS (SELECT DISTINCT repo_name, a AS node FROM reach WHERE a = b)"""
 
-PATHS_SQL = REACH_SQL + """,
+def paths_sql(most: str = "AND p.len < 8") -> str:
+    """CTEs of the cycles of at most 8 files, or of any length with an empty condition."""
+    return REACH_SQL + """,
 ce AS (SELECT e.repo_name, e.src, e.dst FROM edges e
        JOIN reach r1 ON r1.repo_name = e.repo_name AND r1.a = e.dst AND r1.b = e.src),
 paths AS (SELECT * FROM (WITH RECURSIVE p(repo_name, start, last, path, len) AS (
             SELECT repo_name, src, dst, [src, dst], 2 FROM ce WHERE dst > src
             UNION ALL SELECT p.repo_name, p.start, c.dst, list_append(p.path, c.dst), p.len + 1
             FROM p JOIN ce c ON c.repo_name = p.repo_name AND c.src = p.last
-            WHERE c.dst > p.start AND NOT list_contains(p.path, c.dst) AND p.len < 8)
+            WHERE c.dst > p.start AND NOT list_contains(p.path, c.dst) MOST)
           SELECT * FROM p)),
 cyc AS (SELECT p.repo_name, p.path, CAST(p.len AS INTEGER) AS length FROM paths p
-        JOIN ce c ON c.repo_name = p.repo_name AND c.src = p.last AND c.dst = p.start)"""
+        JOIN ce c ON c.repo_name = p.repo_name AND c.src = p.last AND c.dst = p.start)""".replace("MOST", most)
+
+
+PATHS_SQL = paths_sql()
 
 
 def cycle_inputs(spark, sf_dir):
@@ -379,12 +384,12 @@ def q_cycles(spark, sf_dir):
     return cycles.cycles(edges, scc, max_len=8)
 
 
-@register("cycle_listing", PATHS_SQL + """
+@register("cycle_listing", paths_sql("") + """
 SELECT repo_name, rank, cycle FROM (
   SELECT repo_name, CAST(row_number() OVER (PARTITION BY repo_name ORDER BY length, array_to_string(path, chr(1))) AS INTEGER) AS rank,
          array_to_string(path, ' → ') || ' → ' || path[1] AS cycle FROM cyc) WHERE rank <= 5""")
 def q_cycle_listing(spark, sf_dir):
-    """First 5 cycles per repository rendered ``a → b → a``, of any length (the SQL stops at 8)."""
+    """First 5 cycles per repository rendered ``a → b → a``, of any length."""
     from ..operators import cycles
     _, edges, scc = cycle_inputs(spark, sf_dir)
     return cycles.show_cycles(cycles.first_cycles(edges, scc, 5), 5)
@@ -621,7 +626,7 @@ def _architecture_prompt_sql():
     arch_ctes = ARCH_SQL[len(CHUNKS_SQL):]
     q = _sql_str
     lst = lambda c: f"array_to_string(coalesce({c}.l, []), chr(10))"
-    return (CHUNKS_SQL + ",\n" + S.graph_cte() + te_cte + ",\n" + ctx_ctes + arch_ctes + """,
+    return (CHUNKS_SQL + ",\n" + S.graph_cte(with_files=False) + te_cte + ",\n" + ctx_ctes + arch_ctes + """,
 fl AS (SELECT repo_name, array_to_string(list_sort(list(DISTINCT file_path)), chr(10)) AS repo_structure
        FROM arch GROUP BY ALL)
 SELECT sz.repo_name, 'architecture' AS task, """

@@ -1,13 +1,15 @@
 """DuckDB SQL fragments for the oracle side of the driver contract.
 
 They restate the selection rules in SQL over the same fixed values, so the oracle is
-an independent formulation (regexes and list functions instead of Spark's).
+an independent formulation (regexes and list functions instead of Spark's).  Imports and
+definitions are not searched in the text at all: ``planted`` states what each file holds.
 """
 
 from __future__ import annotations
 
 from ..functions import paths as P
-from ..sources.corpus import corpus_cte
+from ..sources.corpus import FILES_SQL, corpus_cte
+from . import planted
 
 
 def _q(s: str) -> str:
@@ -50,7 +52,7 @@ def skipped_name_sql(name: str = NAME) -> str:
 def selected_cte() -> str:
     """CTEs ``code_corpus`` and ``sel`` (selected files with ``language``)."""
     return (f"{corpus_cte()},\n"
-            f"sel AS (SELECT repo_name, rel_path, content, size, {language_sql()} AS language\n"
+            f"sel AS MATERIALIZED (SELECT repo_name, rel_path, content, size, {language_sql()} AS language\n"
             f"  FROM code_corpus\n"
             f"  WHERE NOT {skipped_dir_sql()} AND NOT {skipped_name_sql()} AND NOT {test_file_sql()}\n"
             f"    AND NOT {skipped_suffix_sql()} AND {language_sql()} IS NOT NULL\n"
@@ -75,114 +77,44 @@ def lines_cte(src: str = "sel") -> str:
             f"  CASE WHEN parts[len(parts)] = '' THEN parts[1:len(parts)-1] ELSE parts END AS ls FROM split)")
 
 
-# Definition heads restated for RE2 (DuckDB); group 1 is the name.
-RE2_ID = "[A-Za-z_$][A-Za-z0-9_$]*"
-RE2_PY_DEF = "^[ \\t]*(?:async[ \\t]+)?def[ \\t]+([\\p{L}_][\\p{L}\\p{N}_]*)[ \\t]*\\("
-RE2_PY_CLASS = "^[ \\t]*class[ \\t]+([\\p{L}_][\\p{L}\\p{N}_]*)[ \\t]*[(:]"
-RE2_JS_FUNCTION = "^[ \\t]*(?:export[ \\t]+(?:default[ \\t]+)?)?(?:async[ \\t]+)?function[ \\t]+(" + RE2_ID + ")"
-RE2_JS_CLASS = "^[ \\t]*(?:export[ \\t]+(?:default[ \\t]+)?)?class[ \\t]+(" + RE2_ID + ")"
-RE2_TS_INTERFACE = "^[ \\t]*(?:export[ \\t]+(?:default[ \\t]+)?)?interface[ \\t]+(" + RE2_ID + ")"
-RE2_TS_TYPE = "^[ \\t]*(?:export[ \\t]+)?type[ \\t]+(" + RE2_ID + ")[^=]*="
-RE2_JS_METHOD = ("^[ \\t]*(?:(?:static|async|get|set|public|private|protected|readonly|override)[ \\t]+)*"
-                 "\\*?[ \\t]*(" + RE2_ID + ")[ \\t]*(?:<[^>]*>)?[ \\t]*\\([^;]*\\)[ \\t]*(?::[^{;=]*)?\\{")
-RE2_JS_ARROW = "(?:async[ \\t]+)?(?:\\([^()]*\\)|" + RE2_ID + ")[ \\t]*(?::[ \\t]*[^=;(]+?)?[ \\t]*=>"
-RE2_JS_ARROW_NAME = "^(?:async[ \\t]+)?(" + RE2_ID + ")[ \\t]*=>"
-RE2_JS_NOISE = "\"(?:[^\"\\\\]|\\\\.)*\"|'(?:[^'\\\\]|\\\\.)*'|`(?:[^`\\\\]|\\\\.)*`|//.*$"
-NOT_METHOD = ("if", "for", "while", "switch", "catch", "function", "return", "with", "do", "else",
-              "typeof", "new", "await", "yield")
+def files_cte() -> str:
+    """CTE ``b``: the selected files with the facts that their planted code follows from."""
+    return (f"b AS MATERIALIZED (SELECT f.* FROM ({FILES_SQL.replace('{documents}', 'documents')}) f\n"
+            f"  JOIN sel ON sel.repo_name = f.repo_name AND sel.rel_path = f.rel_path)")
 
 
 def definitions_cte() -> str:
-    """CTEs ending in ``defs``: definition chunks (C1-C5) of the files in ``split2``."""
-    nm = ", ".join(_q(x) for x in NOT_METHOD)
-    return f"""
-idx AS (SELECT repo_name, rel_path, language, ls, unnest(range(1, len(ls) + 1)) AS i FROM split2),
-ln AS (SELECT repo_name, rel_path, language, ls, CAST(i AS INTEGER) AS i, ls[i] AS line, len(ls) AS n,
-         length(regexp_extract(ls[i], '^[ \\t]*', 0)) AS indent FROM idx),
-py0 AS (SELECT *, len(regexp_extract_all(line, '(\"\"\"|'''''')', 1)) AS tq,
-          regexp_full_match(line, '[ \\t\\f]*(#.*)?') AS quiet,
-          regexp_matches(line, '^[ \\t]*[)\\]}}]') AS closer
-        FROM ln WHERE language = 'python'),
-py AS (SELECT *, coalesce(sum(tq) OVER (PARTITION BY repo_name, rel_path ORDER BY i
-                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS in_str FROM py0),
-pyd AS (SELECT *, CASE WHEN regexp_extract(line, {_q(RE2_PY_DEF)}, 1) <> '' THEN 'function'
-                       WHEN regexp_extract(line, {_q(RE2_PY_CLASS)}, 1) <> '' THEN 'class' END AS kind,
-          coalesce(nullif(regexp_extract(line, {_q(RE2_PY_DEF)}, 1), ''), regexp_extract(line, {_q(RE2_PY_CLASS)}, 1)) AS nm
-        FROM py WHERE NOT in_str),
-pydefs AS (SELECT repo_name, rel_path, language, ls, n, i, indent, kind, nm, indent + 1 AS col FROM pyd WHERE kind IS NOT NULL),
-pyterm AS (SELECT d.repo_name, d.rel_path, d.i, min(l.i) AS t FROM pydefs d JOIN py l
-             ON l.repo_name = d.repo_name AND l.rel_path = d.rel_path AND l.i > d.i
-            AND NOT l.in_str AND NOT l.quiet AND NOT l.closer AND l.indent <= d.indent GROUP BY ALL),
-pyspan AS (SELECT d.repo_name, d.rel_path, d.language, d.ls, d.i, d.kind, d.nm, d.col, max(l.i) AS e
-           FROM pydefs d LEFT JOIN pyterm t ON t.repo_name = d.repo_name AND t.rel_path = d.rel_path AND t.i = d.i
-           JOIN py l ON l.repo_name = d.repo_name AND l.rel_path = d.rel_path AND l.i >= d.i
-            AND l.i < coalesce(t.t, d.n + 1) AND (l.in_str OR NOT l.quiet)
-           GROUP BY ALL),
-js0 AS (SELECT *, regexp_replace(line, {_q(RE2_JS_NOISE)}, '', 'g') AS clean FROM ln WHERE language IN ('javascript', 'typescript')),
-js1 AS (SELECT *, (length(clean) - length(replace(clean, '{{', ''))) - (length(clean) - length(replace(clean, '}}', ''))) AS delta FROM js0),
-js AS (SELECT *, coalesce(sum(delta) OVER (PARTITION BY repo_name, rel_path ORDER BY i
-                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS d_before FROM js1),
-jsa AS (SELECT *, d_before + delta AS d_after,
-          regexp_extract(line, {_q(RE2_JS_FUNCTION)}, 1) AS f_fn, regexp_extract(line, {_q(RE2_JS_CLASS)}, 1) AS f_cls,
-          CASE WHEN language = 'typescript' THEN regexp_extract(line, {_q(RE2_TS_INTERFACE)}, 1) ELSE '' END AS f_if,
-          CASE WHEN language = 'typescript' THEN regexp_extract(line, {_q(RE2_TS_TYPE)}, 1) ELSE '' END AS f_ty,
-          regexp_extract(line, {_q(RE2_JS_METHOD)}, 1) AS f_me, regexp_extract(line, {_q(RE2_JS_ARROW)}, 0) AS f_ar,
-          regexp_matches(line, '^[ \\t]*(//|/\\*|\\*)') AS is_comment
-        FROM js),
-jsd AS (SELECT *,
-          CASE WHEN is_comment THEN NULL WHEN f_fn <> '' THEN 'function' WHEN f_cls <> '' THEN 'class'
-               WHEN f_if <> '' THEN 'type' WHEN f_ty <> '' THEN 'type'
-               WHEN f_me <> '' AND f_me NOT IN ({nm}) THEN 'function' WHEN f_ar <> '' THEN 'function' END AS kind,
-          CASE WHEN f_fn <> '' THEN f_fn WHEN f_cls <> '' THEN f_cls WHEN f_if <> '' THEN f_if WHEN f_ty <> '' THEN f_ty
-               WHEN f_me <> '' AND f_me NOT IN ({nm}) THEN f_me
-               ELSE regexp_extract(f_ar, {_q(RE2_JS_ARROW_NAME)}, 1) END AS nm,
-          CASE WHEN f_fn <> '' THEN strpos(line, regexp_extract(line, '(?:async[ \\t]+)?function[ \\t]', 0))
-               WHEN f_cls <> '' THEN strpos(line, regexp_extract(line, 'class[ \\t]', 0))
-               WHEN f_if <> '' THEN strpos(line, regexp_extract(line, 'interface[ \\t]', 0))
-               WHEN f_ty <> '' THEN strpos(line, regexp_extract(line, 'type[ \\t]', 0))
-               WHEN f_me <> '' AND f_me NOT IN ({nm}) THEN indent + 1
-               ELSE strpos(line, f_ar) END AS col
-        FROM jsa),
-jsspan AS (SELECT d.repo_name, d.rel_path, d.language, d.ls, d.i, d.kind, d.nm, d.col,
-             coalesce(min(l.i), max(d.n)) AS e
-           FROM jsd d LEFT JOIN jsa l ON l.repo_name = d.repo_name AND l.rel_path = d.rel_path AND l.i >= d.i
-            AND l.d_after <= d.d_before
-           WHERE d.kind IS NOT NULL GROUP BY d.repo_name, d.rel_path, d.language, d.ls, d.i, d.kind, d.nm, d.col),
-spans AS (SELECT * FROM pyspan UNION ALL SELECT * FROM jsspan),
-dtext AS (SELECT repo_name, rel_path AS file_path, language, kind AS chunk_type,
-            coalesce(nullif(nm, ''), 'anonymous') AS name, i AS start_line, CAST(e AS INTEGER) AS end_line,
-            regexp_replace(array_to_string(list_concat([substr(ls[i], col)], ls[i + 1 : e]), chr(10)), '[ \\t]+$', '') AS text
-          FROM spans),
-defs AS (SELECT repo_name, file_path, language, chunk_type, name, start_line, end_line,
-           CASE WHEN length(text) > 3000 THEN concat(substr(text, 1, 3000), chr(10), '... [truncated]') ELSE text END AS text
-         FROM dtext WHERE length(text) >= 50)"""
-
-
-RE2_PY_IMPORT = "(?m)^[ \\t]*import[ \\t]+([^\\n#;]+)|^[ \\t]*from[ \\t]+\\.*([\\w.]*)[ \\t]+import\\b"
-RE2_JS_IMPORT = ("(?m)^[ \\t]*import[ \\t]+(?:type[ \\t]+)?(?:[^'\";]*?[ \\t\\n]from[ \\t]*)?['\"]([^'\"\\n]+)['\"]"
-                 "|(?:^|[^\\w$.])require[ \\t]*\\([ \\t]*['\"]([^'\"\\n]+)['\"][ \\t]*\\)")
-
-
-def graph_cte() -> str:
+    """CTEs ending in ``defs``: the planted definitions that are long enough (C1-C5), stated by hand."""
+    return f"""{files_cte()},
+pd AS ({planted.definitions_sql()}),
+defs AS (SELECT repo_name, rel_path AS file_path, language, chunk_type, name, CAST(start_line AS INTEGER) AS start_line,
+           CAST(end_line AS INTEGER) AS end_line, ord,
+           CASE WHEN length(whole) > 3000 THEN concat(substr(whole, 1, 3000), chr(10), '... [truncated]') ELSE whole END AS text
+         FROM pd WHERE length(whole) >= 50)"""
+
+
+def imports_cte(with_files: bool = True) -> str:
+    """CTEs ending in ``imports``: what the files import by construction, in discovery order."""
+    return f"""{files_cte() + "," if with_files else ""}
+planted_imports AS ({planted.imports_sql()}),
+head_imports AS (
+  SELECT repo_name, rel_path, language, 1 AS grp, 0 AS ord,
+         'm' || CASE WHEN doc_id % 100 < 2 THEN k_p20 ELSE k_p40 END AS import_path FROM b WHERE doc_id % 100 IN (0, 1, 40, 41)
+  UNION ALL SELECT repo_name, rel_path, language, 2, o, n FROM b, (VALUES (0, 'os'), (1, 'sys')) v(o, n)
+            WHERE language = 'python' AND doc_id % 7 = 0
+  UNION ALL SELECT repo_name, rel_path, language, 3, 0, 'm' || k_m10 FROM b WHERE language = 'python' AND doc_id >= 20
+  UNION ALL SELECT repo_name, rel_path, language, 4, 0, 'm' || k_m20 FROM b WHERE language = 'python' AND doc_id >= 20
+  UNION ALL SELECT repo_name, rel_path, language, 4, 0, CASE WHEN doc_id >= 20 THEN up || dir_of_prev20 || 'm' || k_m20 ELSE 'react' END
+            FROM b WHERE language <> 'python'),
+imports AS MATERIALIZED (SELECT repo_name, rel_path AS src, language, import_path,
+              row_number() OVER (PARTITION BY repo_name, rel_path ORDER BY grp, ord) - 1 AS import_ord
+            FROM (SELECT * FROM planted_imports UNION ALL SELECT * FROM head_imports))"""
+
+
+def graph_cte(with_files: bool = True) -> str:
     """CTEs over ``sel``: imports, resolved, edges, nodes, deg (naive formulations)."""
     return f"""
-pst AS (SELECT repo_name, rel_path AS src, language,
-          regexp_extract_all(content, {_q(RE2_PY_IMPORT)}, 1) AS a, regexp_extract_all(content, {_q(RE2_PY_IMPORT)}, 2) AS b
-        FROM sel WHERE language = 'python'),
-pst1 AS (SELECT repo_name, src, language, a, b, unnest(range(1, len(a) + 1)) AS stmt FROM pst),
-pst2 AS (SELECT repo_name, src, language, stmt,
-           CASE WHEN a[stmt] <> '' THEN string_split(a[stmt], ',') ELSE [b[stmt]] END AS names FROM pst1),
-pst3 AS (SELECT repo_name, src, language, stmt, names, unnest(range(1, len(names) + 1)) AS k FROM pst2),
-pyimp AS (SELECT repo_name, src, language, import_path, CAST(-(stmt - 1) * 1000 + (k - 1) AS BIGINT) AS import_ord FROM (
-            SELECT *, trim(regexp_replace(names[k], '\\s+as\\s+.*$', '')) AS import_path FROM pst3)
-          WHERE regexp_full_match(import_path, '[\\w.]+') AND import_path <> '__future__'),
-jst AS (SELECT repo_name, rel_path AS src, language,
-          regexp_extract_all(content, {_q(RE2_JS_IMPORT)}, 1) AS a, regexp_extract_all(content, {_q(RE2_JS_IMPORT)}, 2) AS b
-        FROM sel WHERE language IN ('javascript', 'typescript')),
-jst1 AS (SELECT repo_name, src, language, a, b, unnest(range(1, len(a) + 1)) AS stmt FROM jst),
-jsimp AS (SELECT repo_name, src, language, CASE WHEN a[stmt] <> '' THEN a[stmt] ELSE b[stmt] END AS import_path,
-            CAST(-(stmt - 1) * 1000 AS BIGINT) AS import_ord FROM jst1),
-imports AS (SELECT * FROM pyimp UNION ALL SELECT * FROM jsimp),
+{imports_cte(with_files)},
 pycand AS (SELECT i.repo_name, i.src, i.import_path, f.rel_path AS path,
              CASE WHEN ends_with(f.rel_path, replace(i.import_path, '.', '/') || '.py') THEN 0 ELSE 1 END AS is_pkg
            FROM (SELECT DISTINCT repo_name, src, import_path FROM imports WHERE language = 'python') i

@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from srcatlas.functions import lexing
 from srcatlas.operators import definitions, vectors
-from srcatlas.operators.chunk import let, split_lines
 
 
 def test_lsh_hits_are_exact_hits(spark):
@@ -20,13 +20,11 @@ def test_lsh_hits_are_exact_hits(spark):
     assert jvm == exact
 
 
-def _spans(spark, code):
-    df = spark.createDataFrame([(code, "python")], "content string, language string")
-    arr = let(split_lines("content"), lambda ls: definitions.definition_array(ls, F.col("language"), 1, 3000))
-    return {(c.name, c.start_line, c.end_line) for c in df.select(F.explode(arr).alias("c")).select("c.*").collect()}
+def _spans(code):
+    return {(c[2], c[3], c[4]) for c in definitions.cut(code, lexing.python_spans(code), 1, 3000, False)}
 
 
-def test_python_span_rules(spark):
+def test_python_span_rules():
     code = ("def a(x,\n"
             "      y):\n"
             "    z = [\n"
@@ -42,9 +40,5 @@ def test_python_span_rules(spark):
             "    '''\n"
             "    return 2\n"
             "c = 3\n")
-    got = _spans(spark, code)
-    # (a) a line starting with ']' does not end a(); '1, 2,' at indent 0 does (known divergence)
-    assert ("a", 1, 3) in got
-    # (b) comment-only lines neither end nor extend; (c) lines inside ''' neither start nor end b()
-    assert ("b", 9, 14) in got
-    assert not any(n == "not_a_def" for n, _, _ in got)
+    # brackets and strings carry a statement over lines of any indent; comments neither end nor extend it
+    assert _spans(code) == {("a", 1, 6), ("b", 9, 14)}
