@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
-from .ordinals import attach, running_totals, spread
+from .ordinals import running_totals, spread, travelling
 from ..session import materialize
 from . import definitions
 
@@ -98,6 +98,7 @@ def chunk_files(files: DataFrame, min_chars: int = MIN_CHARS, max_chars: int = M
     rows = materialize(rows, "chunk-rows")
     sizes = rows.groupBy("repo_name", "file_path").agg(F.count(F.lit(1)).alias("_n"))
     first = running_totals(sizes, ["repo_name"], ["file_path"], "_n", "_first")
-    numbered = attach(rows, first.select("repo_name", "file_path", "_first"), ["repo_name", "file_path"])
+    keys = ["repo_name", "file_path"]
+    numbered = rows.join(travelling(first.select(*keys, "_first"), keys), keys)
     return numbered.select("repo_name", (F.col("_first") + F.col("pos")).cast("bigint").alias("chunk_id"), "file_path",
                            "c.chunk_type", "c.name", "c.start_line", "c.end_line", "language", "c.text")

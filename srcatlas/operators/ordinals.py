@@ -75,12 +75,8 @@ def running_totals(df: DataFrame, group: list[str], order: list[str], value: str
             .withColumn(out, F.col("_before") + F.col("_in")).drop("_pid", "_in", "_before"))
 
 
-def attach(rows: DataFrame, thin: DataFrame, on: list[str]) -> DataFrame:
-    """``rows`` joined with ``thin``, one row per key of ``rows``.
-
-    ``thin`` is written and measured; within the bounds it travels to the rows, beyond them both sides are
-    shuffled.
-    """
+def travelling(thin: DataFrame, on: list[str]) -> DataFrame:
+    """``thin``, written and measured: to be broadcast by joins on ``on`` if within the bounds, else shuffled by them."""
     thin = materialize(thin, "thin")
     n, size = thin.agg(F.count(F.lit(1)), F.coalesce(F.sum(sum((F.octet_length(c) for c in on), F.lit(16))), F.lit(0))).first()
-    return rows.join(F.broadcast(thin) if n <= BROADCAST_ROWS and size <= BROADCAST_BYTES else thin, on)
+    return F.broadcast(thin) if n <= BROADCAST_ROWS and size <= BROADCAST_BYTES else thin

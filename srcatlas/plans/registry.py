@@ -158,14 +158,28 @@ def q_vector_search(spark, sf_dir):
     return vectors.search(idx, qs, top_k=5).select("query_id", "repo_name", "rank", "chunk_id", "score")
 
 
-@register("vector_search_approx")
-def q_vector_search_approx(spark, sf_dir):
-    """V3: LSH candidates re-ranked exactly (approximate: rows-only check)."""
+def approx_parts(spark, sf_dir):
+    """(index, queries, approximate hits) of every vector in its own repository; buckets of 16 rows."""
     from ..operators import vectors
     idx = embedding_index(spark, sf_dir)
     qs = idx.select(F.col("chunk_id").alias("query_id"), "repo_name", "embedding")
-    return (vectors.search_approx(idx, qs, top_k=5, bucket_length=2.0, num_tables=3, threshold=1.5)
-            .select("query_id", "repo_name", "rank", "chunk_id", "score"))
+    return idx, qs, vectors.search_approx(idx, qs, top_k=5, tables=12, probes=4, bucket_rows=16)
+
+
+@register("vector_search_approx")
+def q_vector_search_approx(spark, sf_dir):
+    """V3: bucketed candidates scored exactly (approximate: rows-only check; recall is checked next)."""
+    return approx_parts(spark, sf_dir)[2].select("query_id", "repo_name", "rank", "chunk_id", "score")
+
+
+@register("vector_search_recall", f"""
+SELECT repo_name, count(DISTINCT query_id) AS queries, count(*) AS exact_hits, true AS recall_of_090 FROM ({VEC_SQL}) GROUP BY ALL""")
+def q_vector_search_recall(spark, sf_dir):
+    """V3 against V2: per repository the exact hits and whether nine tenths of them are found."""
+    from ..operators import vectors
+    idx, qs, approx = approx_parts(spark, sf_dir)
+    return vectors.recall(approx, vectors.search(idx, qs, top_k=5)).select(
+        "repo_name", "queries", "exact_hits", (F.col("recall") >= 0.9).alias("recall_of_090"))
 
 
 @register("sample_chunks", CHUNKS_SQL + """
@@ -601,22 +615,80 @@ def q_refactor_prompts(spark, sf_dir):
     return prompt.refactor_prompts(vectors.sample_chunks(chunk.chunk_files(selected(spark, sf_dir)), 15))
 
 
-@register("answer_prompts")
-def q_answer_prompts(spark, sf_dir):
-    """T1 (+V1, K6, F3): each user turn of ``conversations`` asks repo{conv_id % 5}; the
-    hashed bag-of-words encoder embeds chunks and questions alike; top-5 hits form the
-    context.  No oracle: the encoder's hashing is Spark's own."""
-    from ..operators import prompt, vectors
+# V1 in SQL: hashed word counts of chunks and questions, document frequencies of the chunks alone.
+ENCODE_SQL = CHUNKS_SQL + """,
+texts AS (SELECT repo_name, chunk_id, NULL AS query_id, text FROM chunks UNION ALL
+          SELECT concat('repo', CAST(conv_id % 5 AS VARCHAR)), NULL, conv_id * 1000 + turn, text FROM conversations WHERE role = 'user'),
+words AS (SELECT repo_name, chunk_id, query_id, unnest([t FOR t IN string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}_]+') IF t <> '']) AS t FROM texts),
+tf AS MATERIALIZED (SELECT repo_name, chunk_id, query_id, CAST(('0x' || substr(md5(t), 1, 8))::BIGINT % 256 AS INTEGER) AS bucket, count(*) AS c FROM words GROUP BY ALL),
+stats AS (SELECT bucket, count(*) AS df FROM tf WHERE chunk_id IS NOT NULL GROUP BY bucket),
+tw AS (SELECT tf.*, c * (ln(((SELECT count(*) FROM chunks) + 1.0) / (coalesce(df, 0) + 1.0)) + 1.0) AS w FROM tf LEFT JOIN stats USING (bucket)),
+enc AS MATERIALIZED (SELECT repo_name, chunk_id, query_id, bucket, w / sqrt(sum(w * w) OVER (PARTITION BY repo_name, chunk_id, query_id)) AS w FROM tw)"""
+
+
+def encoded_parts(spark, sf_dir):
+    """(chunks with vectors, questions, fitted encoder); the statistics are fitted on the chunks and stored beside them."""
+    from ..operators import vectors
+    from ..session import ensure_checkpoint_dir, materialize
     from ..sources.corpus import table
-    from ..session import materialize
-    idx = materialize(vectors.embed(chunk.chunk_files(selected(spark, sf_dir)), "text"), "chunk-vectors")
+    import uuid
+    chunks = materialize(chunk.chunk_files(selected(spark, sf_dir)), "chunks")
+    fitted = vectors.fit_encoder(chunks, f"{ensure_checkpoint_dir(spark).rstrip('/')}/encoder-{uuid.uuid4().hex}")
+    idx = materialize(vectors.encode(chunks, fitted), "chunk-vectors")
     conv = table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
     qs = conv.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"),
                      F.concat(F.lit("repo"), (F.col("conv_id") % 5).cast("string")).alias("repo_name"),
                      F.col("text").alias("question"))
-    qv = vectors.embed(vectors.known_repos(qs, idx), "question")
-    hits = vectors.search(idx, qv, top_k=5)
-    return prompt.answer_prompts(hits, qs)
+    return idx, qs, fitted
+
+
+@register("chunk_encodings", ENCODE_SQL + """
+SELECT repo_name, chunk_id, bucket, round(w, 4) AS weight FROM enc WHERE chunk_id IS NOT NULL""")
+def q_chunk_encodings(spark, sf_dir):
+    """V1: the non-zero elements of every chunk's vector."""
+    idx, _, _ = encoded_parts(spark, sf_dir)
+    return (idx.select("repo_name", "chunk_id", F.posexplode("embedding").alias("bucket", "w")).filter("w <> 0")
+            .select("repo_name", "chunk_id", "bucket", F.round("w", 4).alias("weight")))
+
+
+@register("answer_chunks", ENCODE_SQL + """,
+sim AS (SELECT q.query_id, q.repo_name, v.chunk_id, round(sum(q.w * v.w), 9) AS raw FROM enc q JOIN enc v
+        ON q.repo_name = v.repo_name AND q.bucket = v.bucket WHERE q.query_id IS NOT NULL AND v.chunk_id IS NOT NULL GROUP BY ALL),
+asked AS (SELECT query_id, repo_name, question FROM (SELECT conv_id * 1000 + turn AS query_id, text AS question,
+            concat('repo', CAST(conv_id % 5 AS VARCHAR)) AS repo_name FROM conversations WHERE role = 'user')
+          WHERE repo_name IN (SELECT repo_name FROM chunks)),
+allsim AS (SELECT a.query_id, a.repo_name, c.chunk_id, coalesce(s.raw, 0) AS raw FROM asked a JOIN chunks c ON c.repo_name = a.repo_name
+           LEFT JOIN sim s ON s.query_id = a.query_id AND s.chunk_id = c.chunk_id AND s.repo_name = a.repo_name),
+hit AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, chunk_id) AS rank FROM allsim
+        QUALIFY rank <= 5)
+SELECT query_id, repo_name, CAST(rank AS INTEGER) AS rank, chunk_id, round(raw, 3) AS score FROM hit""")
+def q_answer_chunks(spark, sf_dir):
+    """V1 + K6 + J6: the five chunks that answer each user turn of ``conversations`` in repo{conv_id % 5}."""
+    from ..operators import vectors
+    idx, qs, fitted = encoded_parts(spark, sf_dir)
+    hits = vectors.search(idx, vectors.encode(vectors.known_repos(qs, idx), fitted, "question"), top_k=5, digits=3)
+    return hits.select("query_id", "repo_name", "rank", "chunk_id", "score")
+
+
+def _answer_sql():
+    from ..operators.prompt import ANSWER_HEAD, ANSWER_MID, ANSWER_TAIL
+    blocks = ("'--- File: ' || file_path || ' | ' || upper(substr(chunk_type, 1, 1)) || lower(substr(chunk_type, 2)) || ': ' || name "
+              "|| ' | Lines: ' || start_line || '-' || end_line || ' ---' || chr(10) || text")
+    ctes = ORACLE["answer_chunks"][:ORACLE["answer_chunks"].rindex("SELECT query_id, repo_name, CAST(rank")]
+    return ctes + f""",
+ctx AS (SELECT query_id, string_agg({blocks}, chr(10) || chr(10) ORDER BY rank) AS c FROM hit JOIN chunks USING (repo_name, chunk_id) GROUP BY ALL)
+SELECT query_id, repo_name, 'answer' AS task, {_sql_str(ANSWER_HEAD)} || c || {_sql_str(ANSWER_MID)} || question || {_sql_str(ANSWER_TAIL)} AS prompt,
+       CAST(0.3 AS DOUBLE) AS temperature FROM asked JOIN ctx USING (query_id)"""
+
+
+@register("answer_prompts", _answer_sql())
+def q_answer_prompts(spark, sf_dir):
+    """T1 (+V1, K6, F3, J6): the prompt of each user turn; questions about repositories without an index get none."""
+    from ..operators import prompt, vectors
+    idx, qs, fitted = encoded_parts(spark, sf_dir)
+    known = vectors.known_repos(qs, idx)
+    return prompt.answer_prompts(vectors.search(idx, vectors.encode(known, fitted, "question"), top_k=5), known)
+
 
 def _architecture_prompt_sql():
     from ..operators.prompt import ARCH_PARTS

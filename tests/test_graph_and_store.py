@@ -3,6 +3,7 @@
 import itertools
 
 from pyspark.sql import Window
+import pytest
 from pyspark.sql import functions as F
 
 from srcatlas.operators import cycles, graph, imports, ordinals, view
@@ -75,14 +76,67 @@ def test_group_ordinals_hold_with_wide_rows_beyond_the_range_sample(spark):
     assert got.count() == 30_000 and got.select(*want.columns).exceptAll(want).isEmpty()
 
 
-def test_cosine_with_zero_vectors_agrees_in_both_paths(spark):
+def brute_search(index, queries, k):
+    import numpy as np
+    out = []
+    for qid, qr, qv in queries:
+        if None in (qid, qr, qv) or not qv or not np.isfinite(np.array(qv, float)).all():
+            continue
+        scored = []
+        for r, i, v in index:
+            if r != qr or i is None or not v or len(v) != len(qv) or not np.isfinite(np.array(v, float)).all():
+                continue
+            n = np.linalg.norm(v) * np.linalg.norm(qv)
+            scored.append((-round(float(np.dot(v, qv) / n), 9) + 0.0 if n else 0.0, i))
+        out += [(qid, r + 1, i, round(-s, 4) + 0.0) for r, (s, i) in enumerate(sorted(scored)[:k])]
+    return sorted(out)
+
+
+VECTORS = "repo_name string, chunk_id long, embedding array<float>"
+ASKED = "query_id long, repo_name string, embedding array<double>"
+
+
+def test_exact_search_in_blocks(spark):
+    import random
+    from srcatlas.operators import vectors
+    rng = random.Random(1)
+    rows = [(rng.choice(["hot"] * 5 + ["b", "c"]), i, [float(rng.randint(-4, 4)) for _ in range(3)]) for i in range(400)]
+    rows += [("hot", 500 + i, [1.0, 2.0, 3.0]) for i in range(30)] + [("b", 600, None), ("b", 601, []), ("b", 602, [1.0, float("nan"), 0.0]),
+             ("b", 603, [1.0, 2.0]), (None, 604, [1.0, 1.0, 1.0]), ("b", None, [1.0, 1.0, 1.0]), ("c", 605, [0.0, 0.0, 0.0]), ("b", 606, [None, 1.0, 1.0])]
+    asked = [(i, rng.choice(["hot", "b", "c", "unknown"]), [float(rng.randint(-3, 3)) for _ in range(3)]) for i in range(60)]
+    asked += [(100, "hot", [0.0, 0.0, 0.0]), (101, "hot", None), (102, None, [1.0, 0.0, 0.0]), (None, "hot", [1.0, 0.0, 0.0]), (103, "hot", [1.0, 2.0, 3.0])]
+    index, queries = spark.createDataFrame(rows, VECTORS), spark.createDataFrame(asked, ASKED)
+    plain = [(r, i, None if v is None or None in v else v) for r, i, v in rows]
+    for cells in (1 << 18, 60):                  # one block a repository, or very many
+        got = vectors.search(index, queries, top_k=4, block_cells=cells).select("query_id", "rank", "chunk_id", "score").collect()
+        assert sorted((r[0], r[1], r[2], r[3] + 0.0) for r in got) == brute_search(plain, asked, 4)
+    payload = vectors.search(index.withColumn("text", F.lit("t")), queries, top_k=1)
+    assert set(payload.columns) == {"query_id", "repo_name", "chunk_id", "rank", "score", "text"}
+    assert vectors.search(index.limit(0), queries).count() == 0 == vectors.search(index, queries.limit(0)).count()
+
+
+def test_approximate_search_defines_zero_and_null_vectors(spark):
     from srcatlas.operators import vectors
-    index = spark.createDataFrame([("a", i, [0.0, 0.0] if i > 1 else [1.0, float(i)]) for i in range(6)],
-                                  "repo_name string, chunk_id long, embedding array<float>")
-    queries = spark.createDataFrame([(1, "a", [1.0, 0.0])], "query_id long, repo_name string, embedding array<float>")
-    got = [sorted(map(tuple, vectors.search(index, queries, top_k=3, method=m)
-                      .select("query_id", "chunk_id", "rank", "score").collect())) for m in ("arrow", "join")]
-    assert got[0] == got[1] and [r[1:] for r in got[0]] == [(0, 1, 1.0), (1, 2, 0.7071), (2, 3, 0.0)]
+    index = spark.createDataFrame([(r, i, [1.0, float(i)]) for r in ("a", "b") for i in range(3)] + [("a", 7, [0.0, 0.0]), ("a", 8, None)], VECTORS)
+    queries = spark.createDataFrame([(1, "a", [1.0, 0.0]), (2, "a", [0.0, 0.0]), (3, "a", None), (4, "none", [1.0, 0.0])], ASKED)
+    got = vectors.search_approx(index, queries, top_k=5).collect()
+    assert {(r.query_id, r.repo_name) for r in got} == {(1, "a"), (2, "a")} and {r.chunk_id for r in got} == {0, 1, 2, 7}
+    assert {r.score for r in got if r.query_id == 2} == {0.0}
+
+
+def test_encoder_statistics_are_fitted_once(spark, tmp_path):
+    import math
+    from srcatlas.operators import vectors
+    docs = spark.createDataFrame([(1, "alpha beta beta"), (2, "Alpha, gamma"), (3, None), (4, "  ")], "i int, text string")
+    fitted = vectors.fit_encoder(docs, str(tmp_path / "enc"), dim=4096)
+    again = spark.read.parquet(str(tmp_path / "enc"))
+    assert sorted(r.df for r in again.collect()) == [1, 1, 2] and {r.n for r in again.collect()} == {4}
+    got = {r.i: [x for x in r.embedding if x] for r in vectors.encode(docs, fitted, dim=4096).collect()}
+    common, rare = math.log(5 / 3) + 1, 2 * (math.log(5 / 2) + 1)
+    norm = math.hypot(common, rare)
+    assert sorted(got[1]) == [pytest.approx(common / norm), pytest.approx(rare / norm)] and got[3] == got[4] == []
+    asked = vectors.encode(spark.createDataFrame([("never seen",)], "text string"), fitted, dim=4096).first().embedding
+    assert sorted(x for x in asked if x) == [pytest.approx(2 ** -0.5)] * 2
 
 
 def test_user_encoder_runs_and_leaves_the_input_schema_alone(spark):
@@ -92,15 +146,6 @@ def test_user_encoder_runs_and_leaves_the_input_schema_alone(spark):
     assert sorted(r.embedding[0] for r in got.collect()) == [0.0, 2.0] and df.columns == ["text"]
 
 
-def test_approximate_search_stays_in_the_repository(spark):
-    from srcatlas.operators import vectors
-    index = spark.createDataFrame([(r, i, [1.0, float(i)]) for r in ("a", "b") for i in range(3)],
-                                  "repo_name string, chunk_id long, embedding array<float>")
-    queries = spark.createDataFrame([(1, "a", [1.0, 0.0])], "query_id long, repo_name string, embedding array<float>")
-    got = vectors.search_approx(index, queries, bucket_length=4.0, threshold=2.0).collect()
-    assert got and {r.repo_name for r in got} == {"a"}
-
-
 def test_normpath(spark):
     cases = {"a/./b/../c": "a/c", "api/routes/../../core/m5": "core/m5", "./m": "m", "../x": "../x",
              "a/..": ".", "a//b/": "a/b"}

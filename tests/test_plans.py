@@ -23,10 +23,10 @@ def test_sample_filter_reaches_parquet_scan(spark, tmp_path):
     assert "PushedFilters: [IsNotNull(chunk_id), LessThan(chunk_id,15)]" in plan
 
 
-def test_vector_search_does_not_shuffle_the_index(spark):
+def test_vector_search_has_no_join_of_pairs(spark):
     emb = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
     idx = emb.select(F.col("label").cast("string").alias("repo_name"), F.col("vec_id").alias("chunk_id"), "embedding")
     qs = idx.filter("chunk_id < 5").select(F.col("chunk_id").alias("query_id"), "repo_name", "embedding")
     plan = _plan(vectors.search(idx, qs, top_k=3))
-    scan_side = plan.split("MapInPandas")[1]
-    assert "Exchange" not in scan_side.split("FileScan")[0]     # scan -> MapInPandas without a shuffle
+    assert "MapInArrow" in plan and "WindowGroupLimit" in plan       # k rows per query and block leave a task
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan

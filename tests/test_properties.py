@@ -6,18 +6,16 @@ from srcatlas.functions import lexing
 from srcatlas.operators import definitions, vectors
 
 
-def test_lsh_hits_are_exact_hits(spark):
+def test_approximate_hits_are_exact_hits(spark):
     emb = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
-    idx = emb.select(F.concat(F.lit("repo"), F.col("label").cast("string")).alias("repo_name"),
-                     F.col("vec_id").alias("chunk_id"), "embedding")
-    qs = idx.filter("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "repo_name", "embedding")
-    exact = {(r.query_id, r.chunk_id): r.score for r in vectors.search(idx, qs, top_k=50).collect()}
-    approx = vectors.search_approx(idx, qs, top_k=5, bucket_length=2.0, num_tables=3, threshold=1.5).collect()
-    assert approx
-    for r in approx:
-        assert exact[(r.query_id, r.chunk_id)] == r.score
-    jvm = {(r.query_id, r.chunk_id): r.score for r in vectors.search(idx, qs, top_k=50, method="join").collect()}
-    assert jvm == exact
+    idx = emb.select(F.lit("r").alias("repo_name"), F.col("vec_id").alias("chunk_id"), "embedding")
+    qs = idx.filter("chunk_id % 10 = 0").select(F.col("chunk_id").alias("query_id"), "repo_name", "embedding")
+    exact = vectors.search(idx, qs, top_k=500)
+    scores = {(r.query_id, r.chunk_id): r.score for r in exact.collect()}
+    approx = vectors.search_approx(idx, qs, top_k=5, tables=12, probes=4, bucket_rows=32)
+    for r in approx.collect():
+        assert scores[(r.query_id, r.chunk_id)] == r.score
+    assert vectors.recall(approx, exact.filter("rank <= 5")).first().recall >= 0.9
 
 
 def _spans(code):
