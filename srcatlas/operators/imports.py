@@ -12,7 +12,7 @@ by a semi-join on the distinct import keys, and hash-joined on ``(repo, suffix)`
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexing
@@ -89,13 +89,17 @@ def resolve_python_imports(imports: DataFrame, files: DataFrame, segment_aligned
         starts = F.transform(pos, lambda i: F.substring("path", i, 1 << 20))
     suffixes = (paths.select("repo_name", "path", F.explode(starts).alias("suffix"))
                 .join(keys.select("repo_name", "suffix"), ["repo_name", "suffix"], "left_semi"))
-    per_module = keys.join(suffixes, ["repo_name", "suffix"])
-    cand = imp.join(per_module, ["repo_name", "_m"])
-    w = Window.partitionBy("repo_name", "src", "import_path").orderBy(
-        "is_pkg", F.when(_dirname(F.col("path")) == _dirname(F.col("src")), 0).otherwise(1),
-        F.length("path"), "path")
-    return (cand.withColumn("_r", F.row_number().over(w)).filter("_r = 1")
-            .select("repo_name", "src", "import_path", F.col("path").alias("dst")))
+    found = keys.join(suffixes, ["repo_name", "suffix"]).select(
+        "repo_name", "_m", _dirname(F.col("path")).alias("dir"), F.struct("is_pkg", F.length("path").alias("n"), "path").alias("c"))
+    # A module's candidates are ranked once, in all and per directory, before its importers come: importers times
+    # candidates never meet.  A file in the importer's directory wins only among files of the best kind.
+    per_dir = found.groupBy("repo_name", "_m", "dir").agg(F.min("c").alias("near"))
+    best = per_dir.groupBy("repo_name", "_m").agg(F.min("near").alias("best"))
+    near = per_dir.select("repo_name", "_m", F.col("dir").alias("src_dir"), "near")
+    hit = (imp.withColumn("src_dir", _dirname(F.col("src"))).join(best, ["repo_name", "_m"])
+           .join(near, ["repo_name", "_m", "src_dir"], "left"))
+    here = F.col("near.is_pkg") == F.col("best.is_pkg")
+    return hit.select("repo_name", "src", "import_path", F.when(here, F.col("near.path")).otherwise(F.col("best.path")).alias("dst"))
 
 
 def normpath(path: Column) -> Column:

@@ -216,15 +216,20 @@ GRAPH_SQL = f"""
 WITH {S.selected_cte()}, {S.graph_cte()}"""
 
 
+def import_parts(spark, sf_dir):
+    """(files, imports) of the code corpus, both thin and written once: several branches read them."""
+    from ..operators import imports
+    from ..session import materialize
+    sources = selected(spark, sf_dir)
+    return (materialize(sources.select("repo_name", "rel_path", "language", "size"), "files"),
+            materialize(imports.extract_imports(sources), "imports"))
+
+
 def graph_parts(spark, sf_dir):
     """(files, imports, resolved, nodes, edges) of the code corpus; files without their contents."""
     from ..operators import graph, imports
-    # imports, file list and edges are thin and feed several branches (degrees, top lists, cycles):
-    # written once to the checkpoint folder instead of re-deriving them per branch
     from ..session import materialize
-    sources = selected(spark, sf_dir)
-    imps = materialize(imports.extract_imports(sources), "imports")
-    files = materialize(sources.select("repo_name", "rel_path", "language", "size"), "files")
+    files, imps = import_parts(spark, sf_dir)
     res = imports.resolve_imports(imps, files)
     return files, imps, res, graph.graph_nodes(files), materialize(graph.graph_edges(res, imps), "edges")
 
@@ -249,7 +254,9 @@ def q_import_counts(spark, sf_dir):
 SELECT repo_name, src, import_path, dst FROM resolved""")
 def q_resolved_imports(spark, sf_dir):
     """J1 + J2: unaligned suffix join (Python) and candidate join (JS/TS)."""
-    return graph_parts(spark, sf_dir)[2]
+    from ..operators import imports
+    files, imps = import_parts(spark, sf_dir)
+    return imports.resolve_imports(imps, files)
 
 
 @register("unresolved_imports", GRAPH_SQL + """
@@ -261,8 +268,8 @@ FROM imports i WHERE NOT EXISTS (SELECT 1 FROM resolved r WHERE r.repo_name = i.
 def q_unresolved_imports(spark, sf_dir):
     """Import occurrences without a target file."""
     from ..operators import imports
-    _, imps, res, _, _ = graph_parts(spark, sf_dir)
-    return imports.unresolved_imports(imps, res)
+    files, imps = import_parts(spark, sf_dir)
+    return imports.unresolved_imports(imps, imports.resolve_imports(imps, files))
 
 
 @register("graph_edges", GRAPH_SQL + """
@@ -733,8 +740,8 @@ SELECT repo_name, src, import_path, path AS dst FROM (
 def q_resolved_imports_aligned(spark, sf_dir):
     """J1 with ``segment_aligned=True``: only whole path segments match (``os`` no longer hits ``videos.py``)."""
     from ..operators import imports
-    files = selected(spark, sf_dir)
-    return imports.resolve_python_imports(imports.extract_imports(files), files, segment_aligned=True)
+    files, imps = import_parts(spark, sf_dir)
+    return imports.resolve_python_imports(imps, files, segment_aligned=True)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -203,3 +203,19 @@ def test_listing_finds_cycles_of_any_length(spark):
     got = [tuple(r) for r in cycles.show_cycles(cycles.first_cycles(e), 5).orderBy("repo_name", "rank").collect()]
     every = [tuple(r) for r in cycles.show_cycles(cycles.cycles(e, max_len=12), 5).orderBy("repo_name", "rank").collect()]
     assert got == every and [g[:2] for g in got] == [("both", 1), ("both", 2)] + [("full", k) for k in range(1, 6)] + [("ring", 1)]
+
+
+def test_hot_module_is_ranked_before_its_importers(spark):
+    import time
+    n, m = 10_000, 1_000
+    files = spark.createDataFrame([("r", f"d{i}/utils.py") for i in range(m)] + [("r", "p/other/__init__.py"), ("r", "other.js")],
+                                  "repo_name string, rel_path string")
+    imps = spark.createDataFrame([("r", f"d{i % (2 * m)}/f{i}.py", "python", "utils") for i in range(n)] + [("r", "x.py", "python", "other")],
+                                 "repo_name string, src string, language string, import_path string")
+    started = time.time()
+    got = {r.src: r.dst for r in imports.resolve_python_imports(imps, files).collect()}
+    assert len(got) == n + 1 and got["x.py"] == "p/other/__init__.py"
+    for i in (0, 7, 999, 1000, 1999, 9999):
+        d = i % (2 * m)
+        assert got[f"d{d}/f{i}.py"] == (f"d{d}/utils.py" if d < m else "d0/utils.py")
+    assert time.time() - started < 60
