@@ -10,10 +10,10 @@ from ..sources import store
 from ..session import ensure_checkpoint_dir, materialize
 
 
-def graph_stats(nodes: DataFrame, edges: DataFrame, max_len: int = 8, scc: DataFrame | None = None) -> DataFrame:
+def graph_stats(nodes: DataFrame, edges: DataFrame, budget: int = cycles.BUDGET, scc: DataFrame | None = None) -> DataFrame:
     """``nodes, edges, cycles, cycles_complete, most_depended_on`` per repository."""
     size = graph.graph_size(nodes, edges)
-    counts = cycles.cycle_counts(edges, nodes, max_len, scc=scc)
+    counts = cycles.cycle_counts(edges, nodes, budget, scc=scc)
     top = graph.most_depended_on(graph.degrees(nodes, edges), 5, positive=True)
     md = top.groupBy("repo_name").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "file", "imported_by"))),
                                                   lambda x: F.struct(x["file"].alias("file"),
@@ -34,7 +34,7 @@ def result_counts(files: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def index_repositories(files: DataFrame, out: str, responder, encoder=None, max_files: int | None = None,
-                       max_chunks: int | None = None, max_len: int = 8,
+                       max_chunks: int | None = None, cycle_budget: int = cycles.BUDGET,
                        max_packed: int | None = graph.MAX_PACKED_ITEMS) -> DataFrame:
     """Select → chunk → admit → embed → write index; graph → stats/context → prompt →
     model → summary/diagram → metadata upsert.  Returns one status row per repository.
@@ -58,7 +58,7 @@ def index_repositories(files: DataFrame, out: str, responder, encoder=None, max_
     edges = materialize(edges, "edges")
     store.write_chunk_index(nodes, f"{out}/graph_nodes")      # long form, any repository size
     store.write_chunk_index(edges, f"{out}/graph_edges")
-    stats = graph_stats(nodes, edges, max_len)
+    stats = graph_stats(nodes, edges, cycle_budget)
     ctx = graph.architecture_context(nodes, edges)
     # a refused repository costs no model call and gets no metadata
     ctx = ctx.join(admission.filter("status = 'success'").select("repo_name"), "repo_name", "left_semi")
@@ -110,6 +110,19 @@ def review(index: DataFrame, responder, limit: int = 15, max_findings: int | Non
     return found
 
 
+def review_totals(index: DataFrame, found: DataFrame, repos: DataFrame) -> DataFrame:
+    """``repo_name, status, total`` of every requested repository, also of those without findings.
+
+    Repositories that are not indexed have status ``not indexed``; the others ``success``, with 0 where the
+    review found nothing.
+    """
+    known = index.select("repo_name").distinct().withColumn("_known", F.lit(True))
+    counts = found.groupBy("repo_name").agg(F.count(F.lit(1)).alias("total"))
+    return (repos.select("repo_name").distinct().join(known, "repo_name", "left").join(counts, "repo_name", "left")
+            .select("repo_name", F.when(F.col("_known"), "success").otherwise("not indexed").alias("status"),
+                    F.when(F.col("_known"), F.coalesce("total", F.lit(0))).otherwise(0).cast("bigint").alias("total")))
+
+
 def architecture_of(metadata: DataFrame, repos: DataFrame) -> DataFrame:
     """Stored summary and diagram, or a ``missing`` status (never regenerated)."""
     return store.read_through(repos, metadata).select("repo_name", "status", "summary", "mermaid")

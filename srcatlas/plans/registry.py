@@ -364,22 +364,17 @@ reach AS (SELECT * FROM (WITH RECURSIVE r(repo_name, a, b) AS (
           SELECT * FROM r)),
 cyc_nodes AS (SELECT DISTINCT repo_name, a AS node FROM reach WHERE a = b)"""
 
-def paths_sql(most: str = "AND p.len < 8") -> str:
-    """CTEs of the cycles of at most 8 files, or of any length with an empty condition."""
-    return REACH_SQL + """,
+PATHS_SQL = REACH_SQL + """,
 ce AS (SELECT e.repo_name, e.src, e.dst FROM edges e
        JOIN reach r1 ON r1.repo_name = e.repo_name AND r1.a = e.dst AND r1.b = e.src),
 paths AS (SELECT * FROM (WITH RECURSIVE p(repo_name, start, last, path, len) AS (
             SELECT repo_name, src, dst, [src, dst], 2 FROM ce WHERE dst > src
             UNION ALL SELECT p.repo_name, p.start, c.dst, list_append(p.path, c.dst), p.len + 1
             FROM p JOIN ce c ON c.repo_name = p.repo_name AND c.src = p.last
-            WHERE c.dst > p.start AND NOT list_contains(p.path, c.dst) MOST)
+            WHERE c.dst > p.start AND NOT list_contains(p.path, c.dst))
           SELECT * FROM p)),
 cyc AS (SELECT p.repo_name, p.path, CAST(p.len AS INTEGER) AS length FROM paths p
-        JOIN ce c ON c.repo_name = p.repo_name AND c.src = p.last AND c.dst = p.start)""".replace("MOST", most)
-
-
-PATHS_SQL = paths_sql()
+        JOIN ce c ON c.repo_name = p.repo_name AND c.src = p.last AND c.dst = p.start)"""
 
 
 def cycle_inputs(spark, sf_dir):
@@ -397,15 +392,15 @@ def q_cycle_nodes(spark, sf_dir):
 
 
 @register("cycles", PATHS_SQL + """
-SELECT repo_name, path, length FROM cyc""")
+SELECT repo_name, path, length, true AS complete FROM cyc""")
 def q_cycles(spark, sf_dir):
-    """Elementary cycles of length <= 8, each rooted at its smallest file."""
+    """Elementary cycles, each from its smallest file on, and whether the search was whole (its SQL has no budget)."""
     from ..operators import cycles
     _, edges, scc = cycle_inputs(spark, sf_dir)
-    return cycles.cycles(edges, scc, max_len=8)
+    return cycles.cycles(edges, scc)
 
 
-@register("cycle_listing", paths_sql("") + """
+@register("cycle_listing", PATHS_SQL + """
 SELECT repo_name, rank, cycle FROM (
   SELECT repo_name, CAST(row_number() OVER (PARTITION BY repo_name ORDER BY length, array_to_string(path, chr(1))) AS INTEGER) AS rank,
          array_to_string(path, ' → ') || ' → ' || path[1] AS cycle FROM cyc) WHERE rank <= 5""")
@@ -417,19 +412,17 @@ def q_cycle_listing(spark, sf_dir):
 
 
 @register("graph_stats", PATHS_SQL + """,
-open_paths AS (SELECT DISTINCT p.repo_name FROM paths p JOIN ce c ON c.repo_name = p.repo_name AND c.src = p.last
-               WHERE p.len = 8 AND c.dst > p.start AND NOT list_contains(p.path, c.dst)),
 md AS (SELECT repo_name, list({'file': node, 'imported_by': in_degree} ORDER BY rank) AS l FROM (
          SELECT *, row_number() OVER (PARTITION BY repo_name ORDER BY in_degree DESC, node) AS rank
          FROM deg WHERE in_degree > 0) WHERE rank <= 5 GROUP BY ALL)
 SELECT n.repo_name, n.c AS nodes, coalesce(e.c, 0) AS edges, coalesce(k.c, 0) AS cycles,
-       o.repo_name IS NULL AS cycles_complete, coalesce(md.l, []) AS most_depended_on
+       true AS cycles_complete, coalesce(md.l, []) AS most_depended_on
 FROM (SELECT repo_name, count(*) AS c FROM nodes GROUP BY ALL) n
 LEFT JOIN (SELECT repo_name, count(*) AS c FROM edges GROUP BY ALL) e USING (repo_name)
 LEFT JOIN (SELECT repo_name, count(*) AS c FROM cyc GROUP BY ALL) k USING (repo_name)
-LEFT JOIN open_paths o USING (repo_name) LEFT JOIN md USING (repo_name)""")
+LEFT JOIN md USING (repo_name)""")
 def q_graph_stats(spark, sf_dir):
-    """Nodes, edges, cycles (<= 8, with completeness) and the top-5 most depended on."""
+    """Nodes, edges, cycles (with completeness) and the top-5 most depended on."""
     from ..plans import jobs
     nodes, edges, scc = cycle_inputs(spark, sf_dir)
     return jobs.graph_stats(nodes, edges, scc=scc)
@@ -744,6 +737,188 @@ def q_resolved_imports_aligned(spark, sf_dir):
     return imports.resolve_python_imports(imps, files, segment_aligned=True)
 
 
+# ------------------------------------------------------------- replies, lookups and round trips
+def _job_folder(spark) -> str:
+    """A fresh folder in the shared checkpoint folder, for tables that a query writes and reads back."""
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/srcatlas-store-{uuid.uuid4().hex}"
+
+
+@register("file_cap_100", f"""
+WITH {S.selected_cte()}
+SELECT repo_name, rel_path, language FROM (
+  SELECT *, row_number() OVER (PARTITION BY repo_name ORDER BY rel_path) AS rn FROM sel) WHERE rn <= 100""")
+def q_file_cap_100(spark, sf_dir):
+    """P7 with a cap of 100 files: repositories above and below it."""
+    return select.select_sources(code_corpus(spark, sf_dir), max_files=100).select("repo_name", "rel_path", "language")
+
+
+@register("normalized_paths", f"""
+WITH {S.corpus_cte()}
+SELECT repo_name, rel_path AS path FROM code_corpus""")
+def q_normalized_paths(spark, sf_dir):
+    """Paths that came with backslashes read like the others."""
+    from ..functions.paths import normalize_path
+    paths = code_corpus(spark, sf_dir).select("repo_name", F.translate("rel_path", "/", "\\").alias("given"))
+    return paths.select("repo_name", normalize_path("given").alias("path"))
+
+
+REPO_URL_SQL = """concat(CASE page_id % 6 WHEN 0 THEN 'http' ELSE 'https' END, '://', CASE page_id % 7 WHEN 0 THEN 'gitlab.com' ELSE 'github.com' END, '/o',
+  CAST(page_id % 9 AS VARCHAR(20)), CASE page_id % 11 WHEN 0 THEN '' ELSE concat('/r-', CAST(page_id AS VARCHAR(20))) END,
+  CASE page_id % 4 WHEN 1 THEN '.git' WHEN 2 THEN '/' WHEN 3 THEN '.git/' ELSE '' END)"""
+
+
+@register("repo_urls", f"""
+WITH u AS (SELECT page_id, url FROM pages UNION ALL SELECT page_id, {REPO_URL_SQL} FROM pages),
+c AS (SELECT page_id, url, regexp_replace(regexp_replace(url, '/+$', ''), '\\.git$', '') AS c FROM u)
+SELECT page_id, url, regexp_full_match(c, 'https?://github\\.com/[\\p{{L}}\\p{{N}}_.\\-]+/[\\p{{L}}\\p{{N}}_.\\-]+/?') AS is_repo, split_part(c, '/', -1) AS repo
+FROM c""")
+def q_repo_urls(spark, sf_dir):
+    """P10 + P11: the urls of ``pages``, and repository urls made with their numbers, judged and named."""
+    from ..functions.paths import is_repo_url, repo_of_url
+    from ..sources.corpus import table
+    pages = table(spark, sf_dir, "pages")
+    urls = pages.select("page_id", "url").unionByName(pages.select("page_id", F.expr(REPO_URL_SQL).alias("url")))
+    return urls.select("page_id", "url", is_repo_url("url").alias("is_repo"), repo_of_url("url").alias("repo"))
+
+
+# replies made from the documents' numbers: every shape that the parser tells apart
+REPLY_SQL = """CASE doc_id % 8
+  WHEN 0 THEN '[]'
+  WHEN 1 THEN concat('Here: [{"file":"a', k, '.py","line":"', k, '","severity":"high","issue":"i","suggestion":"s"}] done')
+  WHEN 2 THEN concat('[{"line":', k, '.7},{"line":null},{"line":"x"},5,{"file":null},{"line":true,"issue":"', k, '"}]')
+  WHEN 3 THEN '{"file":"a.py"}'
+  WHEN 4 THEN '[LLM Error] x'
+  WHEN 5 THEN concat('[{"file":"first","file":"last', k, '","line":30', k, '00000000}]')
+  WHEN 6 THEN concat('[{"file":"a"}, {"broken": ', k, ' ]')
+  ELSE concat('no array, only text ', k) END"""
+REPLY_REPO_SQL = "concat('repo', CAST(doc_id % 5 AS VARCHAR(20)))"
+FINDINGS_SQL = f"""
+WITH d AS (SELECT doc_id, {REPLY_REPO_SQL} AS repo_name, CAST(doc_id AS VARCHAR) AS k FROM documents),
+f AS (SELECT doc_id, repo_name, 0 AS pos, 'a' || k || '.py' AS file, doc_id AS line, 'high' AS severity, 'i' AS issue, 's' AS suggestion FROM d WHERE doc_id % 8 = 1
+      UNION ALL SELECT doc_id, repo_name, 0, 'unknown', doc_id, 'low', '', '' FROM d WHERE doc_id % 8 = 2
+      UNION ALL SELECT doc_id, repo_name, 4, 'None', 0, 'low', '', '' FROM d WHERE doc_id % 8 = 2
+      UNION ALL SELECT doc_id, repo_name, 5, 'unknown', 1, 'low', k, '' FROM d WHERE doc_id % 8 = 2
+      UNION ALL SELECT doc_id, repo_name, 0, 'last' || k, CAST('30' || k || '00000000' AS BIGINT), 'low', '', '' FROM d WHERE doc_id % 8 = 5)"""
+
+
+def review_replies(spark, sf_dir):
+    from ..sources.corpus import table
+    docs = table(spark, sf_dir, "documents").withColumn("k", F.col("doc_id").cast("string"))
+    return docs.select(F.col("doc_id").alias("request_id"), F.expr(REPLY_REPO_SQL).alias("repo_name"), F.expr(REPLY_SQL).alias("reply"))
+
+
+@register("review_findings", FINDINGS_SQL + """
+SELECT repo_name, doc_id AS request_id, pos, file, line, severity, issue, suggestion FROM f""")
+def q_review_findings(spark, sf_dir):
+    """F10 + F11: typed findings of one reply per document."""
+    from ..operators import replies
+    return replies.findings(review_replies(spark, sf_dir))
+
+
+@register("review_totals", FINDINGS_SQL + f""",
+{S.selected_cte()}, {REQ_SQL}
+SELECT req.repo_name, CASE WHEN n.repo_name IS NULL THEN 'not indexed' ELSE 'success' END AS status,
+       CASE WHEN n.repo_name IS NULL THEN 0 ELSE (SELECT count(*) FROM f WHERE f.repo_name = req.repo_name) END AS total
+FROM req LEFT JOIN (SELECT DISTINCT repo_name FROM sel) n USING (repo_name)""")
+def q_review_totals(spark, sf_dir):
+    """E3 + G12: findings of every requested repository, with a row for those without any and for unknown ones."""
+    from ..operators import replies
+    from . import jobs
+    return jobs.review_totals(selected(spark, sf_dir), replies.findings(review_replies(spark, sf_dir)), requested_repos(spark, sf_dir))
+
+
+ARCH_REPLY_SQL = """CASE doc_id % 5
+  WHEN 0 THEN concat('SUMMARY: s', k, nl, fence, 'mermaid', nl, 'flowchart TD', nl, 'A', k, '-->B', nl, fence, ' and more')
+  WHEN 1 THEN concat('  only text ', k, ' ')
+  WHEN 2 THEN concat('t', k, ' ', fence, 'mermaid', nl, 'A-->B')
+  WHEN 3 THEN concat('[LLM Error] ', k)
+  ELSE concat(fence, 'mermaid', nl, fence, ' after ', k) END"""
+
+
+def _architecture_replies_sql():
+    from ..operators.replies import FAILED_DIAGRAM, FAILED_SUMMARY, MISSING_DIAGRAM
+    return f"""
+WITH d AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS k FROM documents)
+SELECT doc_id AS request_id, doc_id % 5 <> 3 AS saved,
+  CASE doc_id % 5 WHEN 0 THEN 'SUMMARY: s' || k WHEN 1 THEN 'only text ' || k WHEN 2 THEN 't' || k WHEN 3 THEN {_sql_str(FAILED_SUMMARY)} ELSE '' END AS summary,
+  CASE doc_id % 5 WHEN 0 THEN 'flowchart TD' || chr(10) || 'A' || k || '-->B' WHEN 3 THEN {_sql_str(FAILED_DIAGRAM)} ELSE {_sql_str(MISSING_DIAGRAM)} END AS mermaid
+FROM d"""
+
+
+def architecture_replies(spark, sf_dir):
+    from ..operators import replies
+    from ..sources.corpus import table
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("k"), F.lit("\n").alias("nl"), F.lit("`" * 3).alias("fence"))
+    return replies.architecture_results(docs.select(F.col("doc_id").alias("request_id"), F.expr(ARCH_REPLY_SQL).alias("reply")))
+
+
+@register("architecture_replies", _architecture_replies_sql())
+def q_architecture_replies(spark, sf_dir):
+    """F8 + F9: summary and diagram of one reply per document, with the fallbacks."""
+    return architecture_replies(spark, sf_dir).select("request_id", "saved", "summary", "mermaid")
+
+
+@register("metadata_round_trip", """
+WITH d AS (SELECT concat('doc', CAST(doc_id % 50 AS VARCHAR)) AS repo_name, doc_id FROM documents),
+l AS (SELECT repo_name, max(doc_id) AS doc_id FROM d GROUP BY ALL),
+req AS (SELECT DISTINCT concat('doc', CAST(doc_id % 60 AS VARCHAR)) AS repo_name FROM documents)
+SELECT req.repo_name, CASE WHEN l.repo_name IS NULL THEN 'missing' ELSE 'success' END AS status, 'v' || doc_id AS summary,
+       CASE WHEN l.repo_name IS NULL THEN NULL ELSE md5(l.repo_name) END AS metadata_id
+FROM req LEFT JOIN l USING (repo_name)""")
+def q_metadata_round_trip(spark, sf_dir):
+    """S8 + S9 + J9 + E4 + F13: two batches of updates, the later row of a repository stays; read-through of more repositories."""
+    from ..sources import store
+    from ..sources.corpus import table
+    docs = table(spark, sf_dir, "documents")
+    path = _job_folder(spark)
+    rows = docs.select("doc_id", F.concat(F.lit("doc"), (F.col("doc_id") % 50).cast("string")).alias("repo_name"),
+                       F.concat(F.lit("v"), F.col("doc_id").cast("string")).alias("summary"))
+    middle = rows.agg(F.expr("percentile_approx(doc_id, 0.5)")).first()[0] or 0
+    store.upsert_metadata(spark, path, rows.filter(F.col("doc_id") <= middle), order="doc_id")
+    later = rows.filter(F.col("doc_id") > middle)
+    if not later.isEmpty():
+        store.upsert_metadata(spark, path, later, order="doc_id")
+    asked = docs.select(F.concat(F.lit("doc"), (F.col("doc_id") % 60).cast("string")).alias("repo_name")).distinct()
+    return (store.read_through(asked, store.read_chunk_index(spark, path))
+            .select("repo_name", "status", "summary", "metadata_id"))
+
+
+@register("index_round_trip", f"""
+WITH {S.selected_cte()}
+SELECT repo_name, rel_path, CASE WHEN repo_name = 'repo1' THEN 'second' ELSE 'first' END AS version FROM sel
+WHERE repo_name <> 'repo1' OR language = 'python'""")
+def q_index_round_trip(spark, sf_dir):
+    """A second write replaces all rows of its repository and leaves the others."""
+    from ..sources import store
+    files = selected(spark, sf_dir).select("repo_name", "rel_path", "language")
+    path = _job_folder(spark)
+    store.write_chunk_index(files.withColumn("version", F.lit("first")), path)
+    store.write_chunk_index(files.filter("repo_name = 'repo1' and language = 'python'").withColumn("version", F.lit("second")), path)
+    return store.read_chunk_index(spark, path).select("repo_name", "rel_path", "version")
+
+
+@register("graph_round_trip", GRAPH_SQL + """
+SELECT repo_name, src, dst, CAST(row_number() OVER (PARTITION BY repo_name ORDER BY src, first_ord, dst) - 1 AS BIGINT) AS place FROM edges""")
+def q_graph_round_trip(spark, sf_dir):
+    """S10 + S11: edges after packing the graph and unpacking it again, in stored order."""
+    from ..operators import graph
+    _, _, _, nodes, edges = graph_parts(spark, sf_dir)
+    return graph.unpack_graph(graph.pack_graph(nodes, edges))[1].select("repo_name", "src", "dst", F.col("first_ord").alias("place"))
+
+
+@register("result_counts", CHUNKS_SQL + """
+SELECT f.repo_name, files_indexed, coalesce(chunks_stored, 0) AS chunks_stored
+FROM (SELECT repo_name, count(*) AS files_indexed FROM sel GROUP BY ALL) f
+LEFT JOIN (SELECT repo_name, count(*) AS chunks_stored FROM chunks GROUP BY ALL) c USING (repo_name)""")
+def q_result_counts(spark, sf_dir):
+    """Files indexed and chunks stored per repository."""
+    from . import jobs
+    files = selected(spark, sf_dir)
+    return jobs.result_counts(files, chunk.chunk_files(files))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -125,3 +125,11 @@ def test_findings_keep_the_last_of_repeated_keys(spark):
     df = spark.createDataFrame([(1, "r", '[{"file": "a", "file": "b", "line": 2}]')],
                                "request_id long, repo_name string, reply string")
     assert [(r.file, r.line) for r in replies.findings(df).collect()] == [("b", 2)]
+
+
+def test_findings_keep_every_integer_line(spark):
+    lines = ["99999999999", "3000000000", '"1_0"', '" 7 "', "true", "1e3", "-5", '"3.5"', "NaN", "1e999", "[1]", "1" + "0" * 30]
+    reply = "[" + ", ".join(f'{{"line": {x}, "issue": "{i}"}}' for i, x in enumerate(lines)) + "]"
+    df = spark.createDataFrame([(1, "r", reply), (2, "r", None), (3, "r", "]["), (4, "r", "[{]")], "request_id long, repo_name string, reply string")
+    got = {int(r.issue): r.line for r in replies.findings(df).collect()}
+    assert got == {0: 99999999999, 1: 3000000000, 2: 10, 3: 7, 4: 1, 5: 1000, 6: -5, 11: 2 ** 63 - 1}

@@ -201,7 +201,7 @@ def test_listing_finds_cycles_of_any_length(spark):
     both = [("both", "a", "b"), ("both", "b", "a")] + [("both", f"x{i}", f"x{(i + 1) % 9}") for i in range(9)]
     e = spark.createDataFrame(ring + full + both, "repo_name string, src string, dst string")
     got = [tuple(r) for r in cycles.show_cycles(cycles.first_cycles(e), 5).orderBy("repo_name", "rank").collect()]
-    every = [tuple(r) for r in cycles.show_cycles(cycles.cycles(e, max_len=12), 5).orderBy("repo_name", "rank").collect()]
+    every = [tuple(r) for r in cycles.show_cycles(cycles.cycles(e), 5).orderBy("repo_name", "rank").collect()]
     assert got == every and [g[:2] for g in got] == [("both", 1), ("both", 2)] + [("full", k) for k in range(1, 6)] + [("ring", 1)]
 
 
@@ -219,3 +219,50 @@ def test_hot_module_is_ranked_before_its_importers(spark):
         d = i % (2 * m)
         assert got[f"d{d}/f{i}.py"] == (f"d{d}/utils.py" if d < m else "d0/utils.py")
     assert time.time() - started < 60
+
+
+def brute_cycles(n, edges):
+    following = {v: [b for a, b in edges if a == v] for v in range(n)}
+    out = []
+
+    def walk(path):
+        for w in following[path[-1]]:
+            if w == path[0]:
+                out.append(path)
+            elif w > path[0] and w not in path:
+                walk([*path, w])
+
+    for v in range(n):
+        walk([v])
+    return sorted(out)
+
+
+def test_elementary_cycles_against_brute_force():
+    import random
+    from srcatlas.operators import cycles
+    rng = random.Random(3)
+    for _ in range(400):
+        n = rng.randint(1, 9)
+        edges = sorted({(a, b) for a, b in ((rng.randrange(n), rng.randrange(n)) for _ in range(rng.randint(0, 24))) if a != b})
+        following = [[b for a, b in edges if a == v] for v in range(n)]
+        found, whole = cycles.elementary_cycles(following, 10 ** 6)
+        assert whole and sorted(found) == brute_cycles(n, edges)
+    ring = [[(i + 1) % 12] for i in range(12)]
+    assert cycles.elementary_cycles(ring, 10 ** 6) == ([list(range(12))], True)
+    full = [[j for j in range(14) if j != i] for i in range(14)]
+    found, whole = cycles.elementary_cycles(full, 5_000)
+    assert not whole and 100 < len(found) <= 5_000
+
+
+def test_cycles_carry_whether_they_are_all(spark):
+    from srcatlas.operators import cycles
+    ring = [("ring", f"f{i:02}", f"f{(i + 1) % 12:02}") for i in range(12)]
+    full = [("full", f"g{i}", f"g{j}") for i in range(6) for j in range(6) if i != j]
+    edges = spark.createDataFrame(ring + full, "repo_name string, src string, dst string")
+    got = {r.repo_name: (r["n"], r.longest, r.whole) for r in cycles.cycles(edges).groupBy("repo_name").agg(
+        F.count("*").alias("n"), F.max("length").alias("longest"), F.every("complete").alias("whole")).collect()}
+    assert got == {"ring": (1, 12, True), "full": (409, 6, True)}
+    short = {r.repo_name: r.whole for r in cycles.cycles(edges, budget=200).groupBy("repo_name").agg(F.every("complete").alias("whole")).collect()}
+    assert short == {"ring": True, "full": False}
+    level = cycles.cycles(edges, local_edge_limit=0, max_len=6).groupBy("repo_name").agg(F.count("*").alias("n"), F.every("complete").alias("whole"))
+    assert {r.repo_name: (r["n"], r.whole) for r in level.collect()} == {"full": (409, True)}
