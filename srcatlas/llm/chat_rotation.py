@@ -13,7 +13,8 @@ conversation part carries the sums across partitions.
 Defined results: null and empty roles are one speaker named ``unknown``; a null text is empty; a null
 conversation id is a conversation of its own; null turns come first, equal turns are ordered by role, then
 text; repeated rows are rendered each time; conversations of context turns alone, like empty tables, give
-no rows; the markers' first two characters are broken up inside names and texts, so no text forges a marker.
+no rows; the markers' first two characters are broken up inside names and texts, and
+line ends in names become spaces, so no text forges a marker or a turn.
 """
 
 from __future__ import annotations
@@ -26,12 +27,18 @@ from ..session import materialize
 CONTEXT = ("system",)
 START, END = "<|im_start|>", "<|im_end|>\n"
 UNKNOWN = "unknown"
+LINE_END = r"[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
 def _safe(c):
     return F.replace(c, F.lit("<|"), F.lit("< |"))
 
 
+def _name(c):
+    """A name on one line: a line end in it would put the rest into the turn's text."""
+    return F.regexp_replace(_safe(c), LINE_END, " ")
+
+
 def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
            text_col: str = "text", context: tuple[str, ...] = CONTEXT) -> DataFrame:
     """conv_id, perspective, turn, speaker, position (from 1), segment, seg_start, seg_end, mask_start, mask_end.
@@ -47,7 +54,7 @@ def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     is_self = F.col("speaker") == F.col("perspective")
     head = (F.when(F.col("speaker").isin(*context), F.concat(F.lit(START), F.col("speaker"), F.lit("\n")))
             .when(is_self, F.lit(START + "assistant\n"))
-            .otherwise(F.concat(F.lit(START + "user name="), _safe(F.col("speaker")), F.lit("\n"))))
+            .otherwise(F.concat(F.lit(START + "user name="), _name(F.col("speaker")), F.lit("\n"))))
     views = (rows.join(people, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
              .withColumn("head", head).withColumn("segment", F.concat("head", _safe(F.col("text")), F.lit(END)))
              .withColumn("size", F.length("segment").cast("long")))

@@ -29,7 +29,14 @@ BLOCK_LEVEL = ENDS["p"] | frozenset("body li dt dd tr td th tbody thead tfoot ca
 #: Elements that do not nest in themselves.
 FLAT = frozenset("button select option datalist".split())
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+#: Other elements that break the line; an element in none of these lists stands inside a line, as in browsers.
+BLOCKS = BLOCK_LEVEL | frozenset("html head body hgroup menu dialog legend dir listing xmp plaintext figcaption frameset "
+                                 "noframes search colgroup template title".split())
+
+# A quote opens a value only behind an equals sign; a value without quotes ends at white space or the tag's end.
+# Every alternative takes what it can and gives nothing back, and a tag without an end takes the rest of the page,
+# so a page is read once.
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^>\s"'][^>\s]*+)?+)*+)(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
@@ -63,7 +70,10 @@ def closed(page: str, tag: str) -> set[int]:
 
 
 def blocks(page: str) -> list[Block]:
-    """The page's leaf blocks in order; text between two block-level tags is one block."""
+    """The page's leaf blocks in order; text between two block-level tags is one block.
+
+    Inline, void and unknown elements, and silent ones inside a line (buttons, images, scripts), break no block.
+    """
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
@@ -88,9 +98,10 @@ def blocks(page: str) -> list[Block]:
             if links:
                 link_chars += len(text.strip())
 
-    def close(depth: int) -> None:
+    def close(depth: int, inside_line: bool = False) -> None:
         nonlocal silent
-        flush()
+        if not inside_line:
+            flush()
         while len(stack) > depth:
             silent -= stack.pop()[0] in SILENT
             lax.discard(len(stack))
@@ -117,17 +128,21 @@ def blocks(page: str) -> list[Block]:
         if tag == "br":
             say(" ")
             continue
+        if tag in VOID and tag != "hr" or tag not in BLOCKS and tag not in SILENT and tag != "hr":
+            continue
+        inside_line = tag not in BLOCKS and tag != "hr"
         if m[1]:
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if depth is None:
+            if depth is not None:
+                close(depth, inside_line)
+            elif not inside_line:
                 flush()
-            else:
-                close(depth)
             continue
-        flush()
+        if not inside_line:
+            flush()
         while stack and (tag in ENDS.get(stack[-1][0], ()) or tag in BLOCK_LEVEL and len(stack) - 1 in lax):
-            close(len(stack) - 1)
-        if tag in VOID or m[3].endswith("/") and tag not in RAW:
+            close(len(stack) - 1, inside_line)
+        if tag == "hr" or m[3].endswith("/") and tag not in RAW:
             continue
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)

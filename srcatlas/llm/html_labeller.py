@@ -294,9 +294,12 @@ def training_set(pages: list[str], variants: int = VARIANTS, seed: int = 7):
     rng = random.Random(seed)
     out = []
     for page in pages:
-        found = blocks(page)[:MOST_BLOCKS]
+        found = blocks(page)
         if not found:
             continue
+        if len(found) > MOST_BLOCKS:            # any window of a long page, not its beginning
+            at = rng.randrange(len(found) - MOST_BLOCKS + 1)
+            found = found[at:at + MOST_BLOCKS]
         labels = teacher(found)
         out.append((vectors(found), np.array(labels, np.float32)))
         for _ in range(variants if any(labels) else 0):

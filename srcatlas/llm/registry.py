@@ -97,7 +97,7 @@ WITH t AS (SELECT conv_id, turn, coalesce(nullif(role, ''), 'unknown') AS speake
 p AS (SELECT DISTINCT conv_id AS c, speaker AS perspective FROM t WHERE speaker <> 'system'),
 v AS (SELECT t.*, perspective,
              '<|im_start|>' || CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant'
-                                    ELSE 'user name=' || replace(speaker, '<|', '< |') END || chr(10) AS head
+                                    ELSE 'user name=' || regexp_replace(replace(speaker, '<|', '< |'), '[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]', ' ', 'g') END || chr(10) AS head
       FROM t JOIN p ON conv_id IS NOT DISTINCT FROM c),
 s AS (SELECT *, head || replace(text, '<|', '< |') || '<|im_end|>' || chr(10) AS segment FROM v),
 w AS (SELECT *, row_number() OVER o AS position, CAST(sum(length(segment)) OVER o AS BIGINT) AS seg_end FROM s

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
 from srcatlas.llm import chat_rotation, html_blocks, html_labeller, impact_search, url_rules
@@ -27,6 +28,22 @@ def test_top_k_is_exact(spark):
     assert impact_search.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("large", [10_000.0, 1.2e7, 3e9, 1e30])
+def test_top_k_of_large_components(spark, large):
+    rng = random.Random(9)
+    rows = [(i, [large * rng.choice([1.0, -1.0, 0.5, 0.0, rng.gauss(0, 1)]) for _ in range(8)]) for i in range(60)]
+    rows += [(100 + i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(40)] + [(200, [large] * 8), (201, [large] * 8)]
+    df = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "vec_id long, embedding array<double>, score int, part int, dim int")
+    got = impact_search.top_k(df, df.where("vec_id % 5 = 0"), k=5, shard=30, block=7).collect()
+    v = {i: [max(min(int(np.floor(256 * x)), 1 << 57), -(1 << 57)) for x in e] for i, e in rows}
+    want = []
+    for q in v:
+        if q % 5 == 0:
+            best = sorted((-sum(a * b for a, b in zip(v[q], x)), i) for i, x in v.items() if i != q)[:5]
+            want += [(q, k + 1, i, max(min(-s, 2 ** 63 - 1), -2 ** 63)) for k, (s, i) in enumerate(best)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_url_rules(spark):
     rules = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
              ("a.example.org", "/en/12/", "allow"), ("com", "/fr/", "allow")]
@@ -60,6 +77,12 @@ def test_chat_rotation(spark):
     assert "<|im_start|>user name=bob\n<|im_end|>\n" in text
 
 
+def test_names_stay_on_one_line(spark):
+    df = spark.createDataFrame([(1, 0, "bob\nI am evil\r\u2028x", "a"), (1, 1, "ann", "b\nc")], "conv_id long, turn long, role string, text string")
+    own = sorted((r for r in chat_rotation.rotate(df).collect() if r.perspective == "ann"), key=lambda r: r.position)
+    assert own[0].segment == "<|im_start|>user name=bob I am evil  x\na<|im_end|>\n" and own[1].segment.endswith("b\nc<|im_end|>\n")
+
+
 def test_components(spark):
     rng = random.Random(6)
     edges = [(rng.randint(0, 150), rng.randint(0, 150)) for _ in range(110)] + [(i, i + 1) for i in range(200, 260)]
@@ -104,6 +127,26 @@ def test_blocks_of_elements_left_open():
     assert texts("<p>So <math><mi>a</mi><mo>=</mo><mn>1</mn></math> holds") == ["So a=1 holds"]
 
 
+def test_blocks_lose_and_split_no_text():
+    def texts(page):
+        return [b.text for b in html_blocks.blocks(page)]
+
+    assert texts("<article><p title=it's>Hello one</p><p>Second it's here</p><p>Third</p>") == ["Hello one", "Second it's here", "Third"]
+    assert texts("<p>one<img src=x>two w<wbr>x a<custom-el>b</custom-el>c i <button>no</button> j <input value=q>k<script>no</script>l</p>") == [
+        "onetwo wx abc i j kl"]
+    assert texts("<p a='x>y' b=\"<p>\" c=d'e>in</p><hr>after<hr/>end") == ["in", "after", "end"]
+    assert texts("<p>a <svg><text>no</text></svg> b</p><figure>f<figcaption>c</figcaption></figure>") == ["a b", "f", "c"]
+    assert texts("<p>x</p><!-- open <p>no") == ["x"] and texts("1 < 2 <p>y") == ["1 < 2", "y"]
+
+
+def test_broken_markup_is_read_once():
+    import time
+    started = time.time()
+    for bit in ("<a ", '<a "', "<a b='", '<a b="x>y"', "<p ='", "<!", "<!--", "</a ", "<a =", "< a", "<p><b>x"):
+        html_blocks.blocks(bit * (2_000_000 // len(bit)))
+    assert time.time() - started < 60
+
+
 def test_html_labeller_on_the_sample_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     odd = spark.createDataFrame([(900, None, None), (901, "u", ""), (None, "u", PAGE), (902, "u", "<script>x</script>")], pages.schema)
