@@ -26,7 +26,7 @@ REVIEW_TAIL = ("\n\nReturn ONLY a JSON array. Each element is an object with the
                "(string) and \"suggestion\" (string). Return [] when nothing is found.\n")
 REFACTOR_HEAD = "Suggest refactorings for the following code.\n\n"
 REFACTOR_TAIL = "\n\nGive at most 5 suggestions, each naming the file and line range it applies to.\n"
-ARCH_CODE_CONTEXT = "Use dependency graph information first. Code samples are secondary."
+ARCH_CODE_CONTEXT = "Rely on the import graph before anything else; code excerpts only support it."
 # Literal pieces around the slots node_count, edge_count, entry points, most depended on,
 # largest modules, dependencies and the file listing.
 ARCH_PARTS = ("Explain the architecture of this repository from its dependency graph.\n\nGraph: ",

@@ -51,8 +51,12 @@ def index_repositories(files: DataFrame, out: str, responder, encoder=None, max_
     chunks = chunk.chunk_files(sel)
     admission = store.index_admission(chunks, repos, max_chunks)
     admitted = chunks.join(admission.filter("status = 'success'").select("repo_name"), "repo_name", "left_semi")
+    if encoder is None:                         # fitted once on what is indexed, stored beside it for the query side
+        embedded = vectors.encode(admitted, vectors.fit_encoder(admitted, f"{out}/encoder"))
+    else:
+        embedded = vectors.embed(admitted, "text", encoder)
     # stored first: the range sort of the write samples its input, which would encode every chunk twice
-    store.write_chunk_index(materialize(vectors_embed(admitted, encoder), "embedded"), f"{out}/chunk_index")
+    store.write_chunk_index(materialize(embedded, "embedded"), f"{out}/chunk_index")
     imps = imports.extract_imports(sel)
     nodes, edges = graph.graph_nodes(sel), graph.graph_edges(imports.resolve_imports(imps, sel), imps)
     edges = materialize(edges, "edges")
@@ -80,14 +84,18 @@ def index_repositories(files: DataFrame, out: str, responder, encoder=None, max_
         .withColumn("chunks_stored", F.lit(0).cast("bigint")), allowMissingColumns=True))
 
 
-def vectors_embed(chunks: DataFrame, encoder=None) -> DataFrame:
-    return vectors.embed(chunks, "text", encoder)
+def ask(index: DataFrame, questions: DataFrame, responder, encoder=None, top_k: int = 5,
+        fitted: DataFrame | None = None) -> DataFrame:
+    """``repo_name, question, answer, chunks_used`` (unknown repository → status row).
 
-
-def ask(index: DataFrame, questions: DataFrame, responder, encoder=None, top_k: int = 5) -> DataFrame:
-    """``repo_name, question, answer, chunks_used`` (unknown repository → status row)."""
+    Questions are encoded as the index was: by the same ``encoder``, or by the statistics that the index job
+    stored under ``encoder`` beside the index (``fitted``).
+    """
+    if encoder is None and fitted is None:
+        raise ValueError("pass the encoder of the index, or the statistics that were fitted with it")
     q = vectors.known_repos(questions, index)
-    hits = vectors.search(index, vectors.embed(q, "question", encoder), top_k)
+    asked = vectors.embed(q, "question", encoder) if fitted is None else vectors.encode(q, fitted, "question")
+    hits = vectors.search(index, asked, top_k)
     prompts = prompt.answer_prompts(hits, q).withColumnRenamed("query_id", "request_id")
     ans = replies.infer(prompts, responder).withColumnRenamed("request_id", "query_id")
     used = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("chunks_used"))

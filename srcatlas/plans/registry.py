@@ -919,6 +919,90 @@ def q_result_counts(spark, sf_dir):
     return jobs.result_counts(files, chunk.chunk_files(files))
 
 
+# --------------------------------------------------------------------- jobs with a canned responder
+def _responder():
+    """A stand-in for a model, built inside a function so that workers get it by value."""
+    def responder(text, temperature, max_tokens=0):
+        if "mermaid" in text:
+            return "SUMMARY: modules\n" + "`" * 3 + "mermaid\nflowchart TD\nA --> B\n" + "`" * 3
+        if text.startswith("call ") and int(text[5:]) % 7 == 0:
+            raise ValueError(f"no answer to {text}")
+        if text.startswith("call ") and int(text[5:]) % 11 == 0:
+            return "[LLM Error] refused"
+        return f"  {text[:20]}/{temperature}/{max_tokens} "
+    return responder
+
+
+@register("model_calls", """
+SELECT doc_id AS request_id, doc_id % 7 = 0 OR doc_id % 11 = 0 AS is_error,
+  CASE WHEN doc_id % 7 = 0 THEN '[LLM Error] ValueError: no answer to call ' || doc_id WHEN doc_id % 11 = 0 THEN '[LLM Error] refused'
+       ELSE 'call ' || doc_id || '/0.5/64' END AS reply
+FROM documents""")
+def q_model_calls(spark, sf_dir):
+    """V4: one call per document; errors are replies, the token budget reaches the responder."""
+    from ..operators import replies
+    from ..sources.corpus import table
+    prompts = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("request_id"), F.concat(F.lit("call "), F.col("doc_id").cast("string")).alias("prompt"), F.lit(0.5).alias("temperature"))
+    return replies.infer(prompts, _responder(), max_tokens=64)
+
+
+def _index_job(spark, sf_dir):
+    """(status rows, folder) of the whole index job over the code corpus."""
+    from ..session import materialize
+    from . import jobs
+    out = _job_folder(spark)
+    return materialize(jobs.index_repositories(code_corpus(spark, sf_dir), out, _responder(), max_chunks=200), "status"), out
+
+
+JOB_SQL = CHUNKS_SQL + """,
+cnt AS (SELECT repo_name, count(*) AS n FROM chunks GROUP BY ALL),
+job AS (SELECT f.repo_name, coalesce(n, 0) AS n_chunks, CASE WHEN coalesce(n, 0) BETWEEN 1 AND 200 THEN 'success' ELSE 'error' END AS status,
+          CASE WHEN coalesce(n, 0) = 0 THEN 'No chunks provided — nothing to embed.'
+               WHEN n > 200 THEN 'Repository too large. ' || n || ' chunks exceeds limit.' ELSE '' END AS message, files_indexed
+        FROM (SELECT repo_name, count(*) AS files_indexed FROM sel GROUP BY ALL) f LEFT JOIN cnt USING (repo_name))"""
+
+
+@register("index_job", JOB_SQL + """
+SELECT repo_name, n_chunks, status, message, files_indexed, CASE WHEN status = 'success' THEN n_chunks ELSE 0 END AS chunks_stored FROM job""")
+def q_index_job(spark, sf_dir):
+    """E1 (with S5 at 200 chunks): status of every repository after the whole job."""
+    return _index_job(spark, sf_dir)[0].select("repo_name", "n_chunks", "status", "message", "files_indexed", "chunks_stored")
+
+
+@register("asked_index", JOB_SQL + """
+SELECT conv_id * 1000 + turn AS query_id, concat('repo', CAST(conv_id % 6 AS VARCHAR)) AS repo_name,
+       CASE WHEN status = 'success' THEN 'success' ELSE 'not indexed' END AS status,
+       CASE WHEN status = 'success' THEN 'You are reviewing a /0.3/2048' END AS answer,
+       CASE WHEN status = 'success' THEN least(n_chunks, 5) ELSE 0 END AS chunks_used
+FROM conversations LEFT JOIN job ON job.repo_name = concat('repo', CAST(conv_id % 6 AS VARCHAR)) WHERE role = 'user'""")
+def q_asked_index(spark, sf_dir):
+    """Every user turn asks a repository of the stored index; refused and unknown ones are told apart from answers."""
+    from ..sources import store
+    from ..sources.corpus import table
+    from . import jobs
+    _, out = _index_job(spark, sf_dir)
+    conv = table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
+    qs = conv.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"),
+                     F.concat(F.lit("repo"), (F.col("conv_id") % 6).cast("string")).alias("repo_name"), F.col("text").alias("question"))
+    answers = jobs.ask(store.read_chunk_index(spark, f"{out}/chunk_index"), qs, _responder(), fitted=spark.read.parquet(f"{out}/encoder"))
+    return answers.select("query_id", "repo_name", "status", "answer", F.col("chunks_used").cast("long").alias("chunks_used"))
+
+
+@register("stored_views", JOB_SQL + ",\n" + S.graph_cte(with_files=False) + REACH_SQL[len(GRAPH_SQL):] + """
+SELECT d.repo_name, d.node, d.in_degree, c.node IS NOT NULL AS in_cycle, 'SUMMARY: modules' AS summary
+FROM deg d JOIN job ON job.repo_name = d.repo_name AND job.status = 'success'
+LEFT JOIN cyc_nodes c ON c.repo_name = d.repo_name AND c.node = d.node""")
+def q_stored_views(spark, sf_dir):
+    """E4 + E5: nodes of the stored graphs as they are displayed, with the stored summary."""
+    from . import jobs
+    _, out = _index_job(spark, sf_dir)
+    meta = spark.read.parquet(f"{out}/repo_metadata")
+    nodes, _, _ = jobs.dependency_view(meta, requested_repos(spark, sf_dir))
+    summary = jobs.architecture_of(meta, requested_repos(spark, sf_dir)).select("repo_name", "summary")
+    return nodes.join(summary, "repo_name").select("repo_name", "node", "in_degree", "in_cycle", "summary")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

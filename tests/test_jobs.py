@@ -62,13 +62,20 @@ def test_index_ask_review_views(spark, tmp_path):
     assert {r.node: r.color for r in nodes.collect()} == {"main.py": "#E24B4A", "core/db.py": "#E24B4A"}
     assert all(r.in_cycle for r in edges.collect())
 
+    fitted = spark.read.parquet(f"{out}/encoder")
+    assert {r.n for r in fitted.collect()} == {2}
+    with pytest.raises(ValueError):
+        jobs.ask(index, index.limit(0), responder)
     questions = spark.createDataFrame([(1, "alpha", "where is connect"), (2, "gamma", "anything")],
                                       "query_id long, repo_name string, question string")
-    ans = {r.query_id: (r.status, r.chunks_used) for r in jobs.ask(index, questions, responder).collect()}
+    ans = {r.query_id: (r.status, r.chunks_used) for r in jobs.ask(index, questions, responder, fitted=fitted).collect()}
     assert ans == {1: ("success", 2), 2: ("not indexed", 0)}
 
     found = jobs.review(index, responder).collect()
     assert [(r.repo_name, r.file, r.line, r.severity) for r in found] == [("alpha", "core/db.py", 3, "high")]
 
+    totals = {r.repo_name: (r.status, r.total) for r in jobs.review_totals(index, jobs.review(index, responder), repos).collect()}
+    assert totals == {"alpha": ("success", 1), "gamma": ("not indexed", 0)}
+
     st = {r.repo_name: (r.indexed, r.chunks) for r in jobs.status(index, repos).collect()}
     assert st == {"alpha": (True, 2), "gamma": (False, 0)}
