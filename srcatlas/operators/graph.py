@@ -13,6 +13,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+from .ordinals import group_ordinals
+
 
 def graph_nodes(files: DataFrame) -> DataFrame:
     """Every selected file is a node (isolated ones too)."""
@@ -110,34 +113,59 @@ def architecture_context(nodes: DataFrame, edges: DataFrame) -> DataFrame:
                       "node_count", "edge_count")
 
 
-MAX_PACKED_ITEMS = 1_000_000
-
-
-def pack_graph(nodes: DataFrame, edges: DataFrame, max_items: int | None = None) -> DataFrame:
+def pack_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``repo_name, graph_data struct<nodes, edges>``, a row per repository; attributes are dropped.
 
-    One row holds a repository's whole graph (the reference's stored form).  With ``max_items``
-    a repository of more nodes and edges keeps its row with a null ``graph_data``: its graph is
-    read from the long ``graph_nodes`` / ``graph_edges`` tables that the jobs persist.
+    One row holds a repository's whole graph, which is the reference's stored form and as large as the
+    repository; the jobs store ``graph_blocks``, which are not.
     """
-    repos = None
-    if max_items is not None:
-        items = nodes.select("repo_name").unionByName(edges.select("repo_name"))
-        counts = items.groupBy("repo_name").agg(F.count(F.lit(1)).alias("_n"))
-        repos = counts.select("repo_name")
-        ok = counts.filter(F.col("_n") <= max_items).select("repo_name")
-        nodes = nodes.join(ok, "repo_name", "left_semi")
-        edges = edges.join(ok, "repo_name", "left_semi")
     n = nodes.groupBy("repo_name").agg(F.array_sort(F.collect_list("node")).alias("nodes"))
     e = edges.groupBy("repo_name").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("src", "first_ord", "dst"))),
                     lambda x: F.struct(x["src"].alias("src"), x["dst"].alias("dst"))).alias("edges"))
-    packed = (n.join(e, "repo_name", "full_outer")
-              .select("repo_name", F.struct(
-                  F.coalesce("nodes", F.array().cast("array<string>")).alias("nodes"),
-                  F.coalesce("edges", F.array().cast("array<struct<src:string,dst:string>>")).alias("edges"))
-                  .alias("graph_data")))
-    return packed if repos is None else repos.join(packed, "repo_name", "left")
+    return (n.join(e, "repo_name", "full_outer")
+            .select("repo_name", F.struct(
+                F.coalesce("nodes", F.array().cast("array<string>")).alias("nodes"),
+                F.coalesce("edges", F.array().cast("array<struct<src:string,dst:string>>")).alias("edges"))
+                .alias("graph_data")))
+
+
+#: Nodes of a block.
+BLOCK_NODES = 4096
+
+
+def graph_blocks(nodes: DataFrame, edges: DataFrame, block: int = BLOCK_NODES) -> DataFrame:
+    """S10 for graphs of any size: ``repo_name, block, nodes, targets``, a row per ``block`` consecutive nodes.
+
+    Nodes are numbered in code-point order through the repository, ``block * size`` being the first of a block;
+    ``targets`` has a list per node, the numbers of the files it imports in discovery order, each less the
+    node's own number.  A row holds at most ``block`` nodes and their imports.  Edges from or to files that are
+    no nodes are left out.
+    """
+    numbered = materialize(group_ordinals(nodes.select("repo_name", "node").distinct(), ["repo_name"], ["node"], "ord"), "node-numbers")
+    ends = (edges.join(numbered.select("repo_name", F.col("node").alias("src"), F.col("ord").alias("s")), ["repo_name", "src"])
+            .join(numbered.select("repo_name", F.col("node").alias("dst"), F.col("ord").alias("d")), ["repo_name", "dst"]))
+    lists = ends.groupBy("repo_name", F.col("s").alias("ord")).agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("first_ord", "d"))), lambda x: x["d"]).alias("l"))
+    one = numbered.join(lists, ["repo_name", "ord"], "left").select(
+        "repo_name", F.floor(F.col("ord") / block).alias("block"), "ord", "node",
+        F.transform(F.coalesce("l", F.array().cast("array<bigint>")), lambda d: d - F.col("ord")).alias("l"))
+    rows = F.array_sort(F.collect_list(F.struct("ord", "node", "l")))
+    return (one.groupBy("repo_name", "block").agg(rows.alias("r"))
+            .select("repo_name", "block", F.transform("r", lambda x: x["node"]).alias("nodes"),
+                    F.transform("r", lambda x: x["l"]).alias("targets")))
+
+
+def from_blocks(blocks: DataFrame, block: int = BLOCK_NODES) -> tuple[DataFrame, DataFrame]:
+    """S11 for ``graph_blocks``: (nodes, edges); ``first_ord`` counts the imports of a file, the language is ``default``."""
+    one = (blocks.select("repo_name", "block", F.posexplode(F.arrays_zip("nodes", "targets")).alias("i", "x"))
+           .select("repo_name", (F.col("block") * block + F.col("i")).alias("ord"), F.col("x.nodes").alias("node"), F.col("x.targets").alias("l")))
+    nodes = one.select("repo_name", "node", F.lit("default").alias("language"), F.lit(None).cast("bigint").alias("size"))
+    edges = (one.select("repo_name", F.col("node").alias("src"), "ord", F.posexplode("l").alias("place", "delta"))
+             .select("repo_name", "src", (F.col("ord") + F.col("delta")).alias("ord"), F.col("place").cast("bigint").alias("first_ord"))
+             .join(one.select("repo_name", "ord", F.col("node").alias("dst")), ["repo_name", "ord"])
+             .select("repo_name", "src", "dst", "first_ord", F.lit(1).alias("weight")))
+    return nodes, edges
 
 
 def unpack_graph(packed: DataFrame) -> tuple[DataFrame, DataFrame]:

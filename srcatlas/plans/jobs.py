@@ -34,14 +34,12 @@ def result_counts(files: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def index_repositories(files: DataFrame, out: str, responder, encoder=None, max_files: int | None = None,
-                       max_chunks: int | None = None, cycle_budget: int = cycles.BUDGET,
-                       max_packed: int | None = graph.MAX_PACKED_ITEMS) -> DataFrame:
+                       max_chunks: int | None = None, cycle_budget: int = cycles.BUDGET) -> DataFrame:
     """Select → chunk → admit → embed → write index; graph → stats/context → prompt →
     model → summary/diagram → metadata upsert.  Returns one status row per repository.
 
     ``max_files`` and ``max_chunks`` are off unless asked for (500 and 1000 in the reference).
-    A graph of more than ``max_packed`` nodes and edges is not packed into its metadata row; it is
-    whole, like every other, in ``graph_nodes`` and ``graph_edges``.
+    Graphs are stored in blocks under ``graph_blocks``, whatever their size.
     """
     spark = files.sparkSession
     ensure_checkpoint_dir(spark)
@@ -60,8 +58,7 @@ def index_repositories(files: DataFrame, out: str, responder, encoder=None, max_
     imps = imports.extract_imports(sel)
     nodes, edges = graph.graph_nodes(sel), graph.graph_edges(imports.resolve_imports(imps, sel), imps)
     edges = materialize(edges, "edges")
-    store.write_chunk_index(nodes, f"{out}/graph_nodes")      # long form, any repository size
-    store.write_chunk_index(edges, f"{out}/graph_edges")
+    store.write_chunk_index(graph.graph_blocks(nodes, edges), f"{out}/graph_blocks")
     stats = graph_stats(nodes, edges, cycle_budget)
     ctx = graph.architecture_context(nodes, edges)
     # a refused repository costs no model call and gets no metadata
@@ -74,8 +71,7 @@ def index_repositories(files: DataFrame, out: str, responder, encoder=None, max_
     ac = ctx.select("repo_name", F.struct("entry_points", "most_depended_on", "largest_modules", "dependencies",
                                           "node_count", "edge_count").alias("architecture_context"))
     meta = (results.filter("saved").select("repo_name", "summary", "mermaid")
-            .join(gs, "repo_name").join(graph.pack_graph(nodes, edges, max_packed), "repo_name", "left")
-            .join(ac, "repo_name"))
+            .join(gs, "repo_name").join(ac, "repo_name"))
     store.upsert_metadata(spark, f"{out}/repo_metadata", meta)
     counts = result_counts(sel, admitted)
     admission = admission.join(missing.select("repo_name"), "repo_name", "left_anti")
@@ -136,23 +132,15 @@ def architecture_of(metadata: DataFrame, repos: DataFrame) -> DataFrame:
     return store.read_through(repos, metadata).select("repo_name", "status", "summary", "mermaid")
 
 
-def dependency_view(metadata: DataFrame, repos: DataFrame, graph_nodes: DataFrame | None = None,
-                    graph_edges: DataFrame | None = None):
+def dependency_view(metadata: DataFrame, repos: DataFrame, blocks: DataFrame):
     """E5: node and edge display tables + stored stats for the requested repositories.
 
-    Graphs that were too large to be packed (null ``graph_data``) are read from the long
-    ``graph_nodes`` and ``graph_edges`` tables of the index job; asking for such a repository
-    without them is an error.
+    ``blocks`` is the table ``graph_blocks`` of the index job; only the blocks of requested repositories with
+    stored metadata are read.
     """
     from ..operators import view
     found = store.read_through(repos, metadata).filter("status = 'success'")
-    nodes, edges = graph.unpack_graph(found.filter("graph_data is not null").select("repo_name", "graph_data"))
-    unpacked = found.filter("graph_data is null").select("repo_name")
-    if graph_nodes is not None and graph_edges is not None:
-        nodes = nodes.unionByName(graph_nodes.join(unpacked, "repo_name", "left_semi").select(*nodes.columns))
-        edges = edges.unionByName(graph_edges.join(unpacked, "repo_name", "left_semi").select(*edges.columns))
-    elif not unpacked.isEmpty():
-        raise ValueError("some graphs are not packed: pass graph_nodes and graph_edges of the index job")
+    nodes, edges = graph.from_blocks(blocks.join(found.select("repo_name"), "repo_name", "left_semi"))
     cyc = cycles.cycle_nodes(edges)
     return (view.node_view(nodes, edges, cyc), view.edge_view(edges, cyc),
             found.select("repo_name", "graph_stats"))

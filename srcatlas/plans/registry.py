@@ -908,6 +908,19 @@ def q_graph_round_trip(spark, sf_dir):
     return graph.unpack_graph(graph.pack_graph(nodes, edges))[1].select("repo_name", "src", "dst", F.col("first_ord").alias("place"))
 
 
+@register("graph_blocks", GRAPH_SQL + """
+SELECT repo_name, src, dst, row_number() OVER (PARTITION BY repo_name, src ORDER BY first_ord, dst) - 1 AS place FROM edges""")
+def q_graph_blocks(spark, sf_dir):
+    """S10 + S11 in blocks of 16 nodes: edges after storing the adjacency blocks and reading them back."""
+    from ..operators import graph
+    from ..sources import store
+    _, _, _, nodes, edges = graph_parts(spark, sf_dir)
+    path = _job_folder(spark)
+    store.write_chunk_index(graph.graph_blocks(nodes, edges, 16), path)
+    back = graph.from_blocks(store.read_chunk_index(spark, path), 16)[1]
+    return back.select("repo_name", "src", "dst", F.col("first_ord").alias("place"))
+
+
 @register("result_counts", CHUNKS_SQL + """
 SELECT f.repo_name, files_indexed, coalesce(chunks_stored, 0) AS chunks_stored
 FROM (SELECT repo_name, count(*) AS files_indexed FROM sel GROUP BY ALL) f
@@ -995,10 +1008,12 @@ FROM deg d JOIN job ON job.repo_name = d.repo_name AND job.status = 'success'
 LEFT JOIN cyc_nodes c ON c.repo_name = d.repo_name AND c.node = d.node""")
 def q_stored_views(spark, sf_dir):
     """E4 + E5: nodes of the stored graphs as they are displayed, with the stored summary."""
+    from ..sources import store
     from . import jobs
     _, out = _index_job(spark, sf_dir)
     meta = spark.read.parquet(f"{out}/repo_metadata")
-    nodes, _, _ = jobs.dependency_view(meta, requested_repos(spark, sf_dir))
+    blocks = store.read_chunk_index(spark, f"{out}/graph_blocks")
+    nodes, _, _ = jobs.dependency_view(meta, requested_repos(spark, sf_dir), blocks)
     summary = jobs.architecture_of(meta, requested_repos(spark, sf_dir)).select("repo_name", "summary")
     return nodes.join(summary, "repo_name").select("repo_name", "node", "in_degree", "in_cycle", "summary")
 

@@ -33,7 +33,7 @@ def write_chunk_index(chunks: DataFrame, path: str) -> None:
     spark = chunks.sparkSession
     # Range partitioning on (repo, ids): a repository holding a third of the rows is
     # written by many tasks, and each task writes few repository partitions.
-    order = [c for c in ("chunk_id", "node", "src", "dst") if c in chunks.columns]
+    order = [c for c in ("chunk_id", "block", "node", "src", "dst") if c in chunks.columns]
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     (chunks.repartitionByRange(n, "repo_name", *order)
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo_name").parquet(path))

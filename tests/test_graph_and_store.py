@@ -180,12 +180,21 @@ def test_pack_unpack_roundtrip(spark):
     assert [(r.src, r.dst) for r in e2.collect()] == [("a", "b")]
 
 
-def test_large_graphs_keep_their_row(spark):
-    nodes = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "z")], "repo_name string, node string")
-    edges = spark.createDataFrame([("a", "x", "y", 0)], "repo_name string, src string, dst string, first_ord long")
-    packed = {r.repo_name: r.graph_data for r in graph.pack_graph(nodes, edges, max_items=2).collect()}
-    assert packed["a"] is None and packed["b"].nodes == ["z"] and packed["b"].edges == []
-    assert {r.repo_name: len(r.graph_data.nodes) for r in graph.pack_graph(nodes, edges).collect()} == {"a": 2, "b": 1}
+@pytest.mark.parametrize("block", [1, 3, 4096])
+def test_graph_blocks_round_trip(spark, block):
+    nodes = spark.createDataFrame([("r", f"f{i:02}", "python", 1) for i in range(11)] + [("one", "x", "python", 1), ("none", "y", "python", 1)],
+                                  "repo_name string, node string, language string, size long")
+    pairs = [("r", f"f{i:02}", f"f{j:02}", (i * j) % 7) for i in range(11) for j in range(11) if i != j and (i * j) % 3 == 1] + [("r", "gone", "f01", 0)]
+    edges = spark.createDataFrame(pairs, "repo_name string, src string, dst string, first_ord long").withColumn("weight", F.lit(1))
+    stored = graph.graph_blocks(nodes, edges, block)
+    assert max(len(r.nodes) for r in stored.collect()) <= block
+    back_nodes, back = graph.from_blocks(stored, block)
+    assert sorted((r.repo_name, r.node) for r in back_nodes.collect()) == sorted((r.repo_name, r.node) for r in nodes.collect())
+    want, known = [], [p for p in pairs if p[1] != "gone"]
+    for src in {p[1] for p in known}:
+        ordered = sorted((p[3], p[2]) for p in known if p[1] == src)
+        want += [("r", src, dst, i, 1) for i, (_, dst) in enumerate(ordered)]
+    assert sorted(map(tuple, back.collect())) == sorted(want)
 
 
 def test_last_update_of_a_batch_wins(spark, tmp_path):

@@ -46,19 +46,7 @@ def test_index_ask_review_views(spark, tmp_path):
     arch = {r.repo_name: r.status for r in jobs.architecture_of(meta, repos).collect()}
     assert arch == {"alpha": "success", "gamma": "missing"}
 
-    nodes, edges, stats = jobs.dependency_view(meta, repos)
-    assert {r.node: r.color for r in nodes.collect()} == {"main.py": "#E24B4A", "core/db.py": "#E24B4A"}
-    assert all(r.in_cycle for r in edges.collect())
-
-    # graphs too large to be packed have their metadata all the same
-    long_out = str(tmp_path / "long")
-    jobs.index_repositories(corpus(spark), long_out, responder, max_packed=1)
-    thin = spark.read.parquet(f"{long_out}/repo_metadata")
-    assert thin.filter("repo_name = 'alpha'").first().graph_data is None
-    with pytest.raises(ValueError):
-        jobs.dependency_view(thin, repos)
-    nodes, edges, _ = jobs.dependency_view(thin, repos, spark.read.parquet(f"{long_out}/graph_nodes"),
-                                           spark.read.parquet(f"{long_out}/graph_edges"))
+    nodes, edges, stats = jobs.dependency_view(meta, repos, store.read_chunk_index(spark, f"{out}/graph_blocks"))
     assert {r.node: r.color for r in nodes.collect()} == {"main.py": "#E24B4A", "core/db.py": "#E24B4A"}
     assert all(r.in_cycle for r in edges.collect())
 
