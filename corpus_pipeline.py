@@ -42,7 +42,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("toxicity", drop_toxic), ("exact dedup", drop_copies), ("n-gram Jaccard join", drop_near_copies),
           ("secret scans", mask_secrets), ("best-fit packing", pack)]
 
-#: Trained, iterative and tokenising stages have no SQL; tests/llm tests the operators, not the pipeline as a whole.
+#: Trained, iterative and tokenising stages have no SQL; tests/llm/test_pipeline.py compares every stage and run().
 ORACLE_SQL = None
 
 
