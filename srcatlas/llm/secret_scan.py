@@ -9,10 +9,16 @@ are reported only after their structure is confirmed by decoding:
 * ``key``      a base64 or hex run, on one line or wrapped over several, that decodes to a key encoding: DER
                (PKCS#1, DSA, SEC1, PKCS#8 plain or encrypted) in which every nested length fits exactly, or the
                binary private-key container of SSH whose length-prefixed fields add up;
-* ``signed``   a signed token of three base64url parts whose header decodes to a JSON object naming an
-               algorithm and whose payload decodes to a JSON object;
-* ``encoded``  such a run that decodes to printable text in which a base credential stands; the shortest such
-               credential has 12 bytes, which is 16 base64 or 24 hex digits.
+* ``signed``   a token of three base64url parts whose header decodes to a JSON object naming an algorithm and whose
+               payload decodes to a JSON object (its signature may be empty where the algorithm is ``none``), or of
+               five parts whose header names an encryption too;
+* ``encoded``  such a run that decodes to printable text in which a base credential stands, or a run that does so in
+               turn, up to ``DEPTH`` layers; the shortest such credential has 12 bytes, which is 16 base64 or 24 hex
+               digits.
+
+A run may be glued to a path or a name: where the whole does not decode to a secret, what follows each ``/``, ``-``
+or ``_`` is tried, up to the run's end or the next such sign, if its first bytes can begin one, and so are hex
+digits inside the run.
 
 One task holds one text at a time; there is no shuffle.  Defined results: a null or empty text has no spans;
 every row gives one row, repeated rows included; spans are sorted by start, then kind as listed above; an
@@ -41,7 +47,12 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ ){0,3}PRIVATE KEY)-----([A-Za-z0-9+/=\s:,.\\-]*?)-----END \1-----")
-SIGNED = re.compile(r"(?<![A-Za-z0-9_.-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
+#: A brace in base64 begins so; three parts or five.
+SIGNED = re.compile(r"(?<![A-Za-z0-9_.-])e[w-z0-9_-][A-Za-z0-9_-]+\.[A-Za-z0-9_-]*\.[A-Za-z0-9_-]*(?:\.[A-Za-z0-9_-]*\.[A-Za-z0-9_-]+)?")
+GLUE = re.compile(r"[/_-]")
+HEX_INSIDE = re.compile(r"[0-9a-fA-F]{24,}")
+#: Layers of encoding that are taken off.
+DEPTH = 3
 RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 HEX_RUN = re.compile(r"(?:[0-9a-fA-F]{2}){12,}")
 #: A line end in the text or escaped, and the next line's indent.
@@ -168,29 +179,82 @@ def wrapped_runs(text: str):
 
 
 def is_signed(token: str) -> bool:
-    """Whether the header names an algorithm and the payload is a JSON object."""
-    parts = []
-    for part in token.split(".")[:2]:
+    """Whether the header names an algorithm and the other parts fit it."""
+    parts = token.split(".")
+
+    def opened(part):
         raw = from_base64(part)
         try:
-            parts.append(json.loads(raw.decode("utf-8")) if raw else None)
+            found = json.loads(raw.decode("utf-8")) if raw else None
         except (ValueError, RecursionError):
-            return False
-    return all(isinstance(x, dict) for x in parts) and isinstance(parts[0].get("alg"), str)
+            return None
+        return found if isinstance(found, dict) else None
+
+    header = opened(parts[0])
+    if header is None or not isinstance(header.get("alg"), str):
+        return False
+    if len(parts) == 5:
+        return isinstance(header.get("enc"), str)
+    return opened(parts[1]) is not None and (parts[2] != "" or header["alg"].lower() == "none")
 
 
 def _credential(text: str) -> bool:
     return any(len(m[2]) >= 6 for m in ASSIGN.finditer(text)) or any(len(m[0]) >= 20 for m in ACCESS.finditer(text))
 
 
-def _hides_credential(data: bytes | None) -> bool:
-    if not data:
-        return False
+def _printable(data: bytes) -> str | None:
     try:
-        text = data.decode("ascii")
+        text = data.decode("utf-8")
     except UnicodeDecodeError:
+        return None
+    return text if all(c.isprintable() or c in "\r\n\t" for c in text) else None
+
+
+def _hides_credential(data: bytes | None, depth: int) -> bool:
+    text = _printable(data) if data else None
+    if not text:
         return False
-    return all(c.isprintable() or c in "\r\n\t" for c in text) and _credential(text)
+    return _credential(text) or depth > 1 and any(_decoded(m[0], depth - 1) for m in RUN.finditer(text))
+
+
+def _kind(run: str, depth: int) -> int | None:
+    """The kind of secret that a run of digits decodes to as a whole."""
+    for data in (from_base64(run), binascii.unhexlify(run) if HEX_RUN.fullmatch(run) else None):
+        if is_key(data):
+            return KINDS.index("key")
+        if _hides_credential(data, depth):
+            return KINDS.index("encoded")
+    return None
+
+
+def _can_begin(start: str) -> bool:
+    """Whether sixteen base64 digits can begin a key or printable text (a character may be cut off at their end)."""
+    data = from_base64(start)
+    if not data:
+        return False
+    return data[0] == 0x30 or data.startswith(b"openssh") or any(_printable(data[:len(data) - k]) for k in range(4))
+
+
+def _decoded(run: str, depth: int = DEPTH) -> tuple[int, int, int] | None:
+    """(start, end, kind) of the secret in a run: the whole of it, or a part behind a sign that glues."""
+    kind = _kind(run, depth)
+    if kind:
+        return 0, len(run), kind
+    glue = [m.end() for m in GLUE.finditer(run)]
+    for i, start in enumerate(glue):
+        if len(run) - start >= 16 and _can_begin(run[start:start + 16]):
+            following = next((g - 1 for g in glue[i + 1:] if g - 1 - start >= 16), len(run))
+            for end in dict.fromkeys((len(run), following)):
+                kind = _kind(run[start:end], depth)
+                if kind:
+                    return start, end, kind
+    for m in HEX_INSIDE.finditer(run):
+        for start in (m.start(), m.start() + 1):
+            part = run[start:start + (m.end() - start) // 2 * 2]
+            kind = _kind(part, depth) if len(part) >= 24 and len(part) < len(run) else None
+            if kind:
+                return start, start + len(part), kind
+    return None
 
 
 def spans_of(text: str) -> list[tuple[int, int, int]]:
@@ -202,14 +266,15 @@ def spans_of(text: str) -> list[tuple[int, int, int]]:
     if "PRIVATE KEY" in text:
         out += [(m.start(), m.end(), 3) for m in PEM.finditer(text)
                 if is_pem_key(m[2])]
-    if "eyJ" in text:
-        out += [(m.start(), m.end(), 5) for m in SIGNED.finditer(text) if is_signed(m[0])]
-    for start, end, run in [*((m.start(), m.end(), m[0]) for m in RUN.finditer(text)), *wrapped_runs(text)]:
-        for data in (from_base64(run), binascii.unhexlify(run) if HEX_RUN.fullmatch(run) else None):
-            kind = 4 if is_key(data) else 6 if _hides_credential(data) else None
-            if kind:
-                out.append((start, end, kind))
-                break
+    out += [(m.start(), m.end(), 5) for m in SIGNED.finditer(text) if is_signed(m[0])]
+    for m in RUN.finditer(text):
+        found = _decoded(m[0])
+        if found:
+            out.append((m.start() + found[0], m.start() + found[1], found[2]))
+    for start, end, run in wrapped_runs(text):
+        kind = _kind(run, DEPTH)
+        if kind:
+            out.append((start, end, kind))
     return sorted(set(out), key=lambda s: (s[0], s[2], s[1]))
 
 

@@ -254,3 +254,86 @@ def test_toxicity_reads_all_words(spark, docs):
     assert got[2000].evidence[0].doc_id == read and abs(got[2000].evidence[0].similarity - 1) < 1e-9
     kept = {r.doc_id for r in toxicity.drop_toxic(docs(*rows), table).collect()}
     assert kept == {i for i, r in got.items() if not r.predicted}
+
+
+def der(tag, body):
+    size = len(body)
+    head = bytes([size]) if size < 128 else bytes([0x80 | len(size.to_bytes((size.bit_length() + 7) // 8, "big"))]) + size.to_bytes((size.bit_length() + 7) // 8, "big")
+    return bytes([tag]) + head + body
+
+
+def test_secrets_glued_nested_and_tokens(docs):
+    rng = random.Random(1)
+    key = der(0x30, b"".join(der(0x02, x) for x in [b"\0"] + [rng.randbytes(20) for _ in range(8)]))
+    b64 = lambda x: base64.b64encode(x).decode()
+    url = lambda x: base64.urlsafe_b64encode(x).decode().rstrip("=")
+    head = url(json.dumps({"alg": "HS256"}, indent=1).encode())
+    twice = b64(f"x {b64(b'password=hunter2secret')} y".encode())
+    cases = {1: ("https://h/x/" + b64(key), b64(key), "key"), 2: ("key-" + b64(key), b64(key), "key"), 3: ("MY_KEY_" + b64(key), b64(key), "key"),
+             4: ("0x" + key.hex(), key.hex(), "key"), 5: (b64("pässword: token = abcdefgh".encode()), None, "encoded"), 6: (twice, None, "encoded"),
+             7: (f"{head}.{url(b'{}')}.sig", None, "signed"), 8: (f"{url(b'{ \"alg\": \"none\"}')}.{url(b'{\"a\": 1}')}.", None, "signed"),
+             9: (f"{url(b'{\"alg\":\"dir\",\"enc\":\"A128GCM\"}')}..iv.text.tag", None, "signed"), 10: ("a/" + b64(b"secret: abcdef123") + "/tail-of-a-path", None, "encoded")}
+    clean = {20: "https://h/some/long/path-with-names_and/numbers1234567890/more", 21: f"{url(b'{\"alg\":\"HS256\"}')}.{url(b'{}')}.", 22: "0x" + rng.randbytes(40).hex().upper(),
+             23: b64(rng.randbytes(300)), 24: "some_very_long_identifier_name_that_means_nothing", 25: b64(b"plain words without anything in them"), 26: "/".join("M" * 17 for _ in range(500))}
+    rows = [(i, f"a {t} b") for i, (t, _, _) in cases.items()] + [(i, f"a {t} b") for i, t in clean.items()]
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans if s.kind not in secret_scan.BASE] for r in secret_scan.find_secrets(docs(*rows)).collect()}
+    for i, (text, inner, kind) in cases.items():
+        if i == 10:
+            inner = text.split("/")[1]
+        at = 2 + text.index(inner or text)
+        assert got[i] == [(kind, at, at + len(inner or text))], i
+    assert all(got[i] == [] for i in clean)
+
+
+def test_base_kinds_against_a_second_scanner(docs):
+    import re
+    rng = random.Random(6)
+    bits = ["password", "PASSWD", "secret", "Token", "api_key", "apikey", '"', "'", " ", ":", "=", "abc", "x+/_.=-9", "AKIA", "ABCDEFGH12345678", "deadbeef", "0123456789abcdef", "é", "\n", "AKIAAKIA"]
+    rows = [(i, "".join(rng.choice(bits) for _ in range(rng.randint(0, 40)))) for i in range(400)] + [(900, None), (901, "")]
+
+    def brute(text):
+        out, at = [], 0
+        name = re.compile(r"(?i:password|passwd|secret|token|api_?key)")
+        while at < len(text):                   # assign: by hand, character by character
+            m = name.match(text, at)
+            j = m.end() if m else -1
+            if m:
+                j += j < len(text) and text[j] in "\"'"
+                while j < len(text) and text[j] == " ":
+                    j += 1
+                if j < len(text) and text[j] in ":=":
+                    j += 1
+                    while j < len(text) and text[j] == " ":
+                        j += 1
+                    j += j < len(text) and text[j] in "\"'"
+                    k = j
+                    while k < len(text) and text[k] in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-":
+                        k += 1
+                    if k > j:
+                        if k - j >= 6:
+                            out.append((at, 0, k))
+                        at = k
+                        continue
+            at += 1
+        for kind, begin, more, least in ((1, "AKIA", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 20), (2, "", "0123456789abcdef", 24)):
+            at = 0
+            while at < len(text):
+                k = at + len(begin)
+                if text.startswith(begin, at):
+                    while k < len(text) and text[k] in more:
+                        k += 1
+                    if k > at + len(begin):
+                        if k - at >= least:
+                            out.append((at, kind, k))
+                        at = k
+                        continue
+                at += 1
+        return sorted(out)
+
+    got = {r.doc_id: r for r in secret_scan.digest(secret_scan.find_secrets(docs(*rows))).collect()}
+    for i, t in rows:
+        want = brute(t or "")
+        r = got[i]
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == x for _, k, _ in want) for x in range(3)), t
+        listed = ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in want)
+        assert r.base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
