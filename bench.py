@@ -14,7 +14,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from srcatlas.plans import registry  # noqa: E402
-from srcatlas.session import local_session  # noqa: E402
+from srcatlas.session import drop_tables, local_session  # noqa: E402
 
 HEADLINE = ["selected_files", "chunks", "chunk_counts", "vector_search", "resolved_imports", "graph_edges",
             "degrees", "top_edges", "sample_chunks", "architecture_context", "cycle_nodes", "cycles", "node_view"]
@@ -36,6 +36,7 @@ def main() -> None:
         t0 = time.perf_counter()
         run(qs[name](spark, sf_dir))
         times[name] = round(time.perf_counter() - t0, 3)
+        drop_tables(spark)                       # what the query wrote on its way
     sf = sf_dir.rsplit("sf", 1)[-1]
     print(json.dumps({"metric": "total_query_seconds", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "sf": float(sf) if sf.replace(".", "").isdigit() else sf}))

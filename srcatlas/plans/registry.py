@@ -629,11 +629,10 @@ enc AS MATERIALIZED (SELECT repo_name, chunk_id, query_id, bucket, w / sqrt(sum(
 def encoded_parts(spark, sf_dir):
     """(chunks with vectors, questions, fitted encoder); the statistics are fitted on the chunks and stored beside them."""
     from ..operators import vectors
-    from ..session import ensure_checkpoint_dir, materialize
+    from ..session import materialize, scratch_path
     from ..sources.corpus import table
-    import uuid
     chunks = materialize(chunk.chunk_files(selected(spark, sf_dir)), "chunks")
-    fitted = vectors.fit_encoder(chunks, f"{ensure_checkpoint_dir(spark).rstrip('/')}/encoder-{uuid.uuid4().hex}")
+    fitted = vectors.fit_encoder(chunks, scratch_path(spark, "encoder"))
     idx = materialize(vectors.encode(chunks, fitted), "chunk-vectors")
     conv = table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
     qs = conv.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"),
@@ -740,9 +739,8 @@ def q_resolved_imports_aligned(spark, sf_dir):
 # ------------------------------------------------------------- replies, lookups and round trips
 def _job_folder(spark) -> str:
     """A fresh folder in the shared checkpoint folder, for tables that a query writes and reads back."""
-    import uuid
-    from ..session import ensure_checkpoint_dir
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/srcatlas-store-{uuid.uuid4().hex}"
+    from ..session import scratch_path
+    return scratch_path(spark, "store")
 
 
 @register("file_cap_100", f"""

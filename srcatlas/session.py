@@ -97,23 +97,28 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(key)
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path under ``spark.checkpoint.dir`` that ``drop_tables`` deletes."""
+    import uuid
+
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/srcatlas-tables/{name}-{uuid.uuid4().hex}"
+    _TABLES.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def materialize(df, name: str = "table"):
     """Cut lineage by writing ``df`` as Parquet under ``spark.checkpoint.dir`` and reading it back.
 
     One computation (an eager RDD checkpoint runs the plan twice), columnar and
     compressed, and on shared storage, so it survives the loss of any executor.
     """
-    import uuid
-
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/srcatlas-tables/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
-    _TABLES.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def drop_tables(spark: SparkSession) -> int:
-    """Delete every table that ``materialize`` wrote in this application; returns how many.
+    """Delete every table written under a ``scratch_path`` in this application; returns how many.
 
     To be called once the results that read them have been written.
     """

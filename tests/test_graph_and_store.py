@@ -275,3 +275,15 @@ def test_cycles_carry_whether_they_are_all(spark):
     assert short == {"ring": True, "full": False}
     level = cycles.cycles(edges, local_edge_limit=0, max_len=6).groupBy("repo_name").agg(F.count("*").alias("n"), F.every("complete").alias("whole"))
     assert {r.repo_name: (r["n"], r.whole) for r in level.collect()} == {"full": (409, True)}
+
+
+def test_drop_tables_deletes_what_was_written(spark):
+    import os
+    from srcatlas import session
+    from srcatlas.operators import cycles
+    session.drop_tables(spark)
+    edges = spark.createDataFrame([("r", "a", "b"), ("r", "b", "a")], "repo_name string, src string, dst string")
+    assert cycles.strongly_connected(edges, local_edge_limit=0).count() == 2        # the distributed rounds
+    written = [p.removeprefix("file://") for p in session._TABLES[spark.sparkContext.applicationId]]
+    assert len(written) > 3 and all(map(os.path.isdir, written))
+    assert session.drop_tables(spark) == len(written) and not any(map(os.path.isdir, written))
