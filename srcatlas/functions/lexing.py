@@ -40,9 +40,11 @@ _PY_TOKEN = re.compile(
 _HARD = ("import", "def", "class")
 
 
-def python_lines(text: str) -> list[list[tuple[str, str, int, int]]]:
+def python_lines(text: str, last: int | None = None) -> list[list[tuple[str, str, int, int]]]:
     """Logical lines as lists of (kind, text, start, end) tokens without white space and comments.
 
+    With ``last``, reading ends with the line that holds that place.
+
     A keyword that no expression can hold, first on its line, ends brackets that were left open.
     """
     lines, line, depth, first = [], [], 0, True
@@ -55,6 +57,8 @@ def python_lines(text: str) -> list[list[tuple[str, str, int, int]]]:
             if not depth and line:
                 lines.append(line)
                 line = []
+            if not depth and last is not None and m.start() > last:
+                break
             continue
         value = m.group()
         if depth and first and kind == "name" and value in _HARD:
@@ -103,7 +107,7 @@ def python_imports(text: str) -> list[str]:
     if "import" not in text:
         return []
     found = []
-    for line in python_lines(text):
+    for line in python_lines(text, text.rfind("import")):
         for at in _statements(line):
             if line[at][0] != "name":
                 continue
