@@ -256,6 +256,48 @@ def test_toxicity_reads_all_words(spark, docs):
     assert kept == {i for i, r in got.items() if not r.predicted}
 
 
+
+def test_a_model_travels_and_rests_small():
+    """Sent without dictionary and full rows, read once for a worker; the texts go back to Spark in small batches."""
+    import pickle
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    common = [f"w{i}" for i in range(100)]
+    texts = [" ".join(rng.sample(common, 10)) + (" vile" if i % 2 else " mild") for i in range(600)]
+    number = {}
+    known = [(i, i % 2, {number.setdefault(w, len(number)): t.split().count(w) for w in t.split()})
+             for i, t in enumerate(texts)]
+    model = toxicity.Model(toxicity.Terms(list(number)), np.ones(len(number)), 7.0).fit(known, (1.0, 1.0))
+    judged = model.judge(texts)
+    laid_out = model.examples._full_rows().nbytes
+    assert len(model.terms.number) == len(number)
+    sent = pickle.dumps(model)
+    assert len(model.examples.dense) > 90 and len(sent) < laid_out / 2
+    there = pickle.loads(sent)
+    assert there.judge(texts) == judged
+    # one large batch: whatever is kept comes back in pieces, and the worker's model rests afterwards
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1200)), pa.array(texts * 2)], names=["doc_id", "text"])
+    parts = list(toxicity._clean(SimpleNamespace(value=there), 1, 0.5)(iter([batch])))
+    assert max(p.num_rows for p in parts) <= toxicity.ROWS
+    want = [i for i in range(1200) if judged[i % 600][0] < 0.5]
+    assert 0 < len(want) < 1200 and [i for p in parts for i in p.column("doc_id").to_pylist()] == want
+    assert there.terms.number is None and there.examples.dense is None
+    assert there.judge(texts) == judged
+
+
+def test_strange_words_count_as_their_beginnings():
+    words = toxicity.Terms(["abcdef", "abcd", "kept"])
+    text = "abcdefgh abcdx abcdxyz abcdx xabcdef kept abcdefgh"
+    for _ in range(2):                          # looked up, then remembered
+        assert words.counts(text) == ({0: 2, 1: 3, 2: 1}, [1])
+        assert words.distinct(text) == {0, 1, 2}
+    assert len(words.number) == 3 and toxicity.Terms([]).counts(text) == ({}, [])
+
+
 def der(tag, body):
     size = len(body)
     head = bytes([size]) if size < 128 else bytes([0x80 | len(size.to_bytes((size.bit_length() + 7) // 8, "big"))]) + size.to_bytes((size.bit_length() + 7) // 8, "big")
