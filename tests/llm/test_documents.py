@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pytest
 
 from srcatlas.llm import best_fit_packing, byte_bpe, exact_dedup, ngram_join, secret_scan, toxicity
 
@@ -379,3 +380,24 @@ def test_base_kinds_against_a_second_scanner(docs):
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == x for _, k, _ in want) for x in range(3)), t
         listed = ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in want)
         assert r.base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
+
+
+@pytest.mark.parametrize("limit", [0, 500_000])
+def test_exact_dedup_compares_texts_of_suspects_and_hashes_them_once(docs, limit, monkeypatch):
+    seen, keep = [], exact_dedup.materialize
+
+    def materialize(df, name="table"):
+        if name == "collisions":
+            seen.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df, name)
+
+    monkeypatch.setattr(exact_dedup, "materialize", materialize)
+    monkeypatch.setattr(exact_dedup._differing, "__defaults__", (limit,))
+    # one id with several texts, null ids, colliding fingerprints
+    rows = odd_rows() + [(50, "ab"), (50, "ba"), (51, "AB"), (52, "ba"), (None, "ab"), (None, "ba")]
+    got = exact_dedup.exact_dedup(docs(*rows), moduli=((3, 2), (2, 1)), piece=16).collect()
+    assert sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.kept, r.text_sha256) for r in got) == dedup_brute(rows)
+    keys = [line for plan in seen for line in plan.splitlines() if "SortMergeJoin" in line or "Exchange hash" in line
+            or "Sort [" in line]
+    assert seen and keys and not any("sha2(" in line for line in keys)
+    assert ("LeftSemi" in seen[0]) == (limit > 0)
