@@ -25,29 +25,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
+from .common import utf8_rows
 
 REMEMBERED, BATCH, LONG = 600_000, 20_000, 256
 #: Characters of the texts that are split together.
 CHARACTERS = 3_000_000
 
+#: A position is ``word * 256 + byte``, narrow integers throughout; the key of a pair is its rank, then its byte.
 CONTRACT = """
-WITH RECURSIVE state(turn, word, pos, tok) AS (
-    SELECT 0, word, pos, tok FROM start
+WITH RECURSIVE state(turn, pos, tok) AS (
+    SELECT 0, pos, tok FROM start
     UNION ALL
     (WITH pair AS (
-        SELECT turn, word, pos, tok, lag(pos) OVER w AS before, lead(tok) OVER w AS next FROM state
-        WINDOW w AS (PARTITION BY word ORDER BY pos)),
+        SELECT turn, pos, tok, lag(pos) OVER w AS before,
+               CASE WHEN lead(pos) OVER w >> 8 = pos >> 8 THEN tok * 4294967296 + lead(tok) OVER w END AS ab FROM state
+        WINDOW w AS (ORDER BY pos)),
     ranked AS (
-        SELECT pair.*, merged, merged * 4294967296 + pos AS key
-        FROM pair LEFT JOIN merges ON tok = a AND next = b),
-    best AS (SELECT word, min(key) AS key FROM ranked WHERE merged IS NOT NULL GROUP BY word)
-    SELECT turn + 1, r.word, pos, CASE WHEN r.key = best.key THEN merged ELSE tok END
+        SELECT turn, pos, tok, before, pos >> 8 AS word, merged * 256 + (pos & 255) AS key
+        FROM pair LEFT JOIN merges USING (ab)),
+    best AS (SELECT word, min(key) AS key FROM ranked WHERE key IS NOT NULL GROUP BY word)
+    SELECT turn + 1, pos, CASE WHEN r.key = best.key THEN (best.key >> 8)::INTEGER ELSE tok END
     FROM ranked r JOIN best ON r.word = best.word
-    WHERE before IS NULL OR before <> best.key % 4294967296)),
-last AS (SELECT word, max(turn) AS turn FROM state GROUP BY word)
-SELECT state.word, list(tok ORDER BY pos) AS ids, string_agg(hex(bytes), '' ORDER BY pos) AS decoded
-FROM state JOIN last ON state.word = last.word AND state.turn = last.turn JOIN vocabulary ON tok = id
-GROUP BY state.word ORDER BY state.word"""
+    WHERE before IS NULL OR before <> (r.word << 8) + (best.key & 255))),
+last AS (SELECT pos >> 8 AS word, max(turn) AS turn FROM state GROUP BY ALL)
+SELECT last.word, list(tok ORDER BY pos) AS ids, list(bytes ORDER BY pos) AS decoded
+FROM state JOIN last ON pos >> 8 = last.word AND state.turn = last.turn JOIN vocabulary ON tok = id
+GROUP BY last.word ORDER BY last.word"""
 
 _STATE: dict = {}
 
@@ -86,6 +89,15 @@ def contract_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i:end[i]]] for i in range(n) if alive[i]]
 
 
+class _Known(dict):
+    """Ids (little-endian) of the words remembered; ``fresh`` has those of the texts at hand that are not."""
+
+    fresh: dict[str, bytes] = {}
+
+    def __missing__(self, w: str) -> bytes:
+        return self.fresh[w]
+
+
 class Codec:
     """Word encoder of one worker: merge table and vocabulary in DuckDB, and the words met so far."""
 
@@ -97,15 +109,15 @@ class Codec:
         self.ranks = read_ranks(path)
         self.split = regex.compile(pattern).findall
         self.tokens = {i: t for t, i in self.ranks.items()}
-        self.known: dict[str, tuple[bytes, bytes | None]] = {}
+        self.known, self.odd = _Known(), {}
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"})
         a, b, merged = zip(*merge_table(self.ranks))
         pairs = pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()),
                           "merged": pa.array(merged, pa.int64())})
-        words = pa.table({"id": pa.array(list(self.tokens), pa.int64()), "bytes": pa.array(self.tokens.values(), pa.binary())})
+        words = pa.table({"id": pa.array(list(self.tokens), pa.int32()), "bytes": pa.array(self.tokens.values(), pa.binary())})
         self.db.register("pairs", pairs)
         self.db.register("words", words)
-        self.db.execute("CREATE TABLE merges AS SELECT * FROM pairs")
+        self.db.execute("CREATE TABLE merges AS SELECT a * 4294967296 + b AS ab, merged FROM pairs")
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM words")
 
     def learn(self, words: list[str]) -> dict[str, tuple[bytes, bytes | None]]:
@@ -125,30 +137,31 @@ class Codec:
                 continue
             decoded = b"".join(map(self.tokens.__getitem__, ids))
             out[w] = (np.array(ids, "<u4").tobytes(), None if decoded == raw else decoded)
-        byte_ids = np.array([self.ranks.get(bytes([i]), -1) for i in range(256)], np.int64)
+        byte_ids = np.array([self.ranks.get(bytes([i]), -1) for i in range(256)], np.int32)
         for at in range(0, len(asked), BATCH):
             some = asked[at:at + BATCH]
             sizes = np.array([len(raw) for _, raw in some])
             starts = np.cumsum(sizes) - sizes
-            total = int(sizes.sum())
-            start = pa.table({"word": np.repeat(np.arange(len(some)), sizes),
-                              "pos": np.arange(total) - np.repeat(starts, sizes),
+            places = np.arange(int(sizes.sum())) + np.repeat(np.arange(len(some)) * 256 - starts, sizes)
+            start = pa.table({"pos": places.astype(np.int32),
                               "tok": byte_ids[np.frombuffer(b"".join(raw for _, raw in some), np.uint8)]})
             self.db.register("start", start)
             rows = self.db.sql(CONTRACT).to_arrow_table()
             ids = rows.column("ids").combine_chunks()
-            flat = ids.values.to_numpy(zero_copy_only=False).astype("<u4")
             ends = ids.offsets.to_numpy()
-            decoded = rows.column("decoded").to_pylist()
+            flat = ids.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes()
+            # the tokens' bytes lie one after the other, those of a word without a gap
+            back, cuts = utf8_rows(rows.column("decoded").combine_chunks().values)
+            back, cuts, ends = back.tobytes(), cuts[ends].tolist(), (ends * 4).tolist()
             for i, word in enumerate(rows.column("word").to_pylist()):
                 w, raw = some[word]
-                back = bytes.fromhex(decoded[i])
-                out[w] = (flat[ends[i]:ends[i + 1]].tobytes(), None if back == raw else back)
+                decoded = back[cuts[i]:cuts[i + 1]]
+                out[w] = (flat[ends[i]:ends[i + 1]], None if decoded == raw else decoded)
         return out
 
     def documents(self, texts: list[str | None]):
         """(ids as little-endian bytes, decoded bytes) of each text."""
-        at = 0
+        known, at = self.known, 0
         while at < len(texts):
             split, size = [], 0
             while at < len(texts) and size < CHARACTERS:
@@ -156,16 +169,21 @@ class Codec:
                 split.append(self.split(text))
                 size += len(text)
                 at += 1
-            fresh = self.learn(list(set().union(*split).difference(self.known)))
+            fresh = self.learn(list(set().union(*split).difference(known)))
+            ids, odd = {w: x for w, (x, _) in fresh.items()}, {w: y for w, (_, y) in fresh.items() if y is not None}
             # frequent words come early, so what is remembered first stays
-            if len(self.known) + len(fresh) <= REMEMBERED:
-                self.known.update(fresh)
-                fresh = {}
-            known = self.known
+            if len(known) + len(fresh) <= REMEMBERED:
+                known.update(ids)
+                self.odd.update(odd)
+                ids = {}
+            odd = self.odd | odd
             for words in split:
-                both = [(w, known.get(w) or fresh[w]) for w in words]
-                yield (b"".join([x for _, (x, _) in both]),
-                       b"".join([w.encode("utf-8") if y is None else y for w, (_, y) in both]))
+                known.fresh = ids
+                if odd and not odd.keys().isdisjoint(words):
+                    decoded = b"".join([odd[w] if w in odd else w.encode("utf-8") for w in words])
+                else:
+                    decoded = "".join(words).encode("utf-8")
+                yield b"".join(map(known.__getitem__, words)), decoded
 
 
 def codec(path: str, pattern: str) -> Codec:

@@ -401,3 +401,22 @@ def test_exact_dedup_compares_texts_of_suspects_and_hashes_them_once(docs, limit
             or "Sort [" in line]
     assert seen and keys and not any("sha2(" in line for line in keys)
     assert ("LeftSemi" in seen[0]) == (limit > 0)
+
+
+def test_byte_bpe_words_of_any_length_and_beyond_what_is_remembered(monkeypatch):
+    import tiktoken
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    ranks = byte_bpe.read_ranks(path)
+    public = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    monkeypatch.setattr(byte_bpe, "REMEMBERED", 12)
+    monkeypatch.setattr(byte_bpe, "BATCH", 3)
+    monkeypatch.setattr(byte_bpe, "CHARACTERS", 300)
+    codec = byte_bpe.Codec(path, P.PATTERN)
+    texts = ["erlyeare ónaiz", "xq" * 127 + "z", "xq" * 128, "xq" * 128 + "z", None, "", "çonreÈelleç 中文字符 zzqqxj", "erlyeare çonre",
+             "\U0001f44d\U0001f3fd​ wfgh", *[f"zq{chr(97 + i)}xw kvj{i}" for i in range(26)], "erlyeare ónaiz"]
+    got = list(codec.documents(texts))
+    assert [np.frombuffer(i, "<u4").tolist() for i, _ in got] == [public.encode_ordinary(t or "") for t in texts]
+    assert [o for _, o in got] == [(t or "").encode() for t in texts]
+    # a word that is remembered costs its ids alone, its decoded bytes only where they are not its own
+    assert 0 < len(codec.known) <= 12 and all(isinstance(x, bytes) for x in codec.known.values()) and not codec.odd
