@@ -95,3 +95,23 @@ def test_an_empty_table_passes_every_stage(spark, planted, tmp_path):
     spark.read.parquet(f"{folder}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{folder}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_cross_to_python_in_small_batches_unless_the_caller_set_smaller_ones(spark):
+    def lengths(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(b)], pa.int64())], names=["n"])
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for own, most in (("10000", corpus_pipeline.ARROW_ROWS), ("0", corpus_pipeline.ARROW_ROWS), ("70", 70)):
+            spark.conf.set(name, own)
+            docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+            corpus_pipeline.mask_secrets(spark, docs, "")
+            sizes = [r.n for r in spark.range(0, 1200, 1, 1).mapInArrow(lengths, "n long").collect()]
+            assert max(sizes) == most and sum(sizes) == 1200
+    finally:
+        spark.conf.set(name, before)
