@@ -420,3 +420,32 @@ def test_byte_bpe_words_of_any_length_and_beyond_what_is_remembered(monkeypatch)
     assert [o for _, o in got] == [(t or "").encode() for t in texts]
     # a word that is remembered costs its ids alone, its decoded bytes only where they are not its own
     assert 0 < len(codec.known) <= 12 and all(isinstance(x, bytes) for x in codec.known.values()) and not codec.odd
+
+
+def test_exact_dedup_leaves_no_characters_to_spark(docs, monkeypatch):
+    seen, keep = {}, exact_dedup.materialize
+
+    def materialize(df, name="table"):
+        seen.setdefault(name, df._jdf.queryExecution().executedPlan().toString())
+        return keep(df, name)
+
+    monkeypatch.setattr(exact_dedup, "materialize", materialize)
+    # characters of two bytes across the cuts, one id with several texts, copies of copies, nothing to cut
+    rows = [(1, "éÀx" * 9), (2, "éÀX" * 9), (3, "Éàx" * 9), (2, "éÀX" * 8), (None, "éÀx" * 8), (4, ""), (5, None), (6, "ab" * 4)]
+    got = exact_dedup.exact_dedup(docs(*rows), piece=8).collect()
+    assert sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.kept, r.text_sha256) for r in got) == dedup_brute(rows)
+    for name in ("fingerprints", "collisions"):
+        # translate makes an object of every character
+        assert not any(x in seen[name] for x in ("translate(", "regexp_extract_all(")), seen[name]
+
+
+@pytest.mark.parametrize("limit", [0, 500_000])
+def test_drop_copies_digests_the_texts_of_dropped_ids_alone(docs, limit):
+    rows = [(1, "ab"), (1, "AB"), (1, "cd"), (2, "ab"), (None, "AB"), (None, None), (3, "")]
+    dropped = docs().sparkSession.createDataFrame(
+        [(1, hashlib.sha256(b"ab").hexdigest()), (None, hashlib.sha256(b"").hexdigest())], "__id long, __sha string")
+    got = exact_dedup._without_texts(docs(*rows), dropped, "doc_id", "text", limit)
+    assert got.columns == docs().columns
+    assert sorted((str(r.doc_id), str(r.text)) for r in got.collect()) == sorted(
+        [("1", "cd"), ("2", "ab"), ("None", "AB"), ("3", "")])
+    assert ("CASE WHEN" in got._jdf.queryExecution().executedPlan().toString()) == (limit > 0)

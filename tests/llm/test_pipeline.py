@@ -115,3 +115,29 @@ def test_stages_cross_to_python_in_small_batches_unless_the_caller_set_smaller_o
             assert max(sizes) == most and sum(sizes) == 1200
     finally:
         spark.conf.set(name, before)
+
+
+def test_batches_that_cross_to_python_are_bounded_in_bytes_unless_the_caller_set_fewer(spark):
+    def weights(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(b)], pa.int64()), pa.array([b.nbytes], pa.int64())],
+                                             names=["n", "size"])
+
+    names = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch",
+             "spark.sql.parquet.columnarReaderBatchSize"]
+    before = [spark.conf.get(n) for n in names]
+    try:
+        for own, most in (("64m", corpus_pipeline.ARROW_BYTES), ("2000000000", corpus_pipeline.ARROW_BYTES), ("1m", 1 << 20)):
+            spark.conf.set(names[1], own)
+            spark.conf.set(names[2], "4096")
+            docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+            corpus_pipeline.drop_copies(spark, docs, "")
+            long = spark.range(0, 120, 1, 1).selectExpr("repeat('x', 100000) as text")
+            sizes = [(r.n, r.size) for r in long.mapInArrow(weights, "n long, size long").collect()]
+            assert max(s for _, s in sizes) < most + 200_000 and sum(n for n, _ in sizes) == 120
+            assert int(spark.conf.get(names[2])) == corpus_pipeline.ARROW_ROWS
+    finally:
+        for n, v in zip(names, before):
+            spark.conf.set(n, v)
