@@ -67,3 +67,16 @@ def test_long_chains_cost_no_rounds(spark, named):
     got = sorted(map(tuple, cycles.strongly_connected(spark.createDataFrame(edges, EDGES), named_edge_limit=named).collect()))
     assert got == [("chain", f"f{i:05}", "f00012") for i in (10, 11, 12)] + [("é", "a", "b"), ("é", "b", "b")]
     assert len(session._TABLES.get(spark.sparkContext.applicationId, [])) <= 3
+
+
+def test_every_repository_can_be_asked(spark, tmp_path):
+    from srcatlas.plans import registry
+
+    (spark.range(1500).select(F.col("id").alias("doc_id"), F.concat(F.lit("words of text "), F.col("id")).alias("text"))
+     .write.parquet(str(tmp_path / "documents.parquet")))
+    (spark.range(6).select(F.col("id").alias("conv_id"), F.lit(1).cast("long").alias("turn"), F.lit("user").alias("role"), F.lit("which text").alias("text"))
+     .write.parquet(str(tmp_path / "conversations.parquet")))
+    got = {r.repo_name: (r.status, r.chunks_used) for r in registry.QUERIES["asked_index"](spark, str(tmp_path)).collect()}
+    assert got == {**{f"repo{i}": ("success", 5) for i in range(5)}, "repo5": ("not indexed", 0)}
+    refused = {r.repo_name: r.status for r in registry.QUERIES["index_job"](spark, str(tmp_path)).collect()}
+    assert "error" in refused.values()                  # the limit of 200 chunks stays a matter of index_job
