@@ -78,5 +78,24 @@ def test_every_repository_can_be_asked(spark, tmp_path):
      .write.parquet(str(tmp_path / "conversations.parquet")))
     got = {r.repo_name: (r.status, r.chunks_used) for r in registry.QUERIES["asked_index"](spark, str(tmp_path)).collect()}
     assert got == {**{f"repo{i}": ("success", 5) for i in range(5)}, "repo5": ("not indexed", 0)}
-    refused = {r.repo_name: r.status for r in registry.QUERIES["index_job"](spark, str(tmp_path)).collect()}
-    assert "error" in refused.values()                  # the limit of 200 chunks stays a matter of index_job
+
+
+def test_broadcast_bound_counts_the_hash_table(spark, monkeypatch):
+    from srcatlas.operators import ordinals
+
+    thin = spark.range(300).select(F.lit("r").alias("repo_name"), F.col("id"))
+    monkeypatch.setattr(ordinals, "BROADCAST_BYTES", 300 * 40)      # the keys and 16 bytes a row would pass
+    assert "strategy=broadcast" not in ordinals.travelling(thin, ["repo_name"])._jdf.queryExecution().toString()
+    monkeypatch.setattr(ordinals, "BROADCAST_BYTES", 300 * 200)
+    assert "strategy=broadcast" in ordinals.travelling(thin, ["repo_name"])._jdf.queryExecution().toString()
+
+
+def test_vectors_that_are_used_once_are_not_stored(spark, tmp_path):
+    from srcatlas.plans import registry
+
+    (spark.range(60).select(F.col("id").alias("doc_id"), F.concat(F.lit("words of text "), F.col("id")).alias("text"))
+     .write.parquet(str(tmp_path / "documents.parquet")))
+    session.drop_tables(spark)
+    rows = registry.QUERIES["chunk_encodings"](spark, str(tmp_path))
+    assert not [p for p in session._TABLES[spark.sparkContext.applicationId] if "chunk-vectors" in p]
+    assert rows.count() > 100 and rows.filter("weight = 0").count() == 0
